@@ -18,7 +18,7 @@ Q_COLS = ("q_away", "q_draw", "q_home")
 # bracket edges (fixed values)
 MARKET_EDGES = (0.30, 0.40, 0.45, 0.50, 0.55, 0.65, 0.80)
 CONFIDENCE_EDGES = (0.40, 0.45, 0.50, 0.55, 0.65, 0.80)
-GAP_EDGES = (-1.0, -0.5, -0.2, 0.2, 0.5, 1.0)
+GAP_EDGES = (-0.8, -0.4, -0.1, 0.1, 0.4, 0.8)
 
 
 def bracket(value: Column, edges: Sequence[float]) -> Column:

@@ -330,7 +330,7 @@ def cumulative_ppg(m: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFr
 
 def static_ppg(train: DataFrame, target: DataFrame) -> DataFrame:
     """Points per game over the training span, joined to both sides; unknown teams get the mean of teams."""
-    teams = to_team_rows(train).groupBy("team").agg(F.avg("points").alias("ppg"))
+    teams = to_team_rows(train).where(F.col("team").isNotNull()).groupBy("team").agg(F.avg("points").alias("ppg"))
     fallback = single_row(teams.agg(F.avg("ppg").alias("m")))["m"]
     out = target
     for side in ("home", "away"):

@@ -58,8 +58,11 @@ def read_match_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 def parse_match_date(df: DataFrame, col: str = "date") -> DataFrame:
     """Day-first dates with two- or four-digit years; anything else becomes null."""
     text = F.trim(F.col(col))
-    return df.withColumn(col, F.when(F.length(text) > 8, F.try_to_timestamp(text, F.lit("dd/MM/yyyy")).cast("date"))
-                         .otherwise(F.try_to_timestamp(text, F.lit("dd/MM/yy")).cast("date")))
+    long = F.try_to_timestamp(text, F.lit("dd/MM/yyyy")).cast("date")
+    short = F.try_to_timestamp(text, F.lit("dd/MM/yy")).cast("date")
+    # two-digit years 69..99 belong to the last century (the POSIX rule)
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    return df.withColumn(col, F.when(F.length(text) > 8, long).otherwise(short))
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
