@@ -44,10 +44,10 @@ def market_probs(df: DataFrame, cols: Sequence[str] = ODDS_COLS, on_invalid: str
     1.01; null: 0 counts as missing; payout: bad rows get 1/3 and odds of 999;
     drop: bad rows are removed.
     """
-    def usable(c):
-        return F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 1) & (F.col(c) < float("inf"))
-
-    valid = usable(cols[0]) & usable(cols[1]) & usable(cols[2])
+    valid = F.lit(True)
+    for c in cols:
+        # NaN sorts above infinity, so the two comparisons leave finite odds only
+        valid = valid & (F.col(c) > 1) & (F.col(c) < float("inf"))
     if on_invalid == "floor":
         odds = [F.greatest(F.col(c), F.lit(1.01)) for c in cols]
     elif on_invalid == "null":
@@ -71,14 +71,15 @@ def market_probs(df: DataFrame, cols: Sequence[str] = ODDS_COLS, on_invalid: str
 def arg_max(cols: Sequence[Column | str], values: Sequence[int]) -> Column:
     """Value belonging to the largest column; the earliest listed wins ties, null if any is null."""
     cols = [_num(c) for c in cols]
-    best = F.greatest(*cols)
     whole = cols[0].isNotNull()
     for c in cols[1:]:
         whole = whole & c.isNotNull()
-    chain = F.when(~whole, F.lit(None).cast("int"))
-    for c, v in zip(cols, values):
-        chain = chain.when(c == best, F.lit(v))
-    return chain
+    first = F.array_position(F.array(*cols), F.greatest(*cols)).cast("int")
+    if list(values) != list(range(len(cols))):
+        first = F.element_at(F.array(*[F.lit(v) for v in values]), first)
+    else:
+        first = first - 1
+    return F.when(whole, first)
 
 
 def market_pick(df: DataFrame, cols: Sequence[str] = ("q_away", "q_draw", "q_home"), tie: str = "away",

@@ -8,6 +8,7 @@ model. It can be saved, loaded and applied like any other pipeline.
 from __future__ import annotations
 
 import json
+import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -21,7 +22,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import P_COLS, column_stats, single_row
+from ..functions.scalars import P_COLS, single_row
 from ..plans.session import materialize
 from .folds import check_fold
 from .history import to_team_rows
@@ -160,30 +161,38 @@ def fit_mlp(train: DataFrame, cols: Sequence[str], layers: Sequence[int] = (64,
 
 def naive_bayes_params(train: DataFrame, cols: Sequence[str], label: str = LABEL, smoothing: float = 1e-9) -> DataFrame:
     """Per class: prior, and mean / variance of every mean-filled column (plus smoothing * largest variance)."""
-    stats = single_row(column_stats(train, cols))
-    filled = train.select(label, *[F.coalesce(F.col(c), stats[f"_m_{i}"]).alias(c) for i, c in enumerate(cols)])
-    total = single_row(filled.agg(F.count(F.lit(1)).alias("n"), F.greatest(*[F.var_pop(c) for c in cols], F.lit(0.0)).alias("v")))
+    means = train.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cols]).first()
+    filled = train.select(label, *[F.coalesce(F.col(c), F.lit(means[c])).alias(c) for c in cols])
+    # the overall variance is the within-class variance plus that of the class means, so one pass is enough
     per = filled.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in cols],
                                     *[F.var_pop(c).alias(f"v_{c}") for c in cols])
-    return per.select(label, (F.col("n") / total["n"]).alias("prior"), *[f"mean_{c}" for c in cols],
-                      *[(F.col(f"v_{c}") + smoothing * total["v"]).alias(f"var_{c}") for c in cols])
+    every = Window.partitionBy()  # one row per class
+    n = F.sum("n").over(every)
+    spread = []
+    for c in cols:
+        mean = F.sum(F.col("n") * F.col(f"mean_{c}")).over(every) / n
+        square = F.sum(F.col("n") * (F.col(f"v_{c}") + F.col(f"mean_{c}") * F.col(f"mean_{c}"))).over(every) / n
+        spread.append(square - mean * mean)
+    floor = smoothing * F.greatest(*spread, F.lit(0.0))
+    return per.select(label, (F.col("n") / n).alias("prior"), *[f"mean_{c}" for c in cols],
+                      *[(F.col(f"v_{c}") + floor).alias(f"var_{c}") for c in cols])
 
 
 def fit_naive_bayes(train: DataFrame, test: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("match_id",), label: str = LABEL) -> DataFrame:
-    """Gaussian naive Bayes: parameters by aggregation, log densities as expressions."""
-    params = naive_bayes_params(train, cols, label)
-    fields = ["prior", *[f"mean_{c}" for c in cols], *[f"var_{c}" for c in cols]]
-    wide = single_row(params.agg(*[F.max(F.when(F.col(label) == k, F.struct(*fields))).alias(f"k{k}") for k in CLASSES]))
-    means = single_row(column_stats(train, cols))
+    """Gaussian naive Bayes: parameters by aggregation (one small row per class), log densities as expressions."""
+    params = {row[label]: row for row in naive_bayes_params(train, cols, label).collect()}
+    means = {c: sum(p["prior"] * p[f"mean_{c}"] for p in params.values()) for c in cols}
     scores = []
     for k in CLASSES:
-        par = wide[f"k{k}"]
-        log_p = F.ln(par["prior"])
-        for i, c in enumerate(cols):
-            x, var = F.coalesce(F.col(c), means[f"_m_{i}"]), par[f"var_{c}"]
-            gap = x - par[f"mean_{c}"]
-            log_p = log_p - 0.5 * F.ln(2 * 3.141592653589793 * var) - gap * gap / (2 * var)
-        scores.append(F.coalesce(log_p, F.lit(float("-inf"))))
+        par = params.get(k)
+        if par is None:
+            scores.append(F.lit(float("-inf")))
+            continue
+        log_p = F.lit(math.log(par["prior"]) - 0.5 * sum(math.log(2 * math.pi * par[f"var_{c}"]) for c in cols))
+        for c in cols:
+            gap = F.coalesce(F.col(c), F.lit(means[c])) - par[f"mean_{c}"]
+            log_p = log_p - gap * gap / (2 * par[f"var_{c}"])
+        scores.append(log_p)
     out = test.select(*keep, *[s.alias(f"_l{k}") for k, s in enumerate(scores)]).withColumn("_top", F.greatest("_l0", "_l1", "_l2"))
     e = [F.exp(F.col(f"_l{k}") - F.col("_top")) for k in CLASSES]
     return out.select(*keep, *[(x / (e[0] + e[1] + e[2])).alias(n) for x, n in zip(e, P_COLS)])

@@ -22,6 +22,15 @@ def _pmf(rate: Column, top: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), top), lambda k: F.exp(k * F.ln(rate) - rate - F.element_at(table, k + 1)))
 
 
+def _over(x: Column, total: str) -> Column:
+    """x / total inside a lambda. The total is named twice so that Spark keeps it as
+    a column computed once per match; named once, its expression would move into the
+    lambda and be summed again for every cell.
+    """
+    t = F.col(total)
+    return F.when(t > 0, x / t).otherwise(0.0)
+
+
 def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -49,7 +58,7 @@ def score_grid_fixed(rates: DataFrame, max_goals: int = 10, renormalise: bool =
     """Independent Poisson scores 0..max_goals, divided by the kept mass."""
     df = (rates.withColumn("_ph", _pmf(F.col(lh), F.lit(max_goals))).withColumn("_pa", _pmf(F.col(la), F.lit(max_goals))))
     total = _sum(F.col("_ph")) * _sum(F.col("_pa")) if renormalise else F.lit(1.0)
-    return (df.withColumn("_t", total).withColumn("grid", _cells(F.transform("_ph", lambda x: x / F.col("_t")), F.col("_pa")))
+    return (df.withColumn("_t", total).withColumn("grid", _cells(F.transform("_ph", lambda x: _over(x, "_t")), F.col("_pa")))
             .withColumn("grid_max", F.lit(max_goals)).drop("_ph", "_pa", "_t"))
 
 
@@ -83,7 +92,7 @@ def score_grid_adaptive(rates: DataFrame, tol: float = 1e-12, cap: int = MAX_GOA
     df = rates.withColumn("grid_max", n)
     df = df.withColumn("_ph", _pmf(h, F.col("grid_max"))).withColumn("_pa", _pmf(a, F.col("grid_max")))
     df = df.withColumn("_t", _sum(F.col("_ph")) * _sum(F.col("_pa")))
-    return (df.withColumn("grid", _cells(F.transform("_ph", lambda x: x / F.col("_t")), F.col("_pa")))
+    return (df.withColumn("grid", _cells(F.transform("_ph", lambda x: _over(x, "_t")), F.col("_pa")))
             .withColumn("omitted_mass", F.greatest(F.lit(0.0), 1.0 - F.col("_t"))).drop("_ph", "_pa", "_t"))
 
 
@@ -111,7 +120,8 @@ def dixon_coles(grids: DataFrame, rho: float = -0.2, lh: str = "lambda_home", la
 
     moved = grids.withColumn("grid", _scaled(F.col("grid"), lambda c: F.greatest(tau(c), F.lit(0.0))))
     moved = moved.withColumn("_t", _mass(F.col("grid"), lambda c: F.lit(True)))
-    return moved.withColumn("grid", _scaled(F.col("grid"), lambda c: 1.0 / F.col("_t"))).drop("_t")
+    return moved.withColumn("grid", F.transform("grid", lambda c: F.struct(
+        c["hg"].alias("hg"), c["ag"].alias("ag"), _over(c["p"], "_t").alias("p")))).drop("_t")
 
 
 def reweight_grid(grids: DataFrame, probs=("p_away", "p_draw", "p_home"), out: str = "grid") -> DataFrame:
@@ -182,7 +192,10 @@ def nll_identity_check(df: DataFrame, fused_nll: str, base_nll: str, y: str = "y
     def pick(cols):
         return F.when(F.col(y) == 0, F.col(cols[0])).when(F.col(y) == 1, F.col(cols[1])).otherwise(F.col(cols[2]))
     gap = (F.col(fused_nll) - F.col(base_nll)) - (F.ln(pick(s)) - F.ln(pick(q)))
-    return df.withColumn("identity_gap", gap).where((F.abs("identity_gap") > tol) | F.col("identity_gap").isNull())
+    # a list of at most one violation per row; a filter would be pushed below the grid
+    # computations and repeat them
+    bad = F.filter(F.array(gap), lambda g: g.isNull() | F.isnan(g) | (F.abs(g) > tol))
+    return df.select("*", F.explode(bad).alias("identity_gap"))
 
 
 def over_under_prob(grids: DataFrame, threshold: float = 2.5, out: str = "p_over") -> DataFrame:
@@ -202,7 +215,9 @@ def grid_validate(grids: DataFrame, probs: tuple[str, str, str] | None = None, a
         a, d, h = (F.col(p) for p in probs)
         problem = (problem.when(bad(a) | bad(d) | bad(h), "bad_probability")
                    .when(F.abs(a + d + h - 1) > atol, "probabilities_not_normalised"))
-    return grids.select(id_col, problem.alias("problem")).where(F.col("problem").isNotNull())
+    # exploding the list of problems emits broken rows only, without a filter that
+    # would be pushed below the grid computation
+    return grids.select(id_col, F.explode(F.filter(F.array(problem), lambda p: p.isNotNull())).alias("problem"))
 
 
 def poisson_outcome_tail(rates: DataFrame, max_goals: int = 8, lh: str = "lambda_home", la: str = "lambda_away") -> DataFrame:

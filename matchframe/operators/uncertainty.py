@@ -36,8 +36,12 @@ def bootstrap_draws(deltas: DataFrame, cluster: str, metrics: Sequence[str], rep
     ranked = null_safe_join(ranked, sizes, keys) if keys else ranked.withColumn(
         "_size", sizes.select("_size").scalar())
     draw = hash32(F.lit(seed), F.col("_rep"), *keys, F.col("_slot")) % F.col("_size") + 1
-    slots = (ranked.select(*keys, "_slot", "_size").withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-             .withColumn("_pick", draw).select("_rep", *keys, "_pick"))
+    # few cluster rows become many draws: spread them over the tasks in chunks of draws first
+    chunk = max(1, reps // 64)
+    spread = (ranked.select(*keys, "_slot", "_size").withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // chunk))))
+              .repartition(deltas.sparkSession.sparkContext.defaultParallelism, "_c"))
+    ids = F.sequence(F.col("_c") * chunk, F.least(F.col("_c") * chunk + chunk, F.lit(reps)) - 1)
+    slots = spread.withColumn("_rep", F.explode(ids)).withColumn("_pick", draw).select("_rep", *keys, "_pick")
     picked = null_safe_join(slots, ranked.select(*keys, F.col("_slot").alias("_pick"), "_n", *[f"_s_{m}" for m in metrics]),
                             [*keys, "_pick"])
     return picked.groupBy(F.col("_rep").alias("rep")).agg(*[(F.sum(f"_s_{m}") / F.sum("_n")).alias(m) for m in metrics])
@@ -82,7 +86,8 @@ def iid_bootstrap_brier(diffs: DataFrame, reps: int = 5000, seed: int = 42, diff
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_g").cast("string"), F.col(id_col).cast("string")))
     lanes = F.array(*[F.struct((F.col("_g") * LANES + i).alias("rep"),
                                (F.conv(F.substring("_md5", 8 * i + 1, 8), 16, 10).cast("double") / HASH_SPAN).alias("u")) for i in range(LANES)])
-    rows = (diffs.select(id_col, F.col(diff).alias("_d"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
+    spread = diffs.select(id_col, F.col(diff).alias("_d")).repartition(id_col)
+    rows = (spread.select(id_col, "_d", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
             .withColumn("_md5", digest).select("_d", F.explode(lanes).alias("x")).where(F.col("x.rep") < reps)
             .select("_d", F.col("x.rep").alias("rep"), _poisson1(F.col("x.u")).alias("w")))
     draws = rows.groupBy("rep").agg((F.sum(F.col("w") * F.col("_d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
