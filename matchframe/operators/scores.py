@@ -17,8 +17,8 @@ ATOL = 3e-12
 CLASS_NAMES = ("away", "draw", "home")
 
 
-def _pmf(rate: Column, top: Column) -> Column:
-    table = log_factorials()
+def _pmf(rate: Column, top: Column, cap: int = MAX_GOALS_SUPPORT) -> Column:
+    table = log_factorials(cap)
     return F.transform(F.sequence(F.lit(0), top), lambda k: F.exp(k * F.ln(rate) - rate - F.element_at(table, k + 1)))
 
 
@@ -56,7 +56,7 @@ def _class_of(c: Column) -> Column:
 def score_grid_fixed(rates: DataFrame, max_goals: int = 10, renormalise: bool = True, lh: str = "lambda_home",
                      la: str = "lambda_away") -> DataFrame:
     """Independent Poisson scores 0..max_goals, divided by the kept mass."""
-    df = (rates.withColumn("_ph", _pmf(F.col(lh), F.lit(max_goals))).withColumn("_pa", _pmf(F.col(la), F.lit(max_goals))))
+    df = (rates.withColumn("_ph", _pmf(F.col(lh), F.lit(max_goals), max_goals)).withColumn("_pa", _pmf(F.col(la), F.lit(max_goals), max_goals)))
     total = _sum(F.col("_ph")) * _sum(F.col("_pa")) if renormalise else F.lit(1.0)
     return (df.withColumn("_t", total).withColumn("grid", _cells(F.transform("_ph", lambda x: _over(x, "_t")), F.col("_pa")))
             .withColumn("grid_max", F.lit(max_goals)).drop("_ph", "_pa", "_t"))

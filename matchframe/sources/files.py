@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import map_names
+from .quality import season_from_source
 
 # Source header -> canonical name. The odds block follows a rule (company code,
 # closing mark, outcome letter); the rest are fixed values.
@@ -90,14 +91,19 @@ FEED_SCHEMA = T.StructType([
 ])
 
 
-def _with_season(df: DataFrame, season_map: Mapping[str, str]) -> DataFrame:
-    """Season label from the file name (season id -> label); files not listed are dropped."""
+def _with_season(df: DataFrame, season_map: Mapping[str, str] | None) -> DataFrame:
+    """Season label from the file name (season id -> label); files not listed are dropped.
+
+    Without a map the columns stay as read (e.g. a season folder column).
+    """
+    if season_map is None:
+        return df
     pairs = [F.lit(x) for kv in season_map.items() for x in kv]
     file_id = F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), r"^([^.-]+)", 1)
     return df.withColumn("season", F.try_element_at(F.create_map(*pairs), file_id)).where(F.col("season").isNotNull())
 
 
-def read_feed_json(spark: SparkSession, path: str | Sequence[str], season_map: Mapping[str, str],
+def read_feed_json(spark: SparkSession, path: str | Sequence[str], season_map: Mapping[str, str] | None,
                    schema: T.StructType = FEED_SCHEMA, multi_line: bool = True) -> DataFrame:
     """One JSON array of matches per season file; epoch seconds become a day."""
     raw = spark.read.schema(schema).json(path if isinstance(path, str) else list(path), multiLine=multi_line)
@@ -114,11 +120,11 @@ PLAYER_SCHEMA = T.StructType([
 
 
 def read_players(spark: SparkSession, path: str | Sequence[str], fmt: str = "json", season_map: Mapping[str, str] | None = None,
-                 schema: T.StructType = PLAYER_SCHEMA) -> DataFrame:
+                 schema: T.StructType = PLAYER_SCHEMA, multi_line: bool = True) -> DataFrame:
     """Player records. CSV text N/A, NA and empty are null; numbers are cast softly."""
     where = path if isinstance(path, str) else list(path)
     if fmt == "json":
-        raw = spark.read.schema(schema).json(where, multiLine=True)
+        raw = spark.read.schema(schema).json(where, multiLine=multi_line)
     else:
         raw = spark.read.csv(where, header=True)
         casts = []
@@ -126,7 +132,7 @@ def read_players(spark: SparkSession, path: str | Sequence[str], fmt: str = "jso
             text = F.when(~F.trim(F.col(f"`{f.name}`")).isin("N/A", "NA", ""), F.col(f"`{f.name}`"))
             casts.append(text.try_cast(f.dataType).alias(f.name))
         raw = raw.select(*casts)
-    return _with_season(raw, season_map) if season_map else raw
+    return _with_season(raw, season_map)
 
 
 def parse_feed_time(col) -> Column:
@@ -144,15 +150,19 @@ def read_feed_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return raw.select(*cols).withColumn("kickoff", parse_feed_time("date_GMT")).withColumn("feed_date", F.to_date("kickoff"))
 
 
-def read_closing_odds(spark: SparkSession, paths: str | Sequence[str], name_map: Mapping[str, str]) -> DataFrame:
-    """Closing odds per fixture; unknown names stay, the earliest row of a fixture wins."""
-    raw = parse_match_date(read_match_csv(spark, paths))
+def read_closing_odds(spark: SparkSession, paths: str | Sequence[str], name_map: Mapping[str, str], season: Column | None = None) -> DataFrame:
+    """Closing odds per fixture; unknown names stay, the earliest row of a fixture wins.
+
+    The season is taken from the file name unless an expression is given.
+    """
+    raw = parse_match_date(read_match_csv(spark, paths).withColumn(
+        "season", season if season is not None else season_from_source("source_file")))
     odds = [c for c in ("odds_home_close", "odds_draw_close", "odds_away_close") if c in raw.columns]
     named = map_names(raw, ["home_team", "away_team"], name_map, lenient=True, suffix="")
     named = coerce_numeric(named, odds)
-    fixture = Window.partitionBy("source_file", "home_team", "away_team").orderBy("date", *odds)
-    return (named.withColumn("_r", F.row_number().over(fixture)).where("_r = 1")
-            .select("source_file", "date", "home_team", "away_team", *odds))
+    # one struct minimum per fixture: combined map-side, no sort of a fixture's rows
+    first = F.min(F.struct("date", *odds)).alias("r")
+    return named.groupBy("season", "home_team", "away_team").agg(first).select("season", "home_team", "away_team", "r.*")
 
 
 def fingerprint_files(spark: SparkSession, path: str | Sequence[str], manifest: DataFrame | None = None) -> DataFrame:
@@ -160,7 +170,7 @@ def fingerprint_files(spark: SparkSession, path: str | Sequence[str], manifest:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
         path if isinstance(path, str) else list(path))
     # ISO-8859-1 maps every byte to one character and back
-    latin = F.lit("ISO-8859-1")
+    latin = "ISO-8859-1"
     folded = F.encode(F.replace(F.decode("content", latin), F.lit("\r\n"), F.lit("\n")), latin)
     files = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length",
                        F.sha2("content", 256).alias("sha256"), F.sha2(folded, 256).alias("sha256_lf"))
