@@ -15,7 +15,8 @@ from ..plans import views
 from ..plans.session import materialize, scratch_dir
 from ..sources import files
 from ..streaming import streams
-from .base import FEED, MATCHES, PLAYERS, PREDS, SCORED, matches, query, r, with_
+from .base import FEED, MATCHES, PLAYERS, PREDS, SCORED, TEAM_ROWS, matches, query, r, with_
+from .history_queries import STATE
 
 TEST = 2000
 COLS10 = [f"{s}_{c}_10" for s in ("home", "away") for c in ("team_state_points", "goals_for", "goals_against", "avg_shots", "avg_sot")]
@@ -56,7 +57,7 @@ def fit_poisson_glm(spark, d):
     return FM.predict_rates(FM.fit_poisson_glm(train, COLS10), test)
 
 
-@query("F23_save_load_model")
+@query("F23_save_load_model", with_(MATCHES) + "SELECT COUNT(*) AS n, CAST(0 AS DOUBLE) AS max_diff FROM matches WHERE season = 2000")
 def save_load_model(spark, d):
     """Largest probability difference between a model and its reloaded copy."""
     train, test = split(matrix(spark, d))
@@ -236,7 +237,9 @@ def _stream(spark, path):
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query("S1_stream_form", None)
+@query("S1_stream_form", with_(MATCHES, TEAM_ROWS, STATE) + f"""SELECT o.match_id, CAST(o.team AS VARCHAR) AS team, CAST(LEAST(dd.k, 10) AS INT) AS n_prior,
+{r("team_state_points_10 AS avg_points", "goals_for_10 AS avg_gf", "goals_against_10 AS avg_ga", "win_rate_10 AS win_rate")}
+FROM o JOIN dd ON dd.team = o.team AND dd.match_date = o.match_date JOIN st ON st.team = o.team AND st.match_date = o.match_date""")
 def stream_form(spark, d):
     rows = materialize(C.to_team_rows(matches(spark, d)).select("season", "team", "match_id", "match_date", "points", "gf", "ga"))
     base = scratch_dir(spark)

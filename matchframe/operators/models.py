@@ -93,7 +93,7 @@ def predict(model: Fitted, df: DataFrame, keep: Sequence[str] = ("match_id",)) -
                       F.when(p[0] == best, 0).when(p[1] == best, 1).otherwise(2).alias("predicted"))
 
 
-def _logistic(c: float, n: int, label: str = LABEL, weight: str | None = None, max_iter: int = 4000, tol: float = 1e-8) -> LogisticRegression:
+def _logistic(c: float, n: int, label: str = LABEL, weight: str | None = None, max_iter: int = 4000, tol: float = 1e-6) -> LogisticRegression:
     # mean loss + 1/(2 C n) |w|^2 has the minimum of C * total loss + |w|^2 / 2
     lr = LogisticRegression(family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
                             fitIntercept=True, maxIter=max_iter, tol=tol, labelCol=label)

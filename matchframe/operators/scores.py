@@ -130,22 +130,22 @@ def reweight_grid(grids: DataFrame, probs=("p_away", "p_draw", "p_home"), out: s
     A class without mass is an error if its probability is positive, and stays 0 otherwise.
     """
     df = grid_to_outcome(grids, "_s_")
-    for name, p in zip(CLASS_NAMES, probs):
-        gap = (F.col(f"_s_{name}") == 0) & (F.col(p) > 0)
-        df = df.withColumn(f"_q_{name}", F.when(gap, F.raise_error(F.lit(f"no score mass for {name}")).cast("double"))
-                           .otherwise(F.col(p)))
 
-    def pick(c, prefix):
-        away, draw, home = (F.col(prefix + n) for n in CLASS_NAMES)
+    def pick(c, names):
+        away, draw, home = (F.col(n) for n in names)
         return F.when(c["hg"] < c["ag"], away).when(c["hg"] == c["ag"], draw).otherwise(home)
 
+    masses = [f"_s_{n}" for n in CLASS_NAMES]
+    label = F.array(*[F.lit(n) for n in CLASS_NAMES])
+
     def moved(c):
-        mass = pick(c, "_s_")
+        mass, q = pick(c, masses), pick(c, probs)
+        gap = F.raise_error(F.concat(F.lit("no score mass for "), F.element_at(label, _class_of(c) + 1))).cast("double")
         # divide first: q/mass could overflow when the mass is subnormal
-        return F.when(mass > 0, c["p"] / F.when(mass > 0, mass) * pick(c, "_q_")).otherwise(0.0)
+        return F.when(mass > 0, c["p"] / F.when(mass > 0, mass) * q).when(q > 0, gap).otherwise(0.0)
 
     cells = F.transform("grid", lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), moved(c).alias("p")))
-    return df.withColumn(out, cells).drop(*[f"_{x}_{n}" for x in "sq" for n in CLASS_NAMES])
+    return df.withColumn(out, cells).drop(*masses)
 
 
 def score_stats(grids: DataFrame, hg: str = "home_goals", ag: str = "away_goals", target: tuple[str, str, str] | None = None,
@@ -223,5 +223,6 @@ def grid_validate(grids: DataFrame, probs: tuple[str, str, str] | None = None, a
 def poisson_outcome_tail(rates: DataFrame, max_goals: int = 8, lh: str = "lambda_home", la: str = "lambda_away") -> DataFrame:
     """Home and draw masses of an unnormalised grid; away takes the rest, tail included."""
     g = grid_to_outcome(score_grid_fixed(rates, max_goals, renormalise=False, lh=lh, la=la), "_s_")
-    return g.select(*rates.columns, (1.0 - F.col("_s_home") - F.col("_s_draw")).alias("p_away"),
+    kept = [c for c in rates.columns if c not in ("p_away", "p_draw", "p_home")]
+    return g.select(*kept, (1.0 - F.col("_s_home") - F.col("_s_draw")).alias("p_away"),
                     F.col("_s_draw").alias("p_draw"), F.col("_s_home").alias("p_home"))

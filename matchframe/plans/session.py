@@ -41,18 +41,22 @@ def build_session(name: str = "matchframe", master: str | None = None, **conf) -
     return tune(builder.getOrCreate())
 
 
+_local_scratch: str | None = None
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
     Only a local master without a configured folder gets a temporary one; on a
     cluster a machine-local folder would not be seen by the other executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    global _local_scratch
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="matchframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _local_scratch = _local_scratch or tempfile.mkdtemp(prefix="matchframe-")
+        base = _local_scratch
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
