@@ -72,7 +72,7 @@ sup AS (SELECT match_id, MIN(k) AS n FROM cdf WHERE k >= 10 AND ch >= 1 - 1e-9 /
 FROM sup JOIN cdf c USING (match_id) WHERE c.k = n""")
 def score_grid_adaptive(spark, d):
     g = G.score_grid_adaptive(rates(spark, d), tol=1e-9)
-    total = F.aggregate("grid", F.lit(0.0), lambda acc, c: acc + c["p"])
+    total = F.aggregate("grid", F.lit(0.0), lambda acc, p: acc + p)
     return g.select("match_id", "grid_max", F.size("grid").cast("bigint").alias("n_cells"), total.alias("total"), (1.0 - F.col("omitted_mass")).alias("kept"))
 
 
@@ -88,7 +88,7 @@ dc AS (SELECT *, pd / SUM(pd) OVER (PARTITION BY match_id) AS p2 FROM dc0)"""
 @query("G4_dixon_coles", with_(*BASE, grid_sql("8"), DC) + f"SELECT match_id, {r(*outcome_cols('p2'), 'SUM(CASE WHEN hg = 0 AND ag = 0 THEN p2 ELSE 0 END) AS p00')} FROM dc GROUP BY match_id")
 def dixon_coles(spark, d):
     g = G.grid_to_outcome(G.dixon_coles(G.score_grid_fixed(rates(spark, d), 8)))
-    return g.select("match_id", "s_away", "s_draw", "s_home", F.element_at("grid", 1)["p"].alias("p00"))
+    return g.select("match_id", "s_away", "s_draw", "s_home", F.element_at("grid", 1).alias("p00"))
 
 
 M1 = "q AS (SELECT match_id, p_away, p_draw, p_home FROM preds WHERE model = 'm1')"
@@ -107,11 +107,10 @@ def reweighted(spark, d):
 
 @query("G5_reweight_grid", RW + f"SELECT match_id, {r(*outcome_cols('pw', 'w_'), 'SUM(pw * hg) AS exp_home', 'SUM(pw * ag) AS exp_away', 'MAX(pw) AS top_p')} FROM rw GROUP BY match_id")
 def reweight_grid(spark, d):
-    g = reweighted(spark, d).withColumn("grid", F.col("fused"))
-    out = G.grid_to_outcome(g, "w_")
-    total = lambda side: F.aggregate("grid", F.lit(0.0), lambda acc, c: acc + c["p"] * c[side])
-    return out.select("match_id", "w_away", "w_draw", "w_home", total("hg").alias("exp_home"), total("ag").alias("exp_away"),
-                      F.array_max(F.transform("grid", lambda c: c["p"])).alias("top_p"))
+    g = reweighted(spark, d)
+    out = G.score_stats(G.grid_to_outcome(g, "w_", grid="fused"), target=("p_away", "p_draw", "p_home"), grid="fused")
+    return out.select("match_id", "w_away", "w_draw", "w_home", F.col("expected_home_goals").alias("exp_home"), F.col("expected_away_goals").alias("exp_away"),
+                      F.array_max("fused").alias("top_p"))
 
 
 def stats_cte(src: str, p: str) -> str:
@@ -167,7 +166,7 @@ def grid_validate(spark, d):
     g = G.score_grid_fixed(rates(spark, d))
     k = F.col("match_id")
     factor = F.when(k % 7 == 0, -1.0).when(k % 11 == 0, 1.5).otherwise(1.0)
-    damaged = F.transform("grid", lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), (c["p"] * factor).alias("p")))
+    damaged = F.transform("grid", lambda p: p * factor)
     short = (k % 13 == 0) & (k % 7 != 0) & (k % 11 != 0)
     return G.grid_validate(g.withColumn("grid", F.when(short, F.slice(damaged, 1, 120)).otherwise(damaged)))
 

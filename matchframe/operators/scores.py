@@ -1,127 +1,97 @@
 """Score-line distributions.
 
-A grid is one array column per match, `grid: array<struct<hg, ag, p>>` in
-row-major order. Every operator below is a narrow projection: no shuffle, and
-the cells never exist as rows unless `explode_grid` asks for them.
+A grid is one array column per match (`grid`, row-major home x away). Every
+operator is a projection, vectorised over Arrow batches: no shuffle, and the
+hundreds of cells of a match exist as rows only if `explode_grid` is asked for.
 """
 
 from __future__ import annotations
 
+import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from ..functions.stats import MAX_GOALS_SUPPORT, log_factorials, poisson_logpmf
+from ..functions import grids as N
+from ..functions.stats import MAX_GOALS_SUPPORT
 
 ATOL = 3e-12
-CLASS_NAMES = ("away", "draw", "home")
+CLASS_NAMES = N.CLASS_NAMES
+STATS_TYPE = ("struct<expected_home_goals: double, expected_away_goals: double, mode_home_goals: int, mode_away_goals: int, "
+              "true_score_nll: double, actual_outside_grid: int>")
 
 
-def _pmf(rate: Column, top: Column, cap: int = MAX_GOALS_SUPPORT) -> Column:
-    table = log_factorials(cap)
-    return F.transform(F.sequence(F.lit(0), top), lambda k: F.exp(k * F.ln(rate) - rate - F.element_at(table, k + 1)))
+def _struct(**columns) -> pa.StructArray:
+    return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _over(x: Column, total: str) -> Column:
-    """x / total inside a lambda. The total is named twice so that Spark keeps it as
-    a column computed once per match; named once, its expression would move into the
-    lambda and be summed again for every cell.
-    """
-    t = F.col(total)
-    return F.when(t > 0, x / t).otherwise(0.0)
-
-
-def _sum(arr: Column) -> Column:
-    return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _cells(ph: Column, pa: Column) -> Column:
-    """Outer product of two pmf arrays as (hg, ag, p) structs."""
-    rows = F.transform(ph, lambda x, i: F.transform(pa, lambda y, j: F.struct(i.alias("hg"), j.alias("ag"), (x * y).alias("p"))))
-    return F.flatten(rows)
-
-
-def _mass(grid: Column, keep) -> Column:
-    return F.aggregate(grid, F.lit(0.0), lambda acc, c: acc + F.when(keep(c), c["p"]).otherwise(0.0))
-
-
-def _scaled(grid: Column, factor) -> Column:
-    return F.transform(grid, lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), (c["p"] * factor(c)).alias("p")))
-
-
-def _class_of(c: Column) -> Column:
-    return F.when(c["hg"] < c["ag"], 0).when(c["hg"] == c["ag"], 1).otherwise(2)
+def _batch(part, rows=slice(None)) -> np.ndarray:
+    return N.numbers(part)[rows]
 
 
 def score_grid_fixed(rates: DataFrame, max_goals: int = 10, renormalise: bool = True, lh: str = "lambda_home",
                      la: str = "lambda_away") -> DataFrame:
     """Independent Poisson scores 0..max_goals, divided by the kept mass."""
-    df = (rates.withColumn("_ph", _pmf(F.col(lh), F.lit(max_goals), max_goals)).withColumn("_pa", _pmf(F.col(la), F.lit(max_goals), max_goals)))
-    total = _sum(F.col("_ph")) * _sum(F.col("_pa")) if renormalise else F.lit(1.0)
-    return (df.withColumn("_t", total).withColumn("grid", _cells(F.transform("_ph", lambda x: _over(x, "_t")), F.col("_pa")))
-            .withColumn("grid_max", F.lit(max_goals)).drop("_ph", "_pa", "_t"))
+    @arrow_udf("array<double>")
+    def build(h: pa.Array, a: pa.Array) -> pa.Array:
+        rows = np.arange(len(h))
+        return N.to_lists([(rows, N.fixed(_batch(h), _batch(a), max_goals, renormalise))] if len(h) else [], len(h))
+
+    return rates.select("*", build(lh, la).alias("grid"), F.lit(max_goals).alias("grid_max"))
 
 
 def score_grid_adaptive(rates: DataFrame, tol: float = 1e-12, cap: int = MAX_GOALS_SUPPORT, lh: str = "lambda_home",
                         la: str = "lambda_away") -> DataFrame:
     """Support chosen from the rates alone: the omitted joint mass is at most `tol`.
 
-    The smallest n >= 10 where both marginal cdfs reach 1 - tol/4 and their product
-    reaches 1 - tol. A rate that needs more than `cap` goals raises an error.
+    A rate that needs more than `cap` goals raises an error.
     """
-    h, a = F.col(lh), F.col(la)
-    bad_rate = ~((h > 0) & (a > 0) & (h < float("inf")) & (a < float("inf")))
-    table = log_factorials(MAX_GOALS_SUPPORT)
-    start = F.struct(F.lit(0.0).alias("ch"), F.lit(0.0).alias("ca"), F.lit(-1).alias("n"))
-
-    def step(acc, k):
-        def grown(c, rate):
-            return c + F.exp(k * F.ln(rate) - rate - F.element_at(table, k + 1))
-        ch, ca = grown(acc["ch"], h), grown(acc["ca"], a)
-        done = (k >= 10) & (ch >= 1 - tol / 4) & (ca >= 1 - tol / 4) & (1.0 - ch * ca <= tol)
-        n = F.when(acc["n"] >= 0, acc["n"]).when(done, k).otherwise(-1)
-        return F.struct(F.when(acc["n"] >= 0, acc["ch"]).otherwise(ch).alias("ch"),
-                        F.when(acc["n"] >= 0, acc["ca"]).otherwise(ca).alias("ca"), n.alias("n"))
-
-    # beyond mean + 12 deviations + 40 the tail is far below any allowed tolerance
-    reach = F.least(F.lit(cap), F.ceil(F.greatest(h, a) + 12 * F.sqrt(F.greatest(h, a)) + 40).cast("int"))
-    found = F.aggregate(F.sequence(F.lit(0), reach), start, step)
-    n = (F.when(bad_rate, F.raise_error(F.lit("rates must be positive and finite")).cast("int"))
-         .when(found["n"] < 0, F.raise_error(F.lit(f"score support above {cap} goals")).cast("int"))
-         .otherwise(found["n"]))
-    df = rates.withColumn("grid_max", n)
-    df = df.withColumn("_ph", _pmf(h, F.col("grid_max"))).withColumn("_pa", _pmf(a, F.col("grid_max")))
-    df = df.withColumn("_t", _sum(F.col("_ph")) * _sum(F.col("_pa")))
-    return (df.withColumn("grid", _cells(F.transform("_ph", lambda x: _over(x, "_t")), F.col("_pa")))
-            .withColumn("omitted_mass", F.greatest(F.lit(0.0), 1.0 - F.col("_t"))).drop("_ph", "_pa", "_t"))
-
-
-def explode_grid(grids: DataFrame, id_col: str = "match_id") -> DataFrame:
-    return grids.select(id_col, F.explode("grid").alias("c")).select(id_col, "c.*")
-
-
-def grid_to_outcome(grids: DataFrame, prefix: str = "s_") -> DataFrame:
+    @arrow_udf("struct<grid: array<double>, grid_max: int, omitted_mass: double>")
+    def build(h: pa.Array, a: pa.Array) -> pa.Array:
+        x, y = _batch(h), _batch(a)
+        top = N.adaptive_support(x, y, tol, cap) if len(x) else np.zeros(0, dtype=int)
+        blocks, kept = [], np.ones(len(x))
+        for n in np.unique(top):
+            rows = np.flatnonzero(top == n)
+            raw = N.fixed(x[rows], y[rows], int(n), False)
+            kept[rows] = raw.sum(axis=(1, 2))
+            blocks.append((rows, raw / kept[rows][:, None, None]))
+        return _struct(grid=N.to_lists(blocks, len(x)), grid_max=top.astype(np.int32), omitted_mass=np.maximum(0.0, 1.0 - kept))
+
+    return rates.withColumn("_g", build(lh, la)).select(*rates.columns, "_g.grid", "_g.grid_max", "_g.omitted_mass")
+
+
+def explode_grid(grids: DataFrame, id_col: str = "match_id", grid: str = "grid") -> DataFrame:
+    side = F.round(F.sqrt(F.size(grid).cast("double"))).cast("int")
+    cells = grids.select(id_col, side.alias("_n"), F.posexplode(grid).alias("_k", "p"))
+    return cells.select(id_col, F.floor(F.col("_k") / F.col("_n")).cast("int").alias("hg"), (F.col("_k") % F.col("_n")).alias("ag"), "p")
+
+
+def grid_to_outcome(grids: DataFrame, prefix: str = "s_", grid: str = "grid") -> DataFrame:
     """Masses of away win, draw, home win."""
-    g = F.col("grid")
-    return grids.select("*", *[_mass(g, lambda c, k=k: _class_of(c) == k).alias(f"{prefix}{n}")
-                               for k, n in enumerate(CLASS_NAMES)])
+    @arrow_udf("struct<away: double, draw: double, home: double>")
+    def outcome(g: pa.Array) -> pa.Array:
+        out = np.full((len(g), 3), np.nan)
+        for rows, t in N.tensors(g):
+            out[rows] = N.masses(t)
+        return _struct(away=out[:, 0], draw=out[:, 1], home=out[:, 2])
+
+    return grids.withColumn("_o", outcome(grid)).select(*grids.columns, *[F.col(f"_o.{n}").alias(f"{prefix}{n}") for n in CLASS_NAMES])
 
 
 def dixon_coles(grids: DataFrame, rho: float = -0.2, lh: str = "lambda_home", la: str = "lambda_away") -> DataFrame:
     """Adjust the four low cells, clip at 0, renormalise. rho = 0 leaves the grid as it is."""
     if rho == 0:
         return grids
-    h, a = F.col(lh), F.col(la)
 
-    def tau(c):
-        at = lambda i, j: (c["hg"] == i) & (c["ag"] == j)
-        return (F.when(at(0, 0), 1 - h * a * rho).when(at(1, 1), 1 - F.lit(rho))
-                .when(at(0, 1), 1 + h * rho).when(at(1, 0), 1 + a * rho).otherwise(1.0))
+    @arrow_udf("array<double>")
+    def adjust(g: pa.Array, h: pa.Array, a: pa.Array) -> pa.Array:
+        return N.to_lists([(rows, N.low_score_factors(t, _batch(h, rows), _batch(a, rows), rho)) for rows, t in N.tensors(g)], len(g))
 
-    moved = grids.withColumn("grid", _scaled(F.col("grid"), lambda c: F.greatest(tau(c), F.lit(0.0))))
-    moved = moved.withColumn("_t", _mass(F.col("grid"), lambda c: F.lit(True)))
-    return moved.withColumn("grid", F.transform("grid", lambda c: F.struct(
-        c["hg"].alias("hg"), c["ag"].alias("ag"), _over(c["p"], "_t").alias("p")))).drop("_t")
+    return grids.withColumn("grid", adjust("grid", lh, la))
 
 
 def reweight_grid(grids: DataFrame, probs=("p_away", "p_draw", "p_home"), out: str = "grid") -> DataFrame:
@@ -129,23 +99,24 @@ def reweight_grid(grids: DataFrame, probs=("p_away", "p_draw", "p_home"), out: s
 
     A class without mass is an error if its probability is positive, and stays 0 otherwise.
     """
-    df = grid_to_outcome(grids, "_s_")
-
-    def pick(c, names):
-        away, draw, home = (F.col(n) for n in names)
-        return F.when(c["hg"] < c["ag"], away).when(c["hg"] == c["ag"], draw).otherwise(home)
+    @arrow_udf("array<double>")
+    def scale(g: pa.Array, qa: pa.Array, qd: pa.Array, qh: pa.Array) -> pa.Array:
+        return N.to_lists([(rows, N.reweight(t, np.stack([_batch(q, rows) for q in (qa, qd, qh)], axis=1))) for rows, t in N.tensors(g)], len(g))
 
-    masses = [f"_s_{n}" for n in CLASS_NAMES]
-    label = F.array(*[F.lit(n) for n in CLASS_NAMES])
+    return grids.withColumn(out, scale("grid", *probs))
 
-    def moved(c):
-        mass, q = pick(c, masses), pick(c, probs)
-        gap = F.raise_error(F.concat(F.lit("no score mass for "), F.element_at(label, _class_of(c) + 1))).cast("double")
-        # divide first: q/mass could overflow when the mass is subnormal
-        return F.when(mass > 0, c["p"] / F.when(mass > 0, mass) * q).when(q > 0, gap).otherwise(0.0)
 
-    cells = F.transform("grid", lambda c: F.struct(c["hg"].alias("hg"), c["ag"].alias("ag"), moved(c).alias("p")))
-    return df.withColumn(out, cells).drop(*masses)
+def _closed_form(t, h, a, x, y, q) -> np.ndarray:
+    """Log probability of scores outside the grid, without growing it."""
+    n = t.shape[1] - 1
+    lgam = np.vectorize(lambda k: float(math.lgamma(k + 1.0)), otypes=[float])
+    lp = h * np.log(x) - x - lgam(h) + a * np.log(y) - y - lgam(a)
+    raw = N.fixed(x, y, n, False)
+    if q is None:
+        return lp - np.log(raw.sum(axis=(1, 2)))
+    cls = (np.sign(h - a) + 1).astype(int)
+    pick = np.arange(len(h)), cls
+    return np.log(q[pick]) + lp - np.log(N.masses(raw)[pick])
 
 
 def score_stats(grids: DataFrame, hg: str = "home_goals", ag: str = "away_goals", target: tuple[str, str, str] | None = None,
@@ -155,35 +126,38 @@ def score_stats(grids: DataFrame, hg: str = "home_goals", ag: str = "away_goals"
     A true score outside the grid gets the closed form; the grid is not grown to
     reach it. `target` names the class probabilities a re-weighted grid was set to.
     """
-    g, h, a = F.col(grid), F.col(hg), F.col(ag)
-    outside = (h > F.col("grid_max")) | (a > F.col("grid_max"))
-    expected = F.aggregate(g, F.struct(F.lit(0.0).alias("h"), F.lit(0.0).alias("a")), lambda acc, c: F.struct(
-        (acc["h"] + c["p"] * c["hg"]).alias("h"), (acc["a"] + c["p"] * c["ag"]).alias("a")))
-    # greatest p; on ties the first cell in row-major order
-    mode = F.array_max(F.transform(g, lambda c: F.struct(c["p"].alias("p"), (-c["hg"]).alias("h"), (-c["ag"]).alias("a"))))
-    inside_p = F.element_at(g, (h * (F.col("grid_max") + 1) + a + 1).cast("int"))["p"]
-    df = grids.withColumn("_e", expected).withColumn("_m", mode).withColumn("_out", outside)
-    lp = poisson_logpmf(h, lh) + poisson_logpmf(a, la)
-    ph, pa = _pmf(F.col(lh), F.col("grid_max")), _pmf(F.col(la), F.col("grid_max"))
-    if target is None:
-        closed = lp - F.ln(_sum(ph) * _sum(pa))
-    else:
-        cls = F.when(h < a, 0).when(h == a, 1).otherwise(2)
-        base = F.aggregate(_cells(ph, pa), F.lit(0.0), lambda acc, c: acc + F.when(_class_of(c) == cls, c["p"]).otherwise(0.0))
-        q = F.when(cls == 0, F.col(target[0])).when(cls == 1, F.col(target[1])).otherwise(F.col(target[2]))
-        closed = F.ln(q) + lp - F.ln(base)
-    df = df.withColumn("_lp", F.when(F.col("_out"), closed).otherwise(F.ln(F.when(~F.col("_out"), inside_p))))
-    eh, ea = F.col("_e.h"), F.col("_e.a")
-    eh_err, ea_err, tot = F.abs(eh - h), F.abs(ea - a), F.abs(eh + ea - (h + a))
-    mh, ma = -F.col("_m.h"), -F.col("_m.a")
-    return df.select(
-        *grids.columns, eh.alias("expected_home_goals"), ea.alias("expected_away_goals"),
-        mh.cast("int").alias("mode_home_goals"), ma.cast("int").alias("mode_away_goals"),
-        F.exp("_lp").alias("true_score_probability"), (-F.col("_lp")).alias("true_score_nll"),
-        F.col("_out").cast("int").alias("actual_outside_grid"),
-        ((mh == h) & (ma == a)).cast("int").alias("exact_score_hit"),
-        eh_err.alias("home_abs_error"), ea_err.alias("away_abs_error"), (eh_err <= 1).cast("int").alias("home_within_1"),
-        (ea_err <= 1).cast("int").alias("away_within_1"), tot.alias("total_abs_error"), (tot <= 1).cast("int").alias("total_within_1"))
+    @arrow_udf(STATS_TYPE)
+    def stats(g: pa.Array, h: pa.Array, a: pa.Array, x: pa.Array, y: pa.Array, *q: pa.Array) -> pa.Array:
+        m = len(g)
+        mean, mode, log_p, outside = np.full((m, 2), np.nan), np.zeros((m, 2), dtype=np.int32), np.full(m, np.nan), np.zeros(m, dtype=np.int32)
+        for rows, t in N.tensors(g):
+            n = t.shape[1]
+            axis = np.arange(n, dtype=float)
+            mean[rows, 0], mean[rows, 1] = t.sum(axis=2) @ axis, t.sum(axis=1) @ axis
+            first = t.reshape(len(rows), -1).argmax(axis=1)  # first maximum in row-major order
+            mode[rows, 0], mode[rows, 1] = first // n, first % n
+            hh, aa = _batch(h, rows), _batch(a, rows)
+            far = (hh >= n) | (aa >= n)
+            outside[rows] = far
+            near = np.flatnonzero(~far)
+            with np.errstate(divide="ignore"):
+                log_p[rows[near]] = np.log(t[near, hh[near].astype(int), aa[near].astype(int)])
+            if far.any():
+                k = np.flatnonzero(far)
+                probs = np.stack([_batch(c, rows[k]) for c in q], axis=1) if q else None
+                log_p[rows[k]] = _closed_form(t, hh[k], aa[k], _batch(x, rows[k]), _batch(y, rows[k]), probs)
+        return _struct(expected_home_goals=mean[:, 0], expected_away_goals=mean[:, 1], mode_home_goals=mode[:, 0], mode_away_goals=mode[:, 1],
+                       true_score_nll=-log_p, actual_outside_grid=outside)
+
+    out = grids.withColumn("_s", stats(grid, hg, ag, lh, la, *(target or ()))).select(*grids.columns, "_s.*")
+    h, a = F.col(hg), F.col(ag)
+    eh, ea = F.col("expected_home_goals"), F.col("expected_away_goals")
+    home, away, total = F.abs(eh - h), F.abs(ea - a), F.abs(eh + ea - (h + a))
+    return out.select(
+        "*", F.exp(-F.col("true_score_nll")).alias("true_score_probability"),
+        ((F.col("mode_home_goals") == h) & (F.col("mode_away_goals") == a)).cast("int").alias("exact_score_hit"),
+        home.alias("home_abs_error"), away.alias("away_abs_error"), (home <= 1).cast("int").alias("home_within_1"),
+        (away <= 1).cast("int").alias("away_within_1"), total.alias("total_abs_error"), (total <= 1).cast("int").alias("total_within_1"))
 
 
 def nll_identity_check(df: DataFrame, fused_nll: str, base_nll: str, y: str = "y",
@@ -199,25 +173,39 @@ def nll_identity_check(df: DataFrame, fused_nll: str, base_nll: str, y: str = "y
 
 
 def over_under_prob(grids: DataFrame, threshold: float = 2.5, out: str = "p_over") -> DataFrame:
-    return grids.withColumn(out, F.least(F.lit(1.0), _mass(F.col("grid"), lambda c: (c["hg"] + c["ag"]) > threshold)))
+    @arrow_udf("double")
+    def over(g: pa.Array) -> pa.Array:
+        p = np.full(len(g), np.nan)
+        for rows, t in N.tensors(g):
+            side = np.arange(t.shape[1])
+            p[rows] = np.minimum(1.0, t[:, side[:, None] + side[None, :] > threshold].sum(axis=1))
+        return pa.array(p)
+
+    return grids.withColumn(out, over("grid"))
 
 
 def grid_validate(grids: DataFrame, probs: tuple[str, str, str] | None = None, atol: float = ATOL, id_col: str = "match_id") -> DataFrame:
     """Broken grids (and probability triples) as rows (id, problem)."""
-    g = F.col("grid")
-    n = F.size(g)
-    side = F.round(F.sqrt(n.cast("double"))).cast("int")
-    bad = lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf"))
-    problem = (F.when(n.isNull() | (n < 4) | (side * side != n), "not_square")
-               .when(F.exists(g, lambda c: bad(c["p"])), "negative_or_not_finite")
-               .when(F.abs(_mass(g, lambda c: F.lit(True)) - 1) > atol, "not_normalised"))
-    if probs:
-        a, d, h = (F.col(p) for p in probs)
-        problem = (problem.when(bad(a) | bad(d) | bad(h), "bad_probability")
-                   .when(F.abs(a + d + h - 1) > atol, "probabilities_not_normalised"))
+    @arrow_udf("string")
+    def problem(g: pa.Array, *q: pa.Array) -> pa.Array:
+        found = np.full(len(g), "not_square", dtype=object)
+        for rows, t in N.tensors(g):
+            flat = t.reshape(len(rows), -1)
+            bad = ~(np.isfinite(flat) & (flat >= 0)).all(axis=1)
+            with np.errstate(invalid="ignore"):
+                off = ~(np.abs(flat.sum(axis=1) - 1) <= atol)
+            found[rows] = np.where(bad, "negative_or_not_finite", np.where(off, "not_normalised", None))
+        if q:
+            p = np.stack([_batch(c) for c in q], axis=1)
+            bad = ~(np.isfinite(p) & (p >= 0)).all(axis=1)
+            label = np.where(bad, "bad_probability", np.where(~(np.abs(p.sum(axis=1) - 1) <= atol), "probabilities_not_normalised", None))
+            found = np.where(found == None, label, found)  # noqa: E711 - elementwise
+        return pa.array(found, type=pa.string())
+
     # exploding the list of problems emits broken rows only, without a filter that
     # would be pushed below the grid computation
-    return grids.select(id_col, F.explode(F.filter(F.array(problem), lambda p: p.isNotNull())).alias("problem"))
+    found = F.filter(F.array(problem("grid", *(probs or ()))), lambda p: p.isNotNull())
+    return grids.select(id_col, F.explode(found).alias("problem"))
 
 
 def poisson_outcome_tail(rates: DataFrame, max_goals: int = 8, lh: str = "lambda_home", la: str = "lambda_away") -> DataFrame:
