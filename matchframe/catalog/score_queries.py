@@ -9,6 +9,7 @@ from ..operators import models as FM
 from ..operators import scores as G
 from ..operators.metrics import goal_metrics
 from ..plans import views
+from ..plans.session import materialize
 from .base import MATCHES, PREDS, TEAM_ROWS, matches, query, r, with_
 from .history_queries import SEASON_RATINGS
 
@@ -24,7 +25,8 @@ BASE = (MATCHES, TEAM_ROWS, RATES)
 
 def rates(spark, d):
     m = matches(spark, d)
-    params = FM.fit_attack_defence(m.where("season < 2000"))
+    # fitted parameters are a small table: write them once instead of fitting them in every branch of the plan
+    params = materialize(FM.fit_attack_defence(m.where("season < 2000")))
     return FM.expected_goals(m, params).select("match_id", "season", "y", "home_goals", "away_goals", "lambda_home", "lambda_away")
 
 

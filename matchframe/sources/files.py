@@ -11,37 +11,41 @@ from pyspark.sql import types as T
 from ..functions.scalars import map_names
 from .quality import season_from_source
 
-# Source header -> canonical name. The odds block follows a rule (company code,
-# closing mark, outcome letter); the rest are fixed values.
-_BASE_HEADERS = {
-    "Div": "division", "Date": "date", "Time": "time", "HomeTeam": "home_team", "AwayTeam": "away_team",
-    "Referee": "referee", "FTR": "result_full", "HTR": "result_half",
-    "FTHG": "home_goals_full", "FTAG": "away_goals_full", "HTHG": "home_goals_half", "HTAG": "away_goals_half",
+# Source header -> canonical name (fixed values)
+HEADER_NAMES = {
+    "Div": "division", "Date": "date", "Time": "time",
+    "HomeTeam": "home_team", "AwayTeam": "away_team",
+    "FTHG": "home_goals_full", "FTAG": "away_goals_full", "FTR": "result_full",
+    "HTHG": "home_goals_half", "HTAG": "away_goals_half", "HTR": "result_half",
+    "Referee": "referee",
+    "HS": "home_shots", "AS": "away_shots",
     "HST": "home_shots_target", "AST": "away_shots_target",
+    "HF": "home_fouls", "AF": "away_fouls",
+    "HC": "home_corners", "AC": "away_corners",
+    "HY": "home_yellow", "AY": "away_yellow",
+    "HR": "home_red", "AR": "away_red",
+    "B365H": "odds_home", "B365D": "odds_draw", "B365A": "odds_away",
+    "BWH": "odds_home_bw", "BWD": "odds_draw_bw", "BWA": "odds_away_bw",
+    "PSH": "odds_home_ps", "PSD": "odds_draw_ps", "PSA": "odds_away_ps",
+    "MaxH": "odds_home_max", "MaxD": "odds_draw_max", "MaxA": "odds_away_max",
+    "AvgH": "odds_home_avg", "AvgD": "odds_draw_avg", "AvgA": "odds_away_avg",
+    "B365CH": "odds_home_close", "B365CD": "odds_draw_close", "B365CA": "odds_away_close",
+    "BWCH": "odds_home_bw_close", "BWCD": "odds_draw_bw_close", "BWCA": "odds_away_bw_close",
+    "PSCH": "odds_home_ps_close", "PSCD": "odds_draw_ps_close", "PSCA": "odds_away_ps_close",
+    "MaxCH": "odds_home_max_close", "MaxCD": "odds_draw_max_close", "MaxCA": "odds_away_max_close",
+    "AvgCH": "odds_home_avg_close", "AvgCD": "odds_draw_avg_close", "AvgCA": "odds_away_avg_close",
+    "B365>2.5": "over_2.5", "B365<2.5": "under_2.5",
+    "Avg>2.5": "over_2.5_avg", "Avg<2.5": "under_2.5_avg",
+    "B365C>2.5": "over_2.5_close", "B365C<2.5": "under_2.5_close",
+    "AvgC>2.5": "over_2.5_avg_close", "AvgC<2.5": "under_2.5_avg_close",
     "AHh": "asian_handicap", "B365AHH": "ah_home", "B365AHA": "ah_away",
 }
-_STATS = {"S": "shots", "F": "fouls", "C": "corners", "Y": "yellow", "R": "red"}
-_COMPANIES = {"B365": "", "BW": "_bw", "PS": "_ps", "Max": "_max", "Avg": "_avg"}
-
-
-def header_names() -> dict[str, str]:
-    names = dict(_BASE_HEADERS)
-    for code, stat in _STATS.items():
-        names[f"H{code}"], names[f"A{code}"] = f"home_{stat}", f"away_{stat}"
-    for closing, tail in (("", ""), ("C", "_close")):
-        for code, company in _COMPANIES.items():
-            for letter, side in (("H", "home"), ("D", "draw"), ("A", "away")):
-                names[f"{code}{closing}{letter}"] = f"odds_{side}{company}{tail}"
-        for code, company in (("B365", ""), ("Avg", "_avg")):
-            names[f"{code}{closing}>2.5"] = f"over_2.5{company}{tail}"
-            names[f"{code}{closing}<2.5"] = f"under_2.5{company}{tail}"
-    return names
-
-
-NUMERIC_COLUMNS = tuple(
-    [f"{side}_goals_{part}" for part in ("full", "half") for side in ("home", "away")]
-    + [f"{side}_{stat}" for stat in ("shots", "shots_target", "fouls", "corners", "yellow", "red")
-       for side in ("home", "away")])
+# Columns read as numbers (fixed values)
+NUMERIC_COLUMNS = (
+    "home_goals_full", "away_goals_full", "home_goals_half", "away_goals_half", "home_shots", "away_shots",
+    "home_shots_target", "away_shots_target", "home_fouls", "away_fouls", "home_corners", "away_corners",
+    "home_yellow", "away_yellow", "home_red", "away_red",
+)
 
 
 def read_match_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -51,8 +55,7 @@ def read_match_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     them with `union_seasons`.
     """
     raw = spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True)
-    known = header_names()
-    kept = [F.col(f"`{c}`").alias(known[c]) for c in raw.columns if c in known]
+    kept = [F.col(f"`{c}`").alias(HEADER_NAMES[c]) for c in raw.columns if c in HEADER_NAMES]
     return raw.select(*kept, F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"))
 
 

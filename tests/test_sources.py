@@ -32,7 +32,7 @@ def test_dates(spark):
 
 
 def test_header_names_cover_the_layout():
-    names = A.header_names()
+    names = A.HEADER_NAMES
     assert len(names) == 65 and len(A.NUMERIC_COLUMNS) == 16
     assert names["PSCD"] == "odds_draw_ps_close" and names["AvgC<2.5"] == "under_2.5_avg_close" and names["B365H"] == "odds_home"
 
