@@ -363,11 +363,11 @@ def enrich_by_date(spark, d):
     return D.enrich_by_date(m, views.feed(m), views.name_map(spark)).select("match_id", "home_ppg", "away_ppg", "home_xg", "away_xg")
 
 
-@query("D2_enrich_by_fixture", M + f"""SELECT m.match_id, {r("x.close_home AS close_home")} FROM matches m LEFT JOIN (SELECT season, home_team, away_team, MIN(odds_home) AS close_home FROM matches WHERE match_id % 3 = 0 GROUP BY 1, 2, 3) x
+@query("D2_enrich_by_fixture", M + f"""SELECT m.match_id, {r("x.close_home AS close_home")} FROM matches m LEFT JOIN (SELECT season, home_team, away_team, MIN(odds_home) AS close_home FROM matches WHERE home_shots > away_shots GROUP BY 1, 2, 3) x
 ON x.season = m.season AND x.home_team = m.home_team AND x.away_team = m.away_team""")
 def enrich_by_fixture(spark, d):
     m = matches(spark, d)
-    side = m.where("match_id % 3 = 0").select("season", "home_team", "away_team", F.col("odds_home").alias("close_home"))
+    side = m.where("home_shots > away_shots").select("season", "home_team", "away_team", F.col("odds_home").alias("close_home"))
     return D.enrich_by_fixture(m, side).select("match_id", "close_home")
 
 

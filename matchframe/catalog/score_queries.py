@@ -236,9 +236,11 @@ def blend_weight(spark, d):
     return FM.blend_weight(*_two(spark, d))
 
 
-@query("F12_two_tier", with_(MATCHES, PREDS, TWO) + f"SELECT match_id, {r(*[f'CASE WHEN a.match_id % 3 = 0 THEN a.p_{n} ELSE b.p_{n} END AS p_{n}' for n in ('away', 'draw', 'home')])}, CASE WHEN match_id % 3 = 0 THEN 1 ELSE 2 END AS tier FROM a JOIN b USING (match_id)")
-def two_tier(spark, d):
-    rich, fallback = _two(spark, d)
-    return FM.two_tier(rich.where("match_id % 3 = 0"), fallback).select("match_id", "p_away", "p_draw", "p_home", "tier")
+COVERED = "a.p_home > a.p_away"
 
 
+@query("F12_two_tier", with_(MATCHES, PREDS, TWO) + f"SELECT match_id, {r(*[f'CASE WHEN {COVERED} THEN a.p_{n} ELSE b.p_{n} END AS p_{n}' for n in ('away', 'draw', 'home')])}, CASE WHEN {COVERED} THEN 1 ELSE 2 END AS tier FROM a JOIN b USING (match_id)")
+def two_tier(spark, d):
+    """The first model covers the matches it gives to the home side."""
+    rich, fallback = _two(spark, d)
+    return FM.two_tier(rich.where("p_home > p_away"), fallback).select("match_id", "p_away", "p_draw", "p_home", "tier")

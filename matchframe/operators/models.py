@@ -48,16 +48,16 @@ class Fitted:
         return self.pipeline.transform(df)
 
 
-def _prepare(train: DataFrame, cols: Sequence[str], scaled: bool) -> tuple[Pipeline, int]:
+def _prepare(train: DataFrame, cols: Sequence[str], scaled: bool) -> tuple[list, int]:
     """Fill (and scale) projection from training statistics: one aggregation, one small row."""
-    stats = train.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.coalesce(F.avg(c), F.lit(0.0)), F.stddev_pop(c)).alias(f"s{i}")
-                                                      for i, c in enumerate(cols)]).first()
+    sds = [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)] if scaled else []
+    stats = train.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(cols)], *sds).first()
     parts = []
     for i, c in enumerate(cols):
-        mean, sd = stats[f"s{i}"]
+        mean = stats[f"m{i}"]
         value = f"COALESCE(CAST(`{c}` AS DOUBLE), CAST({mean!r} AS DOUBLE))"
         if scaled:
-            value = f"({value} - CAST({mean!r} AS DOUBLE)) / CAST({(sd or 1.0)!r} AS DOUBLE)"
+            value = f"({value} - CAST({mean!r} AS DOUBLE)) / CAST({(stats[f's{i}'] or 1.0)!r} AS DOUBLE)"
         parts.append(f"{value} AS `_x{i}`")
     fill = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
     vector = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(cols))], outputCol="features")
