@@ -60,9 +60,12 @@ def outcome_cols(p="p", prefix="s_"):
     return [f"SUM(CASE WHEN hg < ag THEN {p} ELSE 0 END) AS {prefix}away", f"SUM(CASE WHEN hg = ag THEN {p} ELSE 0 END) AS {prefix}draw", f"SUM(CASE WHEN hg > ag THEN {p} ELSE 0 END) AS {prefix}home"]
 
 
-@query("G1_score_grid_fixed", with_(*BASE, grid_sql()) + f"SELECT match_id, CAST(hg AS INT) AS hg, CAST(ag AS INT) AS ag, {r('p')} FROM grid")
+@query("G1_score_grid_fixed", with_(*BASE, grid_sql()) + f"SELECT CAST(hg AS INT) AS hg, CAST(ag AS INT) AS ag, COUNT(*) AS n, {r('SUM(p) AS sum_p', 'MIN(p) AS min_p', 'MAX(p) AS max_p', 'SUM(p * match_id) / 1e6 AS keyed')} FROM grid GROUP BY hg, ag")
 def score_grid_fixed(spark, d):
-    return G.explode_grid(G.score_grid_fixed(rates(spark, d)))
+    """All cells of all grids, summed per score; `keyed` ties the cells to their matches."""
+    cells = G.explode_grid(G.score_grid_fixed(rates(spark, d)))
+    return cells.groupBy("hg", "ag").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("sum_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"),
+                                         (F.sum(F.col("p") * F.col("match_id")) / 1e6).alias("keyed"))
 
 
 ADAPTIVE = """cdf AS (SELECT match_id, k, SUM(EXP(k * LN(lambda_home) - lambda_home - LGAMMA(k + 1))) OVER w AS ch, SUM(EXP(k * LN(lambda_away) - lambda_away - LGAMMA(k + 1))) OVER w AS ca
