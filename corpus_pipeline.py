@@ -6,17 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matchframe.llm.base import prepare, read, scratch_dir
 from matchframe.llm.bpe_codec import encode_documents
+from matchframe.llm.decontamination import drop_leaks
+from matchframe.llm.secret_scan import mask_secrets
+from matchframe.llm.simhash_gray import keep_one
+from matchframe.llm.toxicity import drop_toxic
 
 # No SQL: the tokenizer, toxicity model and edit distance have no SQL form.
 ORACLE_SQL = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that are more likely toxic than not."""
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets masked."""
+    return mask_secrets(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with their decoded text."""
     return encode_documents(docs)
 
 
-STAGES = [("bpe_codec", encode)]
+STAGES = [("toxicity", toxicity), ("simhash_near_duplicates", near_duplicates), ("decontamination", decontamination),
+          ("secret_scan", secrets), ("bpe_codec", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
