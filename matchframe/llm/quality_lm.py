@@ -177,8 +177,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sha
     good = scored.join(trusted, "doc_id", "left_semi").where("perplexity IS NOT NULL")
     limit = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     overall = good.agg(limit).first().threshold
-    per = good.groupBy("lang").agg(limit)
-    out = scored.join(per, scored.lang.eqNullSafe(per.lang), "left").select("doc_id", scored.lang, "perplexity", F.coalesce("threshold", F.lit(float("inf") if overall is None else overall)).alias("threshold"))
+    per = good.groupBy(F.col("lang").alias("of_lang")).agg(limit)
+    out = scored.join(per, F.col("lang").eqNullSafe(F.col("of_lang")), "left").select("doc_id", "lang", "perplexity", F.coalesce("threshold", F.lit(float("inf") if overall is None else overall)).alias("threshold"))
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
 
 
