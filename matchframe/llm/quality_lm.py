@@ -23,7 +23,7 @@ from .base import materialize, query, read, whole_text
 from .toxicity import in_training
 
 ORDER = 4
-QUANTILE = 0.99
+QUANTILE = 0.97
 SHARD_ROWS = 4_000_000    # model rows that are broadcast at once
 BATCH_CHARS = 1_000_000
 MASKS = [(1 << 16 * k) - 1 for k in range(ORDER)] + [-1]
