@@ -328,10 +328,10 @@ def rolling_time_accuracy_day(spark, d):
 
 
 @query("C18_row_ranking", with_(MATCHES, TEAM_ROWS) + f"""SELECT season, team, {r("pts AS points")}, CAST(ROW_NUMBER() OVER (PARTITION BY season ORDER BY pts DESC, team) AS INT) AS rank
-FROM (SELECT season, team, SUM(points) AS pts FROM team_rows GROUP BY season, team) QUALIFY ROW_NUMBER() OVER (PARTITION BY season ORDER BY pts DESC, team) <= 5""")
+FROM (SELECT season, team, SUM(points) AS pts FROM team_rows GROUP BY season, team)""")
 def row_ranking(spark, d):
     totals = C.to_team_rows(matches(spark, d)).groupBy("season", "team").agg(F.sum("points").alias("points"))
-    return C.row_ranking(totals, ["season"], [F.col("points").desc(), F.col("team")], limit=5)
+    return C.row_ranking(totals, ["season"], [F.col("points").desc(), F.col("team")])
 
 
 @query("dated_rank", M + "SELECT match_id, division, ROW_NUMBER() OVER (PARTITION BY division ORDER BY match_date, match_id) AS row_rank FROM matches")

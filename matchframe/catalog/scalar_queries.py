@@ -81,8 +81,7 @@ def shifted(spark, d):
 @query("A12_season_mismatch_report", with_(MATCHES, SHIFTED) + f"""SELECT match_id, {LABEL.format(s='src')} AS source_season, {LABEL.format(s='season10')} AS calendar_season
 FROM shifted WHERE src <> season10""")
 def season_mismatch_report(spark, d):
-    df = shifted(spark, d).where("season >= 1994")
-    return quality.season_mismatch_report(df).select("match_id", "source_season", "calendar_season")
+    return quality.season_mismatch_report(shifted(spark, d)).select("match_id", "source_season", "calendar_season")
 
 
 @query("A13_source_file_audit", with_(MATCHES, SHIFTED) + f"""SELECT CONCAT(division, LPAD(CAST(src % 100 AS VARCHAR), 2, '0'), LPAD(CAST((src + 1) % 100 AS VARCHAR), 2, '0'), '.csv') AS source_file,
@@ -160,7 +159,7 @@ def _variant_sql(oh: str, where: str = "", extra: str = "", default: str | None
     return with_(MATCHES, BAD) + f"SELECT match_id, {cols}{extra} FROM bad {where}"
 
 
-@query("B2v_floor", _variant_sql("CASE WHEN odds_home IS NULL THEN 1.01 ELSE GREATEST(odds_home, 1.01) END"))
+@query("B2v_floor", _variant_sql("CASE WHEN odds_home IS NOT NULL THEN GREATEST(odds_home, 1.01) END"))
 def market_floor(spark, d):
     return S.market_probs(_bad(matches(spark, d)), on_invalid="floor").select("match_id", "q_away", "q_draw", "q_home")
 

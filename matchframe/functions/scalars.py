@@ -49,7 +49,7 @@ def market_probs(df: DataFrame, cols: Sequence[str] = ODDS_COLS, on_invalid: str
         # NaN sorts above infinity, so the two comparisons leave finite odds only
         valid = valid & (F.col(c) > 1) & (F.col(c) < float("inf"))
     if on_invalid == "floor":
-        odds = [F.greatest(F.col(c), F.lit(1.01)) for c in cols]
+        odds = [F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(1.01))) for c in cols]  # greatest() alone skips nulls
     elif on_invalid == "null":
         odds = [F.nullif(F.col(c), F.lit(0.0)) for c in cols]
     else:

@@ -67,11 +67,12 @@ def _prepare(train: DataFrame, cols: Sequence[str], scaled: bool) -> tuple[list,
 def _fit(name: str, train: DataFrame, cols: Sequence[str], make: Callable, scaled: bool = False, link: str = "probability",
          label: str = LABEL) -> Fitted:
     start = time.perf_counter()
+    train = train.where(F.col(label).isNotNull())  # counts and means come from the rows that are fitted
     stages, n = _prepare(train, cols, scaled)
     if n == 0:
         raise ValueError("no training rows")
     estimator = make(n)
-    pipeline = Pipeline(stages=[*stages, estimator]).fit(train.where(F.col(label).isNotNull()))
+    pipeline = Pipeline(stages=[*stages, estimator]).fit(train)
     return Fitted(name, pipeline, list(cols), n, link, {"model": name, "n_features": len(cols), "n_train": n,
                                                         "fit_seconds": time.perf_counter() - start})
 

@@ -179,7 +179,7 @@ def over_under_prob(grids: DataFrame, threshold: float = 2.5, out: str = "p_over
         for rows, t in N.tensors(g):
             side = np.arange(t.shape[1])
             p[rows] = np.minimum(1.0, t[:, side[:, None] + side[None, :] > threshold].sum(axis=1))
-        return pa.array(p)
+        return pa.array(p, mask=np.isnan(p))
 
     return grids.withColumn(out, over("grid"))
 

@@ -51,10 +51,18 @@ NUMERIC_COLUMNS = (
 def read_match_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Season files with known headers renamed and all others dropped, as text.
 
-    Files of one call share a header layout; read each layout once and combine
-    them with `union_seasons`.
+    Files may differ in their columns and the order of these: the header line of each
+    file is read first, files are read by layout, and layouts are combined by name. A
+    column that a layout lacks is null.
     """
-    raw = spark.read.csv(paths if isinstance(paths, str) else list(paths), header=True)
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.text(paths if isinstance(paths, str) else list(paths)).inputFiles()):
+        layouts.setdefault(tuple(spark.read.csv(file, header=True).columns), []).append(file)
+    return union_seasons([_read_layout(spark, files) for files in layouts.values()])
+
+
+def _read_layout(spark: SparkSession, files: list[str]) -> DataFrame:
+    raw = spark.read.csv(files, header=True, enforceSchema=False)
     kept = [F.col(f"`{c}`").alias(HEADER_NAMES[c]) for c in raw.columns if c in HEADER_NAMES]
     return raw.select(*kept, F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"))
 
@@ -62,11 +70,11 @@ def read_match_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 def parse_match_date(df: DataFrame, col: str = "date") -> DataFrame:
     """Day-first dates with two- or four-digit years; anything else becomes null."""
     text = F.trim(F.col(col))
-    long = F.try_to_timestamp(text, F.lit("dd/MM/yyyy")).cast("date")
-    short = F.try_to_timestamp(text, F.lit("dd/MM/yy")).cast("date")
+    long = F.try_to_timestamp(text, F.lit("d/M/yyyy")).cast("date")
+    short = F.try_to_timestamp(text, F.lit("d/M/yy")).cast("date")
     # two-digit years 69..99 belong to the last century (the POSIX rule)
     short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
-    return df.withColumn(col, F.when(F.length(text) > 8, long).otherwise(short))
+    return df.withColumn(col, F.when(F.length(F.substring_index(text, "/", -1)) > 2, long).otherwise(short))
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str] = NUMERIC_COLUMNS) -> DataFrame:
@@ -147,9 +155,13 @@ def parse_feed_time(col) -> Column:
 
 
 def read_feed_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Feed matches: `N/A`, `NA` and empty fields are null; a column becomes numeric if all its
+    other values are numbers (counted in one pass), text stays text."""
     raw = spark.read.csv(path if isinstance(path, str) else list(path), header=True)
+    raw = raw.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin("N/A", "NA", ""), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     text = {"home_team_name", "away_team_name", "date_GMT"}
-    cols = [F.col(f"`{c}`") if c in text else F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns]
+    odd = raw.agg(*[F.count(F.when(F.col(f"`{c}`").try_cast("double").isNull(), F.col(f"`{c}`"))).alias(c) for c in raw.columns]).first()
+    cols = [F.col(f"`{c}`") if c in text or odd[c] else F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns]
     return raw.select(*cols).withColumn("kickoff", parse_feed_time("date_GMT")).withColumn("feed_date", F.to_date("kickoff"))
 
 

@@ -143,3 +143,20 @@ def test_stream_rating_equals_batch_and_rejects_late_rows(spark, tmp_path):
     late = S.stream_rating(_feed(spark, df, tmp_path / "b", CUTS[::-1]))
     with pytest.raises(Exception, match="late match"):
         S.run_available(late, f"{tmp_path}/out2", f"{tmp_path}/cp2")
+
+
+def test_mixed_layouts_dates_and_text(spark, tmp_path):
+    from matchframe.functions.scalars import market_probs
+    from matchframe.sources import files
+    (tmp_path / "E01415.csv").write_text("Div,Date,HomeTeam,AwayTeam,FTHG,FTAG\nE0,1/8/2015,A,B,2,1\n")
+    (tmp_path / "E01516.csv").write_text("Div,Date,Time,HomeTeam,AwayTeam,FTAG,FTHG\nE0,12/8/15,15:00,C,D,0,3\n")
+    (tmp_path / "E09900.csv").write_text("Date,Div,AwayTeam,HomeTeam\n02/09/99,E0,F,E\n")
+    got = files.parse_match_date(files.read_match_csv(spark, str(tmp_path))).orderBy("date").collect()
+    assert [(str(r.date), r.home_team, r.away_team, r.home_goals_full, r.time) for r in got] == [
+        ("1999-09-02", "E", "F", None, None), ("2015-08-01", "A", "B", "2", None), ("2015-08-12", "C", "D", "3", "15:00")]
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "f.csv").write_text("home_team_name,away_team_name,date_GMT,status,goals\nA,B,Aug 01 2015 - 3:00pm,complete,2\nC,D,Aug 02 2015 - 3:00pm,NA,N/A\n")
+    feed = files.read_feed_csv(spark, str(tmp_path / "feed")).orderBy("home_team_name").collect()
+    assert [(r.status, r.goals) for r in feed] == [("complete", 2.0), (None, None)]
+    odds = spark.createDataFrame([(None, 3.0, 2.0)], "odds_home double, odds_draw double, odds_away double")
+    assert market_probs(odds, on_invalid="floor").first().q_home is None
