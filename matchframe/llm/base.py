@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 # long ones within a worker's memory.
 TEXT_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
-__all__ = ["ORACLES", "QUERIES", "by_rows", "materialize", "prepare", "query", "read", "scratch_dir", "whole_text"]
+__all__ = ["ORACLES", "QUERIES", "by_rows", "let", "materialize", "prepare", "query", "read", "running", "scratch_dir", "unused", "whole_text"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -52,6 +52,41 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """zero, then the values combined up to each one: one element more than the array has.
+
+    Blocks are folded first and then their insides, so no step copies all that came before it
+    and a very long array costs little more than a linear scan.
+    """
+    width = 256
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / width).cast("int")), lambda b: F.slice(values, b * width + 1, F.lit(width)))
+
+    def fold(array: Column, first: Column) -> Column:
+        return F.aggregate(array, F.array(first), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def inside(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, zero, combine))
+        return let(fold(totals, zero), lambda heads: F.concat(F.array(zero), F.flatten(
+            F.transform(parts, lambda part, i: F.slice(fold(part, F.get(heads, i)), 2, width)))))
+    return let(blocks, inside)
+
+
 def by_rows(make: Callable[[], Callable], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow: make() is called once a task and gives a function from the
     columns of a row (Python values) to the tuple of output values."""

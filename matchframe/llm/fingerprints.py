@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import query, read, whole_text
+from .base import let, query, read, whole_text
 
 SLOTS, SHINGLE = 128, 5
 RANGE_ROWS = 2000        # wanted rows of one range of ids
@@ -27,11 +27,6 @@ MOST_RANGES = 1 << 16    # bound of the table of range heads that is broadcast
 SCALE, SHIFT, SLOT_SHIFT = float(1 << 46), 256.0, 56  # ln a as 55-bit fixed-point number
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def uniform(bits: Column) -> Column:
     """A 32-bit number to (0, 1)."""
     return (bits + F.lit(0.5)) / F.lit(float(1 << 32))

@@ -145,7 +145,12 @@ def perplexities(docs: DataFrame, model: tuple[list[DataFrame], list[DataFrame]]
                   [_arrays(t if k < 2 else mine(t, F.col("h"))) for k, t in enumerate(gammas)])
         part = taken.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(tables), n, s), "doc_id long, lang string, digest long, ln_p double, n long")
         out = part if out is None else out.unionByName(part)
-    return out if n == 1 else out.groupBy("doc_id", "lang", "digest").agg(F.sum("ln_p").alias("ln_p"), F.sum("n").alias("n"))
+    if n == 1:
+        return out
+    # every row, a repeated one too, comes once from each shard
+    copies = (F.count("*") / n).cast("int").alias("copies")
+    summed = out.groupBy("doc_id", "lang", "digest").agg(F.sum("ln_p").alias("ln_p"), F.sum("n").alias("n"), copies)
+    return summed.select("doc_id", "lang", "digest", F.col("ln_p") / F.col("copies"), (F.col("n") / F.col("copies")).cast("long"), F.explode(F.sequence(F.lit(1), "copies"))).toDF("doc_id", "lang", "digest", "ln_p", "n", "copy").drop("copy")
 
 
 def _scorer(shared, n: int, s: int):

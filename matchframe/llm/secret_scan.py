@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, query, read, whole_text
-from .fingerprints import let
+from .base import let, materialize, query, read, running, unused, whole_text
 
 # fixed values: the kinds, their patterns, and the least length of the named group
 BASE = (
@@ -53,8 +52,7 @@ def matches(text: Column, pattern: str, group: int = 0, least: int = 0) -> Colum
 
     def placed(m, g, v):
         steps = F.flatten(F.transform(m, lambda x, i: F.array(F.length(F.get(g, i)), F.length(x))))
-        ends = F.aggregate(steps, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-        return let(ends, lambda e: F.filter(
+        return let(running(steps, F.lit(0), lambda a, b: a + b), lambda e: F.filter(
             F.transform(v, lambda x, i: F.struct(F.get(e, 2 * i + 1).alias("start"), F.get(e, 2 * i + 2).alias("end"), x.alias("value"))),
             lambda s: F.length(s["value"]) >= least))
     return let(whole, lambda m: let(gaps, lambda g: let(part, lambda v: placed(m, g, v))))
@@ -155,8 +153,17 @@ def thresholds(found: DataFrame, column: str = "candidates") -> list[float]:
 def all_spans(base: Column, found: Column, least: list[float]) -> Column:
     """Base spans and the accepted candidates that overlap none of them, by start and kind."""
     limit = lambda c: F.element_at(F.array(*map(F.lit, least)), c["class"] + 1)
-    taken = F.filter(found, lambda c: ~c["decoy"] & (c["p"] >= limit(c)) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return F.array_sort(F.concat(base, F.transform(taken, lambda c: F.struct(c["start"].alias("start"), F.lit(len(BASE)).alias("kind"), c["end"].alias("end")))))
+    taken = F.filter(found, lambda c: ~c["decoy"] & (c["p"] >= limit(c)))
+    spans = F.array_sort(F.concat(base, F.transform(taken, lambda c: F.struct(c["start"].alias("start"), F.lit(len(BASE)).alias("kind"), c["end"].alias("end")))))
+    own, far = lambda s: s["kind"] < len(BASE), F.lit(2147483647)
+
+    def apart(sp):
+        # the farthest end of the base spans before each span, and the nearest start of those after it
+        before = running(F.transform(sp, lambda s: F.when(own(s), s["end"]).otherwise(F.lit(0))), F.lit(0), lambda a, b: F.greatest(a, b))
+        after = running(F.reverse(F.transform(sp, lambda s: F.when(own(s), s["start"]).otherwise(far))), far, lambda a, b: F.least(a, b))
+        return let(before, lambda e: let(after, lambda b: F.filter(
+            sp, lambda s, i: own(s) | ((F.get(e, i) <= s["start"]) & (F.get(b, F.size(sp) - 1 - i) >= s["end"])))))
+    return F.when(F.size(taken) == 0, base).otherwise(let(spans, apart))
 
 
 def as_text(spans: Column) -> Column:
@@ -177,16 +184,15 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     follows where there is such a column. Texts without secrets, null ones too, stay as they are."""
     found = materialize(docs.select(candidates(whole_text()).alias("candidates")))
     least = thresholds(found)
-    text = whole_text()
-    spans = let(base_spans(text), lambda b: all_spans(b, candidates(text), least))
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        more = F.when(s["start"] >= acc["pos"], F.concat(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(MASK))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], more).alias("out"))
-    masked = let(spans, lambda sp: F.when(F.size(sp) == 0, F.col("text")).otherwise(
-        F.aggregate(sp, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.lit(2147483647))))))
-    out = docs.withColumn("text", masked)
+    text, (base, spans) = whole_text(), unused(docs, "base", "spans")
+    marked = docs.withColumn(base, base_spans(text)).withColumn(spans, all_spans(F.col(base), candidates(text), least))
+
+    def replaced(sp):
+        def joined(pos):  # where the text before each span, and the rest of it, begins
+            parts = F.transform(sp, lambda s, i: F.when(s["start"] >= F.get(pos, i), F.concat(F.substring(text, F.get(pos, i) + 1, s["start"] - F.get(pos, i)), F.lit(MASK))).otherwise(F.lit("")))
+            return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(pos, -1) + 1, F.lit(2147483647)))
+        return let(running(F.transform(sp, lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b)), joined)
+    out = marked.withColumn("text", F.when(F.size(spans) == 0, F.col("text")).otherwise(replaced(F.col(spans))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)

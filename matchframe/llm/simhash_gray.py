@@ -19,12 +19,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import by_rows, materialize, query, read, whole_text
+from .base import by_rows, materialize, query, read, unused, whole_text
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 GROUP_ROWS = 1 << 12   # wanted mean size of a group when the number of blocks is chosen
@@ -228,6 +229,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id take part, and a component of only such rows has a null component_id. Repeated
     rows come out as often as they went in.
     """
+    return _with_roots(docs, id_col, text_col).drop("root")
+
+
+def _with_roots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of near_duplicates() with the fingerprint that names the component (root)."""
     fps = materialize(fingerprints(docs, id_col, text_col))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link_fingerprints(distinct.select("fp")))
@@ -235,18 +241,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # most fingerprints are alone: only those with links have to be gathered by root
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    per_fp = rooted.join(lowest, "root", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    return fps.join(per_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    per_fp = rooted.join(lowest, "root", "left").select("fp", "root", F.coalesce("lowest", "least").alias("component_id"))
+    return fps.join(per_fp, "fp", "left").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns stay. Rows
-    without an id are kept only where their component has no row with one, one of them each.
+    """One document of each component, the one with the smallest id; all columns stay.
+
+    Rows that share an id but not a component are told apart by their fingerprints. A
+    component of rows without ids keeps one of them. Of rows with the same id and fingerprint
+    the one with the lowest hash of its text stays.
     """
-    marked = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
-    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    named = docs.join(kept.select(F.col("doc_id").alias("__kept_id")), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
-    return named.dropDuplicates([id_col])
+    marked = _with_roots(docs.select(id_col, text_col), id_col, text_col)
+    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
+    kept_id, kept_fp, own_fp, row = unused(docs, "kept_id", "kept_fp", "fp", "row")
+    held = kept.select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp))
+
+    @F.pandas_udf("long")
+    def fp(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _signed(fingerprint(t))).astype("int64")
+    keyed = docs.withColumn(own_fp, fp(whole_text(text_col)))
+    named = keyed.join(held, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own_fp) == F.col(kept_fp)), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, own_fp).orderBy(F.xxhash64(whole_text(text_col))))
+    return named.withColumn(row, first).where(F.col(row) == 1).select(docs.columns)
 
 
 @query("op10_simhash_gray")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from matchframe.llm import chat_format, decontamination, fingerprints, html_extract, quality_lm, secret_scan, toxicity
-from matchframe.llm.base import prepare
+from matchframe.llm.base import prepare, running
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -233,6 +233,30 @@ def test_secrets_equal_brute_force(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0 and secret_scan.mask_secrets(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_equals_a_plain_fold(spark, n):
+    values = [(k * 7919) % 101 - 50 for k in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    F = secret_scan.F
+    got = df.select(running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("total"), running(F.col("v"), F.lit(-99), lambda a, b: F.greatest(a, b)).alias("top")).first()
+    assert got.total == [sum(values[:k]) for k in range(n + 1)]
+    assert got.top == [max(values[:k], default=-99) for k in range(n + 1)]
+
+
+def test_spans_of_a_text_with_thousands_of_them(spark):
+    prepare(spark)
+    rng = random.Random(21)
+    pieces = ["token = abcdefgh12", "AKIA" + "Q7" * 9, "0a1b" * 9, "word", "xK9fQ2mZ7pL4vB8nR1tY6w", "é🙂", "token=" + "ab12" * 9, "secret:AKIA" + "Z5" * 8]
+    text = " ".join(rng.choice(pieces) for _ in range(3000))
+    F = secret_scan.F
+    base, found = secret_scan.base_spans(F.col("text")), secret_scan.candidates(F.col("text"))
+    row = spark.createDataFrame([(text,)], "text string").select(base.alias("base"), found.alias("found"), secret_scan.all_spans(base, found, [0.001] * 4).alias("all")).first()
+    want = sorted((m.start(), n, m.end()) for n, (_, p, g, least) in enumerate(PATTERNS) for m in p.finditer(text) if len(m[g]) >= least)
+    assert [tuple(s) for s in row.base] == want and len(want) > 1000
+    apart = [(c.start, 3, c.end) for c in row.found if not c.decoy and c.p >= 0.001 and not any(a < c.end and c.start < e for a, _, e in want)]
+    assert apart and sorted(tuple(s) for s in row["all"]) == sorted(want + apart)
+
+
 def test_random_strings_are_found_and_natural_ones_are_not(spark):
     prepare(spark)
     rng = random.Random(11)
@@ -262,6 +286,12 @@ def test_kneser_ney_is_a_distribution_and_shards_agree(corpus):
         assert abs(whole[(r.doc_id, r.digest)] - r.ln_p) < 1e-6
 
 
+def test_repeated_rows_stay_over_shards(corpus):
+    docs, labels = corpus
+    plain, sharded = ([tuple(r)[:1] + (round(r.perplexity or 0, 6), r.keep) for r in quality_lm.classify(docs, labels, shard_rows=n).collect()] for n in (4_000_000, 300))
+    assert sorted(plain, key=str) == sorted(sharded, key=str) and len(plain) == docs.count()
+
+
 def test_quality_keeps_what_looks_like_trusted_text(corpus, spark):
     docs, labels = corpus
     junk = spark.createDataFrame([(900 + k, "|#%|" * 40, "xx", "s", 160) for k in range(5)], EMPTY)

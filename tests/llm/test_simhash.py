@@ -119,3 +119,15 @@ def test_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
     assert s.near_duplicates(docs.limit(0)).count() == 0
     assert s.keep_one(docs.limit(0)).count() == 0
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    prepare(spark)
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(rng.choice("abcdefghij") * rng.randrange(1, 6) for _ in range(150)) for _ in range(4))
+    table = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (2, b, "x"), (None, c, "x"), (None, c, "x"), (None, d, None), (None, a, "x"), (5, None, None), (6, "", None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, __fp string")
+    kept = s.keep_one(docs)
+    assert kept.columns == docs.columns
+    # one row of every group of near copies: both texts of document 1, both groups without an id, one empty text
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (None, d), (5, None)], key=str)
