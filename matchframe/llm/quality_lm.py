@@ -162,10 +162,11 @@ def _scorer(shared, n: int, s: int):
                 distinct, at = np.unique(g, return_inverse=True)
                 ln_p = log_probabilities(distinct, probabilities, gammas)[at] if len(g) else np.zeros(0)
                 used = np.ones(len(g)) if n == 1 else ((((g >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) * np.uint64(2654435761)).view(np.int64) % n == s).astype(float)
-                ends = np.cumsum(sizes)
-                total, count = np.r_[0.0, np.cumsum(ln_p * used)], np.r_[0.0, np.cumsum(used)]
-                yield pa.RecordBatch.from_arrays([
-                    *(batch.column(k)[a:b] for k in range(3)), pa.array(total[ends] - total[ends - sizes]), pa.array((count[ends] - count[ends - sizes]).astype(np.int64))], schema=SCORES)
+                # summed per document, so that an impossible character weighs on its own document only
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                total = np.bincount(of, np.where(used > 0, ln_p, 0.0), len(sizes))
+                count = np.bincount(of, used, len(sizes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), pa.array(total), pa.array(count)], schema=SCORES)
     return run
 
 
