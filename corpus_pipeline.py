@@ -17,26 +17,31 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are more likely toxic than not."""
+    prepare(spark)
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    prepare(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
+    prepare(spark)
     return drop_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked."""
+    prepare(spark)
     return mask_secrets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with their decoded text."""
+    prepare(spark)
     return encode_documents(docs)
 
 
@@ -46,7 +51,6 @@ STAGES = [("toxicity", toxicity), ("simhash_near_duplicates", near_duplicates),
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in order; each result is written as Parquet and read again."""
-    prepare(spark)
     docs, folder = read(spark, sf_dir, "documents"), scratch_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"

@@ -14,11 +14,13 @@ from ..plans.session import materialize, scratch_dir, tune
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Texts differ in length by four orders of magnitude: small Arrow batches keep a batch of
-# long ones within a worker's memory.
-TEXT_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+# Texts differ in length by four orders of magnitude: small batches of the reader and of Arrow
+# keep a batch of long ones within the memory of an executor and its Python workers. A writing
+# task holds a row group until it is full.
+TEXT_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.parquet.columnarReaderBatchSize": "500",
+             "parquet.block.size": str(32 << 20)}
 
-__all__ = ["ORACLES", "QUERIES", "by_rows", "let", "materialize", "prepare", "query", "read", "running", "scratch_dir", "unused", "whole_text"]
+__all__ = ["ORACLES", "QUERIES", "by_rows", "held", "let", "materialize", "prepare", "query", "read", "running", "scratch_dir", "unused", "whole_text"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -52,6 +54,19 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_tables: dict = {}
+
+
+def held(name: str, make: Callable):
+    """A Python worker's tables of one operator, made at its first row. Workers outlive their
+    stage: those of another operator are let go first, so that a chain of operators takes no
+    more memory than the largest of them."""
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = make()
+    return _tables[name]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until no column of df has them."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import query, read, whole_text
+from .base import held, query, read, whole_text
 
 SPACES = " \t\n\r\x0b\x0c"
 FRAGMENT = re.compile(r"[^ \t\n\r\x0b\x0c]+")
@@ -32,7 +32,6 @@ FRAGMENT = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 PLAIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 MEMO_ENTRIES, MEMO_LENGTH = 300_000, 40
-_loaded: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -148,9 +147,7 @@ class Codec:
 
 
 def load(path: str) -> Codec:
-    if path not in _loaded:
-        _loaded[path] = Codec(path)
-    return _loaded[path]
+    return held(f"bpe_codec {path}", lambda: Codec(path))
 
 
 def _mapped(path: str, kind: str, schema: pa.Schema):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import query, read, scratch_dir, whole_text
+from .base import held, query, read, scratch_dir, whole_text
 
 # Unicode's white space. The pre-tokenizer never joins a character to white space that follows
 # it, so a text falls into "white space, then none" fragments that are encoded alike alone.
@@ -34,7 +34,6 @@ _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SYMBOL = {b: chr(b) for b in _shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _shown)}
 MEMO_ENTRIES, MEMO_LENGTH = 400_000, 40  # per Python worker: counts of short fragments
 CACHE_SCHEMA = pa.schema([("digest", pa.binary()), ("tokenizer", pa.string()), ("n_tokens", pa.int64())])
-_loaded: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -51,13 +50,14 @@ def tokenizer_version(path: str) -> str:
 def load(path: str):
     """The tokenizer and its memo, once per Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-    if path not in _loaded:
+
+    def make():
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _loaded[path] = (tok, {})
-    return _loaded[path]
+        return tok, {}
+    return held(f"token_counts {path}", make)
 
 
 def count_text(tok, memo: dict, text: str) -> int:

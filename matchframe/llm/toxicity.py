@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import by_rows, materialize, query, read, whole_text
+from .base import by_rows, held, materialize, query, read, whole_text
 
 BUCKETS = 1 << 18
 PRIOR_SHARE = 0.15   # Dirichlet mass as a share of the labelled token presences
@@ -38,22 +38,22 @@ NONE, BINS, BIN_FROM, BIN_WIDTH = -99.0, 64, -10.0, 0.5  # the first bin is for
 REJECT = 0.5         # the pipeline drops documents from this probability on
 WORD = re.compile(r"\w+")
 MEMO_ENTRIES = 400_000
-_memo: dict[str, int] = {}
 
 
-def _bucket(word: str) -> int:
-    got = _memo.get(word)
-    if got is None:
-        if len(_memo) > MEMO_ENTRIES:
-            _memo.clear()
+class Memo(dict):
+    """Bucket by word, made where it is missing."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
         got = zlib.crc32(word.encode()) & (BUCKETS - 1)
         if len(word) <= 40:
-            _memo[word] = got
-    return got
+            self[word] = got
+        return got
 
 
 def buckets_of(text: str) -> list[int]:
-    return list(map(_bucket, WORD.findall(text.lower())))
+    return list(map(held("toxicity", Memo).__getitem__, WORD.findall(text.lower())))
 
 
 def in_training(id_col: str = "doc_id") -> Column:
@@ -116,7 +116,7 @@ def passages(text: str, weights: Weights, significant: float = SIGNIFICANT) -> l
     """Every significant toxic passage: start, end (code points), score, expected number of
     such passages in a clean text of this length."""
     words = list(WORD.finditer(text))
-    hit = [(p, s) for p, w in enumerate(words) if (s := weights.scores.get(_bucket(w[0].lower()), (0.0,))[0]) > 0]
+    hit = [(p, s) for p, b in enumerate(buckets_of(text)) if (s := weights.scores.get(b, (0.0,))[0]) > 0]
     out = []
     for a, b, score in segments([p for p, _ in hit], [s for _, s in hit]):
         expected = weights.k * len(words) * math.exp(-weights.lam[0] * score)
