@@ -295,13 +295,18 @@ SEASON_RATINGS = """sr AS (SELECT t.season, t.team, AVG(t.gf) / NULLIF(MIN(l.h),
 FROM team_rows t JOIN (SELECT season, AVG(home_goals) AS h, AVG(away_goals) AS a FROM matches GROUP BY season) l ON l.season = t.season GROUP BY t.season, t.team)"""
 
 
-@query("C16_season_ratings", with_(MATCHES, TEAM_ROWS, SEASON_RATINGS) + f"""SELECT s.team, s.season, {r("attack", "defence")} FROM sr s JOIN (SELECT team, MAX(season) AS season FROM sr WHERE season <= 1999 GROUP BY team) x USING (team, season)""")
+@query("C16_season_ratings", with_(MATCHES, TEAM_ROWS, SEASON_RATINGS) + f"""SELECT s.team, s.season, {r("attack", "defence")} FROM sr s JOIN (SELECT team, MAX(season) AS season FROM sr GROUP BY team) x USING (team, season)""")
 def season_ratings(spark, d):
-    ratings = C.season_ratings(matches(spark, d).where("season <= 1999"))
+    ratings = C.season_ratings(matches(spark, d))
     last = C.last_season_ratings(ratings)
     return last.join(ratings.groupBy("team").agg(F.max("season").alias("season")), "team")
 
 
+@query("C16_season_ratings_all", with_(MATCHES, TEAM_ROWS, SEASON_RATINGS) + f"""SELECT team, season, {r("attack", "defence")} FROM sr""")
+def season_ratings_all(spark, d):
+    return C.season_ratings(matches(spark, d))
+
+
 def _rolling_sql(frame):
     return with_(MATCHES, PREDS, SCORED) + f"""SELECT match_id, model, {r("CASE WHEN n >= 5 THEN h / n END AS rolling_accuracy")}, n AS rolling_n FROM (
 SELECT match_id, model, COUNT(*) OVER w AS n, SUM(CASE WHEN predicted = y THEN 1.0 ELSE 0.0 END) OVER w AS h FROM scored WINDOW w AS ({frame}))"""
@@ -380,8 +385,12 @@ def squad_join(spark, d):
     return out.select("match_id", "home_n_players", "away_n_players", "home_avg_age", "away_avg_age")
 
 
-@query("D4_paired_models", with_(MATCHES, PREDS, SCORED) + f"""SELECT a.match_id, 1 AS sound, {r("CASE WHEN b.predicted = b.y THEN 1 ELSE 0 END - CASE WHEN a.predicted = a.y THEN 1 ELSE 0 END AS d_accuracy", "b.ll - a.ll AS d_log_loss", "b.br - a.br AS d_brier")}
-FROM scored a JOIN scored b ON a.match_id = b.match_id AND a.model = 'm1' AND b.model = 'm2'""")
+def _second_minus_first(expr):
+    return f"MAX(CASE WHEN model = 'm2' THEN {expr} END) - MAX(CASE WHEN model = 'm1' THEN {expr} END)"
+
+
+@query("D4_paired_models", with_(MATCHES, PREDS, SCORED) + f"""SELECT match_id, 1 AS sound, {r(f"{_second_minus_first('CASE WHEN predicted = y THEN 1 ELSE 0 END')} AS d_accuracy", f"{_second_minus_first('ll')} AS d_log_loss", f"{_second_minus_first('br')} AS d_brier")}
+FROM scored WHERE model IN ('m1', 'm2') GROUP BY match_id""")
 def paired_models(spark, d):
     from ..operators.metrics import per_match_metrics
     per = per_match_metrics(views.preds(matches(spark, d)))

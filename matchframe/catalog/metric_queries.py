@@ -112,8 +112,12 @@ def summarize_scopes(spark, d):
     return out.select("scope", "group", "model", "n_matches", "correct", "accuracy", "log_loss", "brier", "macro_f1", "draw_f1")
 
 
-@query("H10_contrast", with_(MATCHES, PREDS, SCORED, SUMMARY) + f"""SELECT a.scope, a.grp AS "group", a.n_matches, b.correct - a.correct AS extra_correct, {r("a.accuracy AS base_accuracy", "b.accuracy AS selected_accuracy", "b.log_loss - a.log_loss AS log_loss_delta", "b.accuracy - a.accuracy AS accuracy_delta")}
-FROM sm a JOIN sm b ON a.scope = b.scope AND a.grp = b.grp AND a.model = 'm1' AND b.model = 'm2'""")
+def _of(model, column):
+    return f"MAX(CASE WHEN model = '{model}' THEN {column} END)"
+
+
+@query("H10_contrast", with_(MATCHES, PREDS, SCORED, SUMMARY) + f"""SELECT scope, grp AS "group", {_of('m1', 'n_matches')} AS n_matches, {_of('m2', 'correct')} - {_of('m1', 'correct')} AS extra_correct, {r(f"{_of('m1', 'accuracy')} AS base_accuracy", f"{_of('m2', 'accuracy')} AS selected_accuracy", f"{_of('m2', 'log_loss')} - {_of('m1', 'log_loss')} AS log_loss_delta", f"{_of('m2', 'accuracy')} - {_of('m1', 'accuracy')} AS accuracy_delta")}
+FROM sm GROUP BY scope, grp""")
 def contrast(spark, d):
     return H.contrast(H.summarize_scopes(H.per_match_metrics(views.preds(matches(spark, d)))), "m1", "m2")
 
@@ -367,14 +371,14 @@ def deltas(spark, d):
     return paired_models(per, "m1", "m2", ["match_id", "match_date", "season"], ["accuracy", "log_loss"])
 
 
-@query("I1_cluster_bootstrap", boot_sql("match_date", None, 1000, 123))
+@query("I1_cluster_bootstrap", boot_sql("match_date", None, 2000, 123))
 def cluster_bootstrap(spark, d):
-    return I.cluster_bootstrap(deltas(spark, d), reps=1000)
+    return I.cluster_bootstrap(deltas(spark, d))
 
 
-@query("I2_stratified_bootstrap", boot_sql("match_date", "season", 1000, 123))
+@query("I2_stratified_bootstrap", boot_sql("match_date", "season", 4000, 123))
 def stratified_bootstrap(spark, d):
-    return I.stratified_bootstrap(deltas(spark, d), reps=1000)
+    return I.stratified_bootstrap(deltas(spark, d))
 
 
 @query("I3_season_bootstrap", boot_sql("season", None, 4000, 123))

@@ -71,8 +71,8 @@ def save_load_model(spark, d):
 @query("F24_run_model_suite")
 def run_model_suite(spark, d):
     registry = {"lr": lambda t, c: FM.fit_lr(t, c), "lr_scaled": lambda t, c: FM.fit_lr_scaled(t, c)}
-    preds, _ = FM.run_model_suite(matrix(spark, d), COLS10, [1998, 1999, TEST], registry)
-    return FM.suite_metrics(preds)
+    preds, log = FM.run_model_suite(matrix(spark, d), COLS10, [1998, 1999, TEST], registry)
+    return FM.suite_metrics(preds).unionByName(FM.suite_failures(spark, log), allowMissingColumns=True)
 
 
 @query("F25_train_on_all")
@@ -258,16 +258,16 @@ def stream_rating(spark, d):
 
 
 @query("S3_stream_hit_rate", f"""WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, CASE WHEN value > 10 THEN 1 ELSE 0 END AS hit FROM events),
-w AS (SELECT CAST(CAST(ts AS DATE) - CAST(i AS INT) AS TIMESTAMP) AS ws, hit FROM e, UNNEST(GENERATE_SERIES(0, 6)) g(i)),
-mx AS (SELECT MAX(ts) - INTERVAL 1 DAY AS wm FROM e)
-SELECT CAST(CAST(ws AS DATE) AS VARCHAR) AS window_day, COUNT(*) AS n, SUM(hit)::BIGINT AS hits, {r("AVG(CAST(hit AS DOUBLE)) AS hit_rate")} FROM w GROUP BY ws HAVING ws + INTERVAL 7 DAY <= (SELECT wm FROM mx)""")
+w AS (SELECT CAST(CAST(ts AS DATE) - CAST(i AS INT) AS TIMESTAMP) AS ws, hit FROM e, UNNEST(GENERATE_SERIES(0, 29)) g(i))
+SELECT CAST(CAST(ws AS DATE) AS VARCHAR) AS window_day, COUNT(*) AS n, SUM(hit)::BIGINT AS hits, {r("AVG(CAST(hit AS DOUBLE)) AS hit_rate")} FROM w GROUP BY ws""")
 def stream_hit_rate(spark, d):
-    """Windows of seven days sliding by one; windows still open at the end are not emitted."""
+    """Windows of 30 days sliding by one; a closing row after the last event lets every window out."""
     base = scratch_dir(spark)
     ev = spark.read.parquet(f"{d}/events.parquet")
-    ev.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 10).cast("int").alias("hit")).write.parquet(f"{base}/in")
+    rows = ev.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 10).cast("int").alias("hit"))
+    rows.unionByName(streams.closing_row(rows, span="30 days", lateness="2 days")).write.parquet(f"{base}/in")
     src = spark.readStream.schema("ts timestamp, hit int").parquet(f"{base}/in")
-    streams.run_available(streams.stream_hit_rate(src, span="7 days", slide="1 day", lateness="1 day"), f"{base}/out", f"{base}/state")
+    streams.run_available(streams.stream_hit_rate(src), f"{base}/out", f"{base}/state")
     out = spark.read.parquet(f"{base}/out")
     return out.select(F.to_date("window_start").alias("window_day"), "n", "hits", "hit_rate")
 

@@ -19,7 +19,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, Multil
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import P_COLS, single_row
@@ -311,7 +311,6 @@ def load_model(path: str) -> Fitted:
 
 
 def _session():
-    from pyspark.sql import SparkSession
     return SparkSession.getActiveSession()
 
 
@@ -345,6 +344,12 @@ def run_model_suite(df: DataFrame, cols: Sequence[str], folds: Sequence[int], re
     return out, log
 
 
+def suite_failures(spark: SparkSession, log: Sequence[dict]) -> DataFrame:
+    """Fits of a suite's log that failed: one row per fold and model (model '*': the whole fold) with the error."""
+    rows = [(entry["model"], int(entry["fold"]), entry["error"]) for entry in log if "error" in entry]
+    return spark.createDataFrame(rows, "model string, fold int, error string")
+
+
 def suite_metrics(preds: DataFrame) -> DataFrame:
     """Fold rows and a pooled row (fold null) per model."""
     def block(by):

@@ -28,6 +28,11 @@ def _struct(**columns) -> pa.StructArray:
     return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
 
+def _doubles(values: np.ndarray) -> pa.Array:
+    """NaN, the mark of a row without a usable grid, as null."""
+    return pa.array(values, mask=np.isnan(values))
+
+
 def _batch(part, rows=slice(None)) -> np.ndarray:
     return N.numbers(part)[rows]
 
@@ -37,8 +42,9 @@ def score_grid_fixed(rates: DataFrame, max_goals: int = 10, renormalise: bool =
     """Independent Poisson scores 0..max_goals, divided by the kept mass."""
     @arrow_udf("array<double>")
     def build(h: pa.Array, a: pa.Array) -> pa.Array:
-        rows = np.arange(len(h))
-        return N.to_lists([(rows, N.fixed(_batch(h), _batch(a), max_goals, renormalise))] if len(h) else [], len(h))
+        x, y = _batch(h), _batch(a)
+        rows = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))  # a missing rate has no grid
+        return N.to_lists([(rows, N.fixed(x[rows], y[rows], max_goals, renormalise))] if len(rows) else [], len(h))
 
     return rates.select("*", build(lh, la).alias("grid"), F.lit(max_goals).alias("grid_max"))
 
@@ -77,7 +83,7 @@ def grid_to_outcome(grids: DataFrame, prefix: str = "s_", grid: str = "grid") ->
         out = np.full((len(g), 3), np.nan)
         for rows, t in N.tensors(g):
             out[rows] = N.masses(t)
-        return _struct(away=out[:, 0], draw=out[:, 1], home=out[:, 2])
+        return _struct(away=_doubles(out[:, 0]), draw=_doubles(out[:, 1]), home=_doubles(out[:, 2]))
 
     return grids.withColumn("_o", outcome(grid)).select(*grids.columns, *[F.col(f"_o.{n}").alias(f"{prefix}{n}") for n in CLASS_NAMES])
 
@@ -146,8 +152,8 @@ def score_stats(grids: DataFrame, hg: str = "home_goals", ag: str = "away_goals"
                 k = np.flatnonzero(far)
                 probs = np.stack([_batch(c, rows[k]) for c in q], axis=1) if q else None
                 log_p[rows[k]] = _closed_form(t, hh[k], aa[k], _batch(x, rows[k]), _batch(y, rows[k]), probs)
-        return _struct(expected_home_goals=mean[:, 0], expected_away_goals=mean[:, 1], mode_home_goals=mode[:, 0], mode_away_goals=mode[:, 1],
-                       true_score_nll=-log_p, actual_outside_grid=outside)
+        return _struct(expected_home_goals=_doubles(mean[:, 0]), expected_away_goals=_doubles(mean[:, 1]), mode_home_goals=mode[:, 0], mode_away_goals=mode[:, 1],
+                       true_score_nll=_doubles(-log_p), actual_outside_grid=outside)
 
     out = grids.withColumn("_s", stats(grid, hg, ag, lh, la, *(target or ()))).select(*grids.columns, "_s.*")
     h, a = F.col(hg), F.col(ag)

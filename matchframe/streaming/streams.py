@@ -93,6 +93,14 @@ def stream_hit_rate(stream: DataFrame, time_col: str = "ts", hit: str = "hit", s
                     (F.col("hits") / F.col("n")).alias("hit_rate")))
 
 
+def closing_row(rows: DataFrame, time_col: str = "ts", span: str = "30 days", lateness: str = "2 days", slide: str = "1 day") -> DataFrame:
+    """A row so late that the watermark passes every window of the rows, for a stream that has
+    ended; its own windows hold none of them and stay open. All other columns are null."""
+    after = F.max(time_col) + F.expr(f"INTERVAL {span} + INTERVAL {lateness} + INTERVAL {slide}")
+    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != time_col]
+    return rows.agg(after.alias(time_col)).where(F.col(time_col).isNotNull()).select(time_col, *others)
+
+
 def run_available(stream_df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there, one trigger per file, into parquet, and stop."""
     query = (stream_df.writeStream.outputMode(mode).format("parquet").option("path", path)
