@@ -152,8 +152,9 @@ def score_stats(grids: DataFrame, hg: str = "home_goals", ag: str = "away_goals"
                 k = np.flatnonzero(far)
                 probs = np.stack([_batch(c, rows[k]) for c in q], axis=1) if q else None
                 log_p[rows[k]] = _closed_form(t, hh[k], aa[k], _batch(x, rows[k]), _batch(y, rows[k]), probs)
-        return _struct(expected_home_goals=_doubles(mean[:, 0]), expected_away_goals=_doubles(mean[:, 1]), mode_home_goals=mode[:, 0], mode_away_goals=mode[:, 1],
-                       true_score_nll=_doubles(-log_p), actual_outside_grid=outside)
+        none = np.isnan(mean[:, 0])
+        return _struct(expected_home_goals=_doubles(mean[:, 0]), expected_away_goals=_doubles(mean[:, 1]), mode_home_goals=pa.array(mode[:, 0], mask=none), mode_away_goals=pa.array(mode[:, 1], mask=none),
+                       true_score_nll=_doubles(-log_p), actual_outside_grid=pa.array(outside, mask=none))
 
     out = grids.withColumn("_s", stats(grid, hg, ag, lh, la, *(target or ()))).select(*grids.columns, "_s.*")
     h, a = F.col(hg), F.col(ag)

@@ -132,3 +132,12 @@ def test_tail_goes_to_away(rates):
     for r in G.poisson_outcome_tail(rates).collect():
         assert r.p_away + r.p_draw + r.p_home == pytest.approx(1)
         assert r.p_home == pytest.approx(np.tril(np.outer(pmf(r.lambda_home, 8), pmf(r.lambda_away, 8)), -1).sum())
+
+
+def test_missing_rate_gives_nulls(spark):
+    df = spark.createDataFrame([(1, None, 1.0, 1, 0), (2, 1.2, 1.0, 1, 0)],
+                               "match_id long, lambda_home double, lambda_away double, home_goals int, away_goals int")
+    out = G.score_stats(G.grid_to_outcome(G.score_grid_fixed(df))).orderBy("match_id").collect()
+    for c in ("grid", "s_away", "s_draw", "s_home", "expected_home_goals", "true_score_nll", "true_score_probability",
+              "mode_home_goals", "exact_score_hit", "actual_outside_grid"):
+        assert out[0][c] is None and out[1][c] is not None
