@@ -77,3 +77,11 @@ def test_codec_query_forms(spark, word_tok):
     assert full[3].ids == word_tok.encode(TEXTS[3]).ids and full[50].ids == [] and full[50].decoded == ""
     assert bpe_codec.encode_digests(docs.limit(0)).count() == 0
     assert materialize(bpe_codec.encode_documents(docs)).count() == len(TEXTS) + 2
+
+
+def test_worker_keeps_the_tables_of_one_operator():
+    from matchframe.llm.base import held
+    first = held("a", dict)
+    assert held("a", dict) is first
+    held("b", list)
+    assert held("a", dict) is not first
