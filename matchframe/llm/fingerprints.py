@@ -2,12 +2,15 @@
 
 A document is a set of weighted terms: its five-word shingles (the first ones padded with
 nothing before the text, so every text with a word has terms), weighted by how often they
-occur. Every term draws gamma(2, 1) variables r and c and a uniform b from its hash; with
-t = floor(ln w / r + b) its sample is ln a = ln c - r (t - b + 1), and the term with the
-smallest a is chosen (Ioffe's scheme). Two documents choose the same (term, t) with a
-probability equal to their generalised Jaccard similarity. Terms are dealt to 128 slots by
-another hash and one term is chosen per slot, so a term is sampled once, not 128 times; the
-likeness of two fingerprints is the share of slots filled in either one that agree.
+occur. The weight of a term is split over 128 slots: each of its occurrences, numbered from
+zero, goes to a slot by a hash of the term and the number. Of two documents the smaller weight
+is the smaller one in every slot as well, so the slots' common and whole weights add up to
+those of the documents. In its slot a term draws gamma(2, 1) variables r and c and a uniform b
+from a hash; with t = floor(ln w / r + b) its sample is ln a = ln c - r (t - b + 1), and the
+term with the smallest a is chosen (Ioffe's scheme). Two documents choose the same (term, t)
+in a slot with a probability equal to the generalised Jaccard similarity of the slot's weights,
+whose mean over the hashes is that of the documents. The likeness of two fingerprints is the
+share of slots filled in either one that agree.
 
 All steps are array functions within the row: the fingerprint shuffles nothing.
 """
@@ -25,6 +28,7 @@ SLOTS, SHINGLE = 128, 5
 RANGE_ROWS = 2000        # wanted rows of one range of ids
 MOST_RANGES = 1 << 16    # bound of the table of range heads that is broadcast
 SCALE, SHIFT, SLOT_SHIFT = float(1 << 46), 256.0, 56  # ln a as 55-bit fixed-point number
+PLACE_SHIFT = 57
 
 
 def uniform(bits: Column) -> Column:
@@ -32,8 +36,15 @@ def uniform(bits: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 32))
 
 
+def _placed(term: Column, number: Column) -> Column:
+    """The slot of an occurrence of a term (7 bits) above 57 bits of the term."""
+    slot = F.xxhash64(term, number).bitwiseAND(F.lit(SLOTS - 1))
+    return F.shiftleft(slot, PLACE_SHIFT).bitwiseOR(F.shiftrightunsigned(term, 64 - PLACE_SHIFT))
+
+
 def _sample(term: Column, weight: Column) -> Column:
-    """Slot and fixed-point ln a of a weighted term, in one long that sorts by both."""
+    """Slot and fixed-point ln a of a placed term and its weight in the slot, in one long that
+    sorts by both."""
     low = F.lit(0xFFFFFFFF)
     one, two, three = (F.xxhash64(term, F.lit(k)) for k in (1, 2, 3))
 
@@ -42,7 +53,7 @@ def _sample(term: Column, weight: Column) -> Column:
         ln_c = F.log(-F.log(uniform(F.shiftrightunsigned(h2, 32)) * uniform(h2.bitwiseAND(low))))
         b = uniform(F.shiftrightunsigned(h3, 32))
         ln_a = let(r, lambda r: let(b, lambda b: ln_c - r * (F.floor(F.log(weight) / r + b) - b + 1)))
-        slot = h3.bitwiseAND(F.lit(SLOTS - 1))
+        slot = F.shiftrightunsigned(term, PLACE_SHIFT)
         fixed = ((ln_a + F.lit(SHIFT)) * F.lit(SCALE)).cast("long")
         return F.shiftleft(slot, SLOT_SHIFT).bitwiseOR(fixed)
     return let(one, lambda h1: let(two, lambda h2: let(three, lambda h3: drawn(h1, h2, h3))))
@@ -56,9 +67,17 @@ def signature(text: Column) -> Column:
     def shingles(h):
         return F.transform(h, lambda x, i: F.xxhash64(*[F.get(h, i - k) for k in range(SHINGLE - 1, 0, -1)], x))
 
-    def samples(s):
+    def weighted(s, each):
+        """each(value, weight) of the different values of a sorted array."""
         ends = F.filter(F.transform(s, lambda x, i: F.when(x == F.get(s, i + 1), F.lit(None).cast("int")).otherwise(i)), lambda e: e.isNotNull())
-        return let(ends, lambda e: F.transform(e, lambda at, p: _sample(F.get(s, at), (at - F.coalesce(F.get(e, p - 1), F.lit(-1))).cast("double"))))
+        return let(ends, lambda e: F.transform(e, lambda at, p: each(F.get(s, at), at - F.coalesce(F.get(e, p - 1), F.lit(-1)))))
+
+    def places(term, weight):
+        return F.when(weight == 1, F.array(_placed(term, F.lit(0)))).otherwise(F.transform(F.sequence(F.lit(0), weight - 1), lambda k: _placed(term, k)))
+
+    def samples(s):
+        placed = F.sort_array(F.flatten(weighted(s, places)))
+        return let(placed, lambda p: weighted(p, lambda x, w: _sample(x, w.cast("double"))))
 
     def chosen(a):
         first = F.filter(a, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, SLOT_SHIFT) != F.shiftrightunsigned(F.get(a, i - 1), SLOT_SHIFT)))

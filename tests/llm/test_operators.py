@@ -184,6 +184,21 @@ def test_fingerprint_likeness_estimates_generalised_jaccard(spark):
             assert r.near == 1 and r.x == r.y
 
 
+def test_likeness_of_repetitive_texts_is_not_biased(spark):
+    prepare(spark)
+    rng = random.Random(13)
+    table = []
+    for k in range(60):
+        line, rest = words(rng, 8), words(rng, 300)
+        table.append((k, " ".join([rest] + [line] * 60), " ".join([words(rng, 300)] + [line] * 60)))
+    near = fingerprints.likeness(fingerprints.signature(fingerprints.F.col("x")), fingerprints.signature(fingerprints.F.col("y")))
+    errors = []
+    for r in spark.createDataFrame(table, "id long, x string, y string").withColumn("near", near).collect():
+        p, q = shingles(r.x), shingles(r.y)
+        errors.append(r.near - sum((p & q).values()) / sum((p | q).values()))
+    assert abs(np.mean(errors)) < 0.025 and np.sqrt(np.mean(np.square(errors))) < 0.06
+
+
 @pytest.mark.parametrize("rows", [1, 3, 50])
 def test_next_document_over_ranges(spark, monkeypatch, rows):
     prepare(spark)
