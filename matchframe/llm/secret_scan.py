@@ -7,7 +7,9 @@ serial correlation. Their joint statistic gives the probability p of a random st
 as uneven. Long words that hold letters only serve as decoys: per length class the lowest p is
 chosen at which the expected number of natural strings among the accepted ones stays below
 the false-discovery rate, so short strings, which prove less, need a higher p. Decoys of the
-shorter classes count for the longer ones, as longer natural strings pass less often.
+shorter classes count for the longer ones, as longer natural strings pass less often. To those
+of the table come fixed ones, run-together words of four languages, as many in every class and
+for it alone: a small table, whose prose holds few long words, can accept strings as well.
 
 A text stays in its row: one table of span arrays is written, counts of (class, bin of p) give
 the thresholds, and nothing else is shuffled.
@@ -38,6 +40,11 @@ ALPHABETS = (
 )
 LENGTH_CLASSES = (20, 24, 32, 48)
 DISCOVERY_RATE, LEAST_P, BINS = 0.05, 1e-3, 64
+MADE = 244               # fixed decoys of a length class: four steps through the words from each of them
+NATURAL = ("about after because before between children country different during enough every family government house "
+           "important little morning number other people aber arbeit beispiel dieser einfach fragen freund gegen haus immer "
+           "jahre leben menschen nicht wasser zwischen alors aujourd beaucoup chaque depuis enfant femme grand homme jamais "
+           "maison monde pourquoi toujours vraiment ahora amigo camino ciudad desde entonces gente hombre mientras mundo").split()
 MASK = "[SECRET]"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 CANDIDATE = "array<struct<start:int,end:int,class:int,decoy:boolean,p:double>>"
@@ -127,23 +134,35 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(KEY_RUN), found).otherwise(F.array().cast(CANDIDATE))
 
 
+def made_decoys() -> list[tuple[int, str]]:
+    """(length class, string): MADE run-together words of every class, half of them with capitals."""
+    out = []
+    for c, (low, high) in enumerate(zip(LENGTH_CLASSES, (*LENGTH_CLASSES[1:], 64))):
+        for k in range(MADE):
+            start, step = k % len(NATURAL), 1 + k // len(NATURAL)
+            words = [NATURAL[(start + j * step) % len(NATURAL)] for j in range(high)]
+            out.append((c, "".join(w.capitalize() if k % 2 else w for w in words)[:low + k % (high - low)]))
+    return out
+
+
 def thresholds(found: DataFrame, column: str = "candidates") -> list[float]:
     """The least p per length class that keeps the false-discovery rate; 2.0 where none does.
     Counts per class and bin, at most 512 rows, are all that is gathered."""
-    one = found.select(F.explode(column).alias("c")).select("c.*")
+    made = found.sparkSession.createDataFrame(made_decoys(), "class int, value string").select("class", F.lit(False).alias("decoy"), randomness(F.col("value")).alias("p"), F.lit(True).alias("made"))
+    one = found.select(F.explode(column).alias("c")).select("c.class", "c.decoy", "c.p", F.lit(False).alias("made")).unionByName(made)
     bins = one.groupBy("class", F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).cast("int").alias("bin")).agg(
-        F.sum(F.col("decoy").cast("long")).alias("decoys"), F.sum((~F.col("decoy")).cast("long")).alias("targets"))
+        F.sum(F.col("decoy").cast("long")).alias("decoys"), F.sum((~F.col("decoy") & ~F.col("made")).cast("long")).alias("targets"), F.sum(F.col("made").cast("long")).alias("fixed"))
     above = Window.partitionBy("class").orderBy(F.desc("bin"))
     whole = Window.partitionBy("class")
-    rows = bins.select("class", "bin", F.sum("decoys").over(above).alias("d"), F.sum("targets").over(above).alias("t"),
+    rows = bins.select("class", "bin", F.sum("decoys").over(above).alias("d"), F.sum("targets").over(above).alias("t"), F.sum("fixed").over(above).alias("f"),
                        F.sum("decoys").over(whole).alias("all_d"), F.sum("targets").over(whole).alias("all_t")).collect()
     out = []
     for k in range(len(LENGTH_CLASSES)):
-        all_d = sum(max((r.all_d for r in rows if r["class"] == j), default=0) for j in range(k + 1))
+        all_d = sum(max((r.all_d for r in rows if r["class"] == j), default=0) for j in range(k + 1)) + MADE
         all_t = max((r.all_t for r in rows if r["class"] == k), default=0)
         best = 2.0
         for r in sorted((r for r in rows if r["class"] == k and r.t), key=lambda r: -r.bin):
-            passed = sum(max((s.d for s in rows if s["class"] == j and s.bin >= r.bin), default=0) for j in range(k + 1))
+            passed = sum(max((s.d for s in rows if s["class"] == j and s.bin >= r.bin), default=0) for j in range(k + 1)) + r.f
             if (passed + 1) / (all_d + 1) * all_t / r.t <= DISCOVERY_RATE:
                 best = max(LEAST_P, r.bin / BINS)
         out.append(best)

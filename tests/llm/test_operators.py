@@ -286,6 +286,21 @@ def test_random_strings_are_found_and_natural_ones_are_not(spark):
     assert not any(got[k] for k in range(240, 243))
 
 
+@pytest.mark.parametrize("n", [1, 8])
+def test_keys_of_a_small_table_are_found(spark, n):
+    prepare(spark)
+    rng = random.Random(17)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(chars) for _ in range(40)) for _ in range(n)]
+    table = [(k, f"x {v} y") for k, v in enumerate(keys)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.scan(df).collect()}
+    assert sum([(s.start, s.end) for s in got[k]] == [(2, 42)] for k in range(n)) >= 0.8 * n
+    assert sum(r.text == "x [SECRET] y" for r in secret_scan.mask_secrets(df).collect()) >= 0.8 * n
+    names = spark.createDataFrame([(k, "see theingtheringthe2020erationtheringtheeration1 and theRingOfTheNation2020Then") for k in range(n)], "doc_id long, text string")
+    assert not any(r.spans for r in secret_scan.scan(names).collect())
+
+
 # ---- quality
 
 def test_kneser_ney_is_a_distribution_and_shards_agree(corpus):
