@@ -2,9 +2,9 @@
 
 The model counts character four-grams of trusted texts (label quality = 1). Counts,
 continuation counts, context totals and discounts are grouped and joined by Spark on the
-n-gram, so they are spread over shards of the n-gram space; the finished probabilities and
-back-off weights are brought to the documents one bounded shard of contexts at a time, and the
-log-probabilities that the shards find are added up per document. A document is kept if its
+n-gram, so they are spread over the n-gram space. A model of a bounded number of rows is
+broadcast; the tables of a larger one are joined on the n-gram to the different n-grams of the
+documents, whose log-probabilities are added up per document. A document is kept if its
 perplexity is at most a quantile of the trusted texts of its language.
 
 Four-grams are packed as four 16-bit codes; characters beyond U+FFFF share one code.
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize, query, read, whole_text
@@ -24,7 +24,7 @@ from .toxicity import in_training
 
 ORDER = 4
 QUANTILE = 0.97
-SHARD_ROWS = 4_000_000    # model rows that are broadcast at once
+SHARD_ROWS = 4_000_000    # a model of fewer rows is broadcast, a larger one joined
 BATCH_CHARS = 1_000_000
 MASKS = [(1 << 16 * k) - 1 for k in range(ORDER)] + [-1]
 
@@ -99,11 +99,6 @@ def train(texts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     return probabilities, gammas
 
 
-def _shard(c: Column, n: int) -> Column:
-    """Shard of the last two characters of a context."""
-    return F.pmod(c.bitwiseAND(F.lit(0xFFFFFFFF)) * 2654435761, F.lit(n))
-
-
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     t = df.toPandas()
     key = t.iloc[:, 0].to_numpy(np.int64).view(np.uint64)
@@ -134,26 +129,53 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("digest", pa
 
 
 def perplexities(docs: DataFrame, model: tuple[list[DataFrame], list[DataFrame]], shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, lang, digest, ln_p, n: summed log-probability of every whole text."""
+    """doc_id, lang, digest, ln_p, n: summed log-probability of every whole text. A model of
+    fewer than shard_rows rows is broadcast, a larger one is joined to the n-grams of the texts."""
     probabilities, gammas = model
-    n = sum(t.count() for t in probabilities + gammas) // shard_rows + 1
-    taken = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text"), whole_text())
-    out = None
-    for s in range(n):
-        mine = lambda t, c: t if n == 1 else t.where(_shard(c, n) == s)
-        tables = ([_arrays(t if k < 2 else mine(t, F.shiftrightunsigned("g", 16))) for k, t in enumerate(probabilities)],
-                  [_arrays(t if k < 2 else mine(t, F.col("h"))) for k, t in enumerate(gammas)])
-        part = taken.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(tables), n, s), "doc_id long, lang string, digest long, ln_p double, n long")
-        out = part if out is None else out.unionByName(part)
-    if n == 1:
-        return out
-    # every row, a repeated one too, comes once from each shard
-    copies = (F.count("*") / n).cast("int").alias("copies")
-    summed = out.groupBy("doc_id", "lang", "digest").agg(F.sum("ln_p").alias("ln_p"), F.sum("n").alias("n"), copies)
-    return summed.select("doc_id", "lang", "digest", F.col("ln_p") / F.col("copies"), (F.col("n") / F.col("copies")).cast("long"), F.explode(F.sequence(F.lit(1), "copies"))).toDF("doc_id", "lang", "digest", "ln_p", "n", "copy").drop("copy")
-
-
-def _scorer(shared, n: int, s: int):
+    taken = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.xxhash64("text").alias("digest"), whole_text().alias("text"))
+    if sum(t.count() for t in probabilities + gammas) >= shard_rows:
+        return _joined(taken, probabilities, gammas)
+    tables = [_arrays(t) for t in probabilities], [_arrays(t) for t in gammas]
+    return taken.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(tables)), "doc_id long, lang string, digest long, ln_p double, n long")
+
+
+def _joined(taken: DataFrame, probabilities: list[DataFrame], gammas: list[DataFrame]) -> DataFrame:
+    """perplexities() by joins on the n-gram: each different one is looked up once."""
+    counts = materialize(taken.mapInArrow(_count_rows, "doc_id long, lang string, digest long, g long, c long"))
+    found = counts.where("g IS NOT NULL").select("g").distinct().withColumn("p", F.lit(1.0 / (1 << 16)))
+    for k in range(1, ORDER + 1):
+        own = probabilities[k - 1].select(F.col("g").alias("part"), F.col("p").alias("own"))
+        gamma = gammas[k - 1].select(F.col("h").alias("context"), "gamma")
+        part = F.col("g").bitwiseAND(F.lit(MASKS[k]))
+        keyed = found.select("g", "p", part.alias("part"), F.shiftrightunsigned(part, 16).alias("context"))
+        # the only context of the first order is the empty one
+        both = keyed.join(own, "part", "left").join(F.broadcast(gamma) if k == 1 else gamma, "context", "left")
+        found = both.select("g", F.coalesce("own", F.col("gamma") * F.col("p"), "p").alias("p"))
+    ln_p = F.when(F.col("p") > 0, F.log("p")).otherwise(F.lit(float("-inf")))
+    known = materialize(found.select("g", ln_p.alias("ln")))
+    # a text without n-grams has one row of none; repeated rows were counted as often as they occur
+    summed = counts.join(known, "g", "left").groupBy("doc_id", "lang", "digest").agg(
+        F.sum(F.when(F.col("g").isNull(), 0.0).otherwise(F.col("c") * F.col("ln"))).alias("ln_p"), F.sum("c").alias("n"))
+    copies = taken.groupBy("doc_id", "lang", "digest").agg(F.count("*").alias("copies"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("doc_id", "lang", "digest")]
+    rows = summed.alias("s").join(copies.alias("t"), same[0] & same[1] & same[2]).select("s.*", "copies")
+    return rows.select("doc_id", "lang", "digest", (F.col("ln_p") / F.col("copies")).alias("ln_p"), (F.col("n") / F.col("copies")).cast("long").alias("n"),
+                       F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+
+
+ROW_COUNTS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("digest", pa.int64()), ("g", pa.int64()), ("c", pa.int64())])
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            g, n = np.unique(grams_of([batch.column(3)[k].as_py()])[0], return_counts=True)
+            at = pa.array(np.full(max(1, len(g)), k))
+            grams = [pa.array(g.view(np.int64)), pa.array(n)] if len(g) else [pa.array([None], pa.int64()), pa.array([0], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(3)), *grams], schema=ROW_COUNTS)
+
+
+def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probabilities, gammas = shared.value
         for batch in batches:
@@ -161,12 +183,10 @@ def _scorer(shared, n: int, s: int):
                 g, sizes = grams_of(batch.column(3)[a:b].to_pylist())
                 distinct, at = np.unique(g, return_inverse=True)
                 ln_p = log_probabilities(distinct, probabilities, gammas)[at] if len(g) else np.zeros(0)
-                used = np.ones(len(g)) if n == 1 else ((((g >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) * np.uint64(2654435761)).view(np.int64) % n == s).astype(float)
                 # summed per document, so that an impossible character weighs on its own document only
                 of = np.repeat(np.arange(len(sizes)), sizes)
-                total = np.bincount(of, np.where(used > 0, ln_p, 0.0), len(sizes))
-                count = np.bincount(of, used, len(sizes)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), pa.array(total), pa.array(count)], schema=SCORES)
+                total = np.bincount(of, ln_p, len(sizes))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[a:b] for k in range(3)), pa.array(total), pa.array(sizes)], schema=SCORES)
     return run
 
 

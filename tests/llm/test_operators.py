@@ -322,6 +322,17 @@ def test_repeated_rows_stay_over_shards(corpus):
     assert sorted(plain, key=str) == sorted(sharded, key=str) and len(plain) == docs.count()
 
 
+def test_large_models_take_all_characters(spark):
+    prepare(spark)
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("가힣퀀🙂ｱＡab ") for _ in range(60)) for _ in range(20)] + ["", None]
+    docs = spark.createDataFrame([(k, t, "xx", "s", 0) for k, t in enumerate(texts)], EMPTY)
+    model = quality_lm.train(docs.where("doc_id < 10").select("text"))
+    small, large = ({r.doc_id: (r.ln_p, r.n) for r in quality_lm.perplexities(docs, model, n).collect()} for n in (4_000_000, 50))
+    assert set(small) == set(large) == set(range(22))
+    assert all(abs(small[k][0] - large[k][0]) < 1e-6 and small[k][1] == large[k][1] for k in small)
+
+
 def test_quality_keeps_what_looks_like_trusted_text(corpus, spark):
     docs, labels = corpus
     junk = spark.createDataFrame([(900 + k, "|#%|" * 40, "xx", "s", 160) for k in range(5)], EMPTY)
