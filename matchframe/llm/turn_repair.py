@@ -294,16 +294,18 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(rows, SUMMARY)
 
 
-FOLDED = pa.schema([("conv_id", pa.int64()), ("cost", pa.int64()), ("borders", pa.int64()), ("steps", pa.list_(pa.int32()))])
+FOLDED = pa.schema([("conv_id", pa.int64()), ("blank", pa.int64()), ("duplicate", pa.int64()), ("truncated", pa.int64()), ("illegal", pa.int64()), ("cost", pa.int64()),
+                    ("blocks", pa.list_(pa.int64())), ("steps", pa.list_(pa.int32()))])
+FOLDED_DDL = "conv_id long, blank long, duplicate long, truncated long, illegal long, cost long, blocks array<long>, steps array<int>"
 
 
 def _folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for conv, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+        for conv, blocks, blank, duplicate, truncated, illegal in zip(*(c.to_pylist() for c in batch.columns)):
             cost, path = fold([(b["costs"], b["places"]) for b in blocks])
             borders = sum(a["ends"][1] + b["ends"][0] not in LEGAL for a, b in zip(blocks, blocks[1:]))
-            rows.append((conv, cost, borders, [4 * x + y for x, y in path]))
+            rows.append((conv, blank, duplicate, truncated, illegal + borders, cost, [b["block"] for b in blocks], [4 * x + y for x, y in path]))
         if rows:
             yield _batch(rows, FOLDED)
 
@@ -392,9 +394,7 @@ class Repair:
         summaries = blocks.mapInArrow(_summaries, SUMMARY_DDL)
         listed = summaries.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "costs", "places", "ends"))).alias("blocks"),
                                                   *[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal")])
-        folded = listed.select("conv_id", "blocks").mapInArrow(_folds, "conv_id long, cost long, borders long, steps array<int>").withColumnsRenamed({"conv_id": "c"})
-        self.folded = materialize(listed.join(folded, F.col("conv_id").eqNullSafe(F.col("c"))).select(
-            "conv_id", "blank", "duplicate", "truncated", (F.col("illegal") + F.col("borders")).alias("illegal"), "cost", "steps", F.col("blocks.block").alias("blocks")))
+        self.folded = materialize(listed.mapInArrow(_folds, FOLDED_DDL))
         step = self.folded.select(F.posexplode(F.arrays_zip("blocks", "steps")).alias("k", "z"), F.size("steps").alias("n"))
         step = step.select(F.col("z.blocks").alias("block"), F.col("z.steps").alias("step"), (F.col("k") + 1 == F.col("n")).alias("last"))
         self.audits = materialize(blocks.join(step, "block").select("conv_id", "block", "codes", "step", "last").mapInArrow(_audits, "conv_id long, block long, audit string"))
