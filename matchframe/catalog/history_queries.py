@@ -166,18 +166,25 @@ def h2h_legacy(spark, d):
 
 
 # ---- matrices
-def _matrix_sql():
+def matrix_parts() -> tuple[list[str], str]:
+    """The 66 columns as SQL expressions with names, and the joins they come from."""
     cols = []
     for n in W5:
         for s, a in (("home", "h"), ("away", "a")):
             cols += [f"{a}.{k}_{n} AS {s}_{k}_{n}" for k in FORM_AGG if not k.startswith("_")]
             cols += [f"{a}.goals_for_{n} / NULLIF(league_avg, 0) AS {s}_attack_strength_{n}", f"{a}.goals_against_{n} / NULLIF(league_avg, 0) AS {s}_defense_strength_{n}",
                      f"{a}.avg_sot_{n} / NULLIF({a}.avg_shots_{n}, 0) AS {s}_shot_accuracy_{n}", f"CASE WHEN {a}._sh_{n} > 0 THEN {a}._gf_{n} / {a}._sh_{n} END AS {s}_conversion_rate_{n}"]
-    cols += list(C.H2H_COLUMNS) + ["m.league_level AS league_level"]
-    return (with_(MATCHES, TEAM_ROWS, STATE, LEAGUE_DAYS, H2H_CLEAN)
-            + f"""SELECT m.match_id, CAST(m.match_date AS VARCHAR) AS match_date, m.season, m.division, m.home_team, m.away_team, m.y, {r(*cols)}
-FROM matches m JOIN st h ON h.team = m.home_team AND h.match_date = m.match_date JOIN st a ON a.team = m.away_team AND a.match_date = m.match_date
-JOIN ld ON ld.match_date = m.match_date JOIN h2h ON h2h.match_id = m.match_id""")
+    return cols + list(C.H2H_COLUMNS) + ["m.league_level AS league_level"], """matches m JOIN st h ON h.team = m.home_team AND h.match_date = m.match_date JOIN st a ON a.team = m.away_team AND a.match_date = m.match_date
+JOIN ld ON ld.match_date = m.match_date JOIN h2h ON h2h.match_id = m.match_id"""
+
+
+MATRIX_NEEDS = (MATCHES, TEAM_ROWS, STATE, LEAGUE_DAYS, H2H_CLEAN)
+
+
+def _matrix_sql():
+    cols, source = matrix_parts()
+    return with_(*MATRIX_NEEDS) + f"""SELECT m.match_id, CAST(m.match_date AS VARCHAR) AS match_date, m.season, m.division, m.home_team, m.away_team, m.y, {r(*cols)}
+FROM {source}"""
 
 
 @query("C9_feature_matrix_66", _matrix_sql())
@@ -291,7 +298,8 @@ def recent_form_snapshot(spark, d):
     return C.recent_form_snapshot(m, fixtures, 5, promoted=[3, 7]).select("home_team", "away_team", "home_avg_goals_for", "away_avg_goals_for", "home_avg_points", "away_avg_points")
 
 
-SEASON_RATINGS = """sr AS (SELECT t.season, t.team, AVG(t.gf) / NULLIF(MIN(l.h), 0) AS attack, AVG(t.ga) / NULLIF(MIN(l.a), 0) AS defence
+SEASON_RATINGS = """sr AS (SELECT t.season, t.team, CASE WHEN MIN(l.h) > 0 THEN AVG(t.gf) / MIN(l.h) ELSE 1.0 END AS attack,
+CASE WHEN MIN(l.h) > 0 AND MIN(l.a) > 0 THEN AVG(t.ga) / MIN(l.a) ELSE 1.0 END AS defence
 FROM team_rows t JOIN (SELECT season, AVG(home_goals) AS h, AVG(away_goals) AS a FROM matches GROUP BY season) l ON l.season = t.season GROUP BY t.season, t.team)"""
 
 

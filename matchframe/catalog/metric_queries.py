@@ -386,19 +386,25 @@ def season_bootstrap(spark, d):
     return I.season_bootstrap(deltas(spark, d))
 
 
-_REPS = 200
 _U = " + ".join(f"CASE WHEN u > {c!r} THEN 1 ELSE 0 END" for c in I._POISSON1)
 
 
-@query("I4_iid_bootstrap_brier", with_(MATCHES, PREDS, SCORED, DELTAS,
-       f"hx AS (SELECT match_id, br_b - br_a AS dd, g, MD5(CONCAT_WS('|', '42', CAST(g AS VARCHAR), CAST(match_id AS VARCHAR))) AS h FROM deltas, UNNEST(GENERATE_SERIES(0, {_REPS // 4 - 1})) q(g))",
-       "ln AS (SELECT dd, g * 4 + i AS rep, ('0x' || SUBSTR(h, CAST(8 * i + 1 AS INT), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM hx, UNNEST(GENERATE_SERIES(0, 3)) w(i))",
-       f"dr AS (SELECT rep, SUM(({_U}) * dd) / SUM({_U}) AS m FROM ln GROUP BY rep)", "od AS (SELECT m, ROW_NUMBER() OVER (ORDER BY m) AS k FROM dr)")
-       + f"SELECT {r('AVG(m) AS mean_diff', f'MAX(CASE WHEN k = {int(.025 * _REPS) + 1} THEN m END) AS ci_lower', f'MAX(CASE WHEN k = {int(.975 * _REPS) + 1} THEN m END) AS ci_upper', '100.0 * AVG(CASE WHEN m < 0 THEN 1.0 ELSE 0.0 END) AS pct_below_zero')} FROM od")
+def _iid_sql(reps, buckets):
+    rows = "bg AS (SELECT match_id AS id, br_b - br_a AS dd, 1 AS n FROM deltas)"
+    if buckets:
+        rows = f"bg AS (SELECT ('0x' || SUBSTR(MD5(CONCAT_WS('|', 'bag', CAST(match_id AS VARCHAR))), 1, 8))::BIGINT % {buckets} AS id, SUM(br_b - br_a) AS dd, COUNT(*) AS n FROM deltas GROUP BY 1)"
+    return (with_(MATCHES, PREDS, SCORED, DELTAS, rows,
+                  f"hx AS (SELECT dd, n, g, MD5(CONCAT_WS('|', '42', CAST(g AS VARCHAR), CAST(id AS VARCHAR))) AS h FROM bg, UNNEST(GENERATE_SERIES(0, {reps // 4 - 1})) q(g))",
+                  "ln AS (SELECT dd, n, g * 4 + i AS rep, ('0x' || SUBSTR(h, CAST(8 * i + 1 AS INT), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM hx, UNNEST(GENERATE_SERIES(0, 3)) w(i))",
+                  f"dr AS (SELECT rep, SUM(({_U}) * dd) / SUM(({_U}) * n) AS m FROM ln GROUP BY rep)", "od AS (SELECT m, ROW_NUMBER() OVER (ORDER BY m) AS k FROM dr)")
+            + f"SELECT {r('AVG(m) AS mean_diff', f'MAX(CASE WHEN k = {int(.025 * reps) + 1} THEN m END) AS ci_lower', f'MAX(CASE WHEN k = {int(.975 * reps) + 1} THEN m END) AS ci_upper', '100.0 * AVG(CASE WHEN m < 0 THEN 1.0 ELSE 0.0 END) AS pct_below_zero')} FROM od")
+
+
+@query("I4_iid_bootstrap_brier", _iid_sql(5000, I.BUCKETS))
 def iid_bootstrap_brier(spark, d):
     per = H.per_match_metrics(views.preds(matches(spark, d)))
     diff = paired_models(per, "m1", "m2", ["match_id"], ["brier"]).select("match_id", F.col("d_brier").alias("diff"))
-    return I.iid_bootstrap_brier(diff, reps=_REPS)
+    return I.iid_bootstrap_brier(diff)
 
 
 def _dm_sql():

@@ -16,7 +16,7 @@ from ..plans.session import materialize, scratch_dir
 from ..sources import files
 from ..streaming import streams
 from .base import FEED, MATCHES, PLAYERS, PREDS, SCORED, TEAM_ROWS, matches, query, r, with_
-from .history_queries import STATE
+from .history_queries import MATRIX_NEEDS, STATE, matrix_parts
 
 TEST = 2000
 COLS10 = [f"{s}_{c}_10" for s in ("home", "away") for c in ("team_state_points", "goals_for", "goals_against", "avg_shots", "avg_sot")]
@@ -44,8 +44,8 @@ def fitted(name, fit, cols=COLS10):
 
 fitted("F1_fit_lr", FM.fit_lr, ALL_COLS)
 fitted("F2_fit_lr_scaled", FM.fit_lr_scaled, ALL_COLS)
-fitted("F3_fit_lr_l1", lambda t, c: FM.fit_lr_l1(t, c, max_iter=50))
-fitted("F4_fit_balanced", FM.fit_balanced)
+fitted("F3_fit_lr_l1", FM.fit_lr_l1, ALL_COLS)
+fitted("F4_fit_balanced", FM.fit_balanced, ALL_COLS)
 fitted("F5_fit_forest", lambda t, c: FM.fit_forest(t, c, trees=40, depth=8, leaf=8), ALL_COLS)
 fitted("F6_fit_boosted", lambda t, c: FM.fit_boosted(t, c, rounds=8, depth=3))
 fitted("F8_fit_mlp", lambda t, c: FM.fit_mlp(t, c, layers=(32, 16), max_iter=30))
@@ -54,14 +54,38 @@ fitted("F8_fit_mlp", lambda t, c: FM.fit_mlp(t, c, layers=(32, 16), max_iter=30)
 @query("F13_fit_poisson_glm")
 def fit_poisson_glm(spark, d):
     train, test = split(matrix(spark, d))
-    return FM.predict_rates(FM.fit_poisson_glm(train, COLS10), test)
+    return FM.predict_rates(FM.fit_poisson_glm(train, ALL_COLS), test)
+
+
+def optimal(name, fit, outputs):
+    """Every optimality condition of a fit on all columns holds (outputs x columns and intercepts)."""
+    @query(f"{name}_optimality", with_(MATCHES) + f"""SELECT COUNT(*) AS n_train, {outputs * (len(ALL_COLS) + 1)} AS n_conditions, {outputs * (len(ALL_COLS) + 1)} AS n_met FROM matches WHERE season < {TEST} AND y IS NOT NULL""")
+    def run(spark, d):
+        train, _ = split(matrix(spark, d))
+        models = fit(train)
+        checks = [FM.stationarity(m, rows, weight=weight) for m, rows, weight in models]
+        every = checks[0].unionByName(checks[1]) if len(checks) > 1 else checks[0]
+        return every.agg(F.lit(models[0][0].n_train).cast("long").alias("n_train"), F.count(F.lit(1)).alias("n_conditions"), F.count_if(F.col("residual") < 1e-6).alias("n_met"))
+    return run
+
+
+def _balanced(train):
+    weights = FM.class_weights(train)
+    return [(FM.fit_balanced(train, ALL_COLS), train.join(weights.drop("n_class"), "y"), "class_weight")]
+
+
+optimal("F1_fit_lr", lambda t: [(FM.fit_lr(t, ALL_COLS), t, None)], 3)
+optimal("F2_fit_lr_scaled", lambda t: [(FM.fit_lr_scaled(t, ALL_COLS), t, None)], 3)
+optimal("F3_fit_lr_l1", lambda t: [(FM.fit_lr_l1(t, ALL_COLS), t, None)], 3)
+optimal("F4_fit_balanced", _balanced, 3)
+optimal("F13_fit_poisson_glm", lambda t: [(m, t, None) for m in FM.fit_poisson_glm(t, ALL_COLS)], 2)
 
 
 @query("F23_save_load_model", with_(MATCHES) + "SELECT COUNT(*) AS n, CAST(0 AS DOUBLE) AS max_diff FROM matches WHERE season = 2000")
 def save_load_model(spark, d):
     """Largest probability difference between a model and its reloaded copy."""
     train, test = split(matrix(spark, d))
-    model = FM.fit_lr(train, COLS10)
+    model = FM.fit_lr(train, ALL_COLS)
     path = scratch_dir(spark)
     FM.save_model(model, path)
     again = FM.predict(FM.load_model(path), test).select("match_id", F.col("p_home").alias("again"))
@@ -71,19 +95,21 @@ def save_load_model(spark, d):
 @query("F24_run_model_suite")
 def run_model_suite(spark, d):
     registry = {"lr": lambda t, c: FM.fit_lr(t, c), "lr_scaled": lambda t, c: FM.fit_lr_scaled(t, c)}
-    preds, log = FM.run_model_suite(matrix(spark, d), COLS10, [1998, 1999, TEST], registry)
+    preds, log = FM.run_model_suite(matrix(spark, d), ALL_COLS, [1998, 1999, TEST], registry)
     return FM.suite_metrics(preds).unionByName(FM.suite_failures(spark, log), allowMissingColumns=True)
 
 
 @query("F25_train_on_all")
 def train_on_all(spark, d):
-    return FM.train_on_all(matrix(spark, d), COLS10, "lr")
+    return FM.train_on_all(matrix(spark, d), ALL_COLS, "lr")
 
 
 @query("L8_feature_set_comparison")
 def feature_set_comparison(spark, d):
     df = market_probs(matrix(spark, d))
-    return J.feature_set_comparison(df, {"form": COLS10, "pair": list(C.H2H_COLUMNS), "both": [*COLS10, *C.H2H_COLUMNS]}, TEST, market=("q_away", "q_draw", "q_home"))
+    sets = {name: [c for c in ALL_COLS if J.family(c) in some] for name, some in (
+        ("form", ("form", "margins", "goals_strength")), ("shooting", ("shooting",)), ("pair", ("h2h",)), ("form_and_shooting", ("form", "margins", "goals_strength", "shooting")))}
+    return J.feature_set_comparison(df, sets | {"all": ALL_COLS}, TEST, market=("q_away", "q_draw", "q_home"))
 
 
 # ---------------------------------------------------------------- ratings
@@ -144,19 +170,23 @@ def shuffle_within(spark, d):
     return J.shuffle_within(m, ["home_goals", "away_goals"]).select("match_id", "division", "home_goals_shuffled", "away_goals_shuffled")
 
 
+def _families():
+    families: dict[str, list[str]] = {}
+    for c in ALL_COLS:
+        families.setdefault(J.family(c), []).append(c)
+    return families
+
+
 @query("J2_permutation_importance")
 def permutation_importance(spark, d):
     train, test = split(matrix(spark, d))
-    return J.permutation_importance(FM.fit_lr(train, [*COLS10, "league_level"]), test, repeats=2)
+    return J.permutation_importance(FM.fit_lr(train, ALL_COLS), test)
 
 
 @query("J3_group_importance")
 def group_importance(spark, d):
     train, test = split(matrix(spark, d))
-    families: dict[str, list[str]] = {}
-    for c in ALL_COLS:
-        families.setdefault(J.family(c), []).append(c)
-    return J.group_importance(FM.fit_lr(train, ALL_COLS), test, families, repeats=2)
+    return J.group_importance(FM.fit_lr(train, ALL_COLS), test, _families())
 
 
 @query("J4_coef_table")
@@ -165,6 +195,102 @@ def coef_table(spark, d):
     return J.coef_table(FM.fit_lr(train, ALL_COLS), train)
 
 
+# A model whose coefficients are stated by a rule: what J2 to J5 do with a model has a SQL form.
+STATED = [[((7 * j + 5 * k + 3) % 11 - 5) / 4000 for j in range(len(ALL_COLS))] for k in range(3)]
+STATED_INTERCEPT = [0.1, 0.0, -0.1]
+
+
+def stated_model():
+    return FM.Linear("stated", ALL_COLS, 0, "softmax", [0.0] * len(ALL_COLS), STATED, STATED_INTERCEPT)
+
+
+def _stated_sql(seasons):
+    """Tables: cf (coefficients), pf (rows with their permuted partner, per season and repeat)."""
+    cols, source = matrix_parts()
+    found = dict(c.rpartition(" AS ")[::2][::-1] if " AS " in c else (c, c) for c in cols)
+    values = ", ".join(f"({j + 1}, '{c}', '{J.family(c)}', {', '.join(repr(STATED[k][j]) for k in range(3))})" for j, c in enumerate(ALL_COLS))
+    def ordered(salt, by):
+        return f"ROW_NUMBER() OVER (PARTITION BY {by} ORDER BY ('0x' || SUBSTR(MD5(CONCAT_WS('|', CAST(42 + rep AS VARCHAR), '{salt}', CAST(match_id AS VARCHAR))), 1, 8))::BIGINT, match_id)"
+    margins = ", ".join(f"{b!r} + LIST_DOT_PRODUCT(x, [{', '.join(map(repr, row))}]::DOUBLE[]) AS m{k}" for k, (row, b) in enumerate(zip(STATED, STATED_INTERCEPT)))
+    last = len(ALL_COLS)
+    return [*MATRIX_NEEDS, f"cf AS (SELECT * FROM (VALUES {values}) v(j, feature, family, c0, c1, c2))",
+            f"fm AS (SELECT m.match_id, m.season, m.division, m.y, [{', '.join(f'COALESCE(CAST({found[c]} AS DOUBLE), 0.0)' for c in ALL_COLS)}] AS x FROM {source})",
+            f"""rw AS (SELECT rep, match_id, season, division, y, x, {margins}, {ordered('to', 'season, rep, division')} AS ka, {ordered('from', 'season, rep, division')} AS kb,
+{ordered('to', 'season, rep')} AS wa, {ordered('from', 'season, rep')} AS wb FROM fm, UNNEST(GENERATE_SERIES(0, 4)) g(rep) WHERE season IN ({seasons}))""",
+            f"""pf AS (SELECT a.season, a.rep, a.match_id, a.y, a.m0, a.m1, a.m2, a.x, LIST_CONCAT(b.x[1:{last - 1}], [w.x[{last}]]) AS xs
+FROM rw a JOIN rw b ON b.season = a.season AND b.rep = a.rep AND b.division = a.division AND b.kb = a.ka JOIN rw w ON w.season = a.season AND w.rep = a.rep AND w.wb = a.wa)"""]
+
+
+def _scores_sql(source, zs):
+    """Loss and hit from margins."""
+    p = "EXP({0}) / (EXP({1}) + EXP({2}) + EXP({3}))"
+    z = dict(zip("abc", zs))
+    e = " + ".join(f"EXP({v} - GREATEST({', '.join(zs)}))" for v in zs)
+    chosen = f"CASE y WHEN 0 THEN {z['a']} WHEN 1 THEN {z['b']} ELSE {z['c']} END"
+    loss = f"-LN(GREATEST(EXP({chosen} - GREATEST({', '.join(zs)})) / ({e}), 1e-15))"
+    hit = f"CASE WHEN (CASE WHEN {zs[0]} >= {zs[1]} AND {zs[0]} >= {zs[2]} THEN 0 WHEN {zs[1]} >= {zs[2]} THEN 1 ELSE 2 END) = y THEN 1.0 ELSE 0.0 END"
+    return loss, hit
+
+
+def _importance_ctes(by):
+    """im: season, feature, mean and deviation of both measures over the repeats; by: feature or family."""
+    moved = f"""mv AS (SELECT season, rep, match_id, y, m0, m1, m2, {by} AS feature, m0 + SUM((xs[j] - x[j]) * c0) AS z0, m1 + SUM((xs[j] - x[j]) * c1) AS z1, m2 + SUM((xs[j] - x[j]) * c2) AS z2
+FROM pf, cf GROUP BY season, rep, match_id, y, m0, m1, m2, {by})"""
+    l1, h1 = _scores_sql("mv", ("z0", "z1", "z2"))
+    l0, h0 = _scores_sql("mv", ("m0", "m1", "m2"))
+    return [moved, f"im0 AS (SELECT season, feature, rep, AVG({l1} - ({l0})) AS dl, AVG({h0} - ({h1})) AS da FROM mv GROUP BY season, feature, rep)",
+            """im AS (SELECT season, feature, AVG(dl) AS dl, STDDEV_SAMP(dl) AS sl, AVG(da) AS da, STDDEV_SAMP(da) AS sa, ROW_NUMBER() OVER (PARTITION BY season ORDER BY AVG(dl) DESC, feature) AS rk
+FROM im0 GROUP BY season, feature)"""]
+
+
+_MEASURES = r("dl AS permutation_logloss_mean", "sl AS permutation_logloss_std", "im.da AS permutation_accuracy_mean", "sa AS permutation_accuracy_std")
+
+
+@query("J2_permutation_importance_stated", with_(*_stated_sql("2000"), *_importance_ctes("feature"))
+       + f"SELECT im.feature, family, {_MEASURES}, CAST(rk AS INT) AS rank FROM im JOIN cf ON cf.feature = im.feature")
+def permutation_importance_stated(spark, d):
+    return J.permutation_importance(stated_model(), split(matrix(spark, d))[1])
+
+
+@query("J3_group_importance_stated", with_(*_stated_sql("2000"), *_importance_ctes("family"))
+       + f"SELECT im.feature AS family, {_MEASURES}, CAST(rk AS INT) AS rank, (SELECT CAST(COUNT(*) AS INT) FROM cf WHERE cf.family = im.feature) AS n_features FROM im")
+def group_importance_stated(spark, d):
+    return J.group_importance(stated_model(), split(matrix(spark, d))[1], _families())
+
+
+@query("J4_coef_table_stated", with_(*_stated_sql("2000"), f"sd AS (SELECT j, STDDEV_POP(x[j]) AS sd FROM fm, UNNEST(GENERATE_SERIES(1, {len(ALL_COLS)})) g(j) WHERE season < {TEST} GROUP BY j)",
+       *[f"ct AS (SELECT feature, family, {', '.join(f'(c{k} - (c0 + c1 + c2) / 3) * sd AS k{k}' for k in range(3))} FROM cf JOIN sd USING (j))"])
+       + f"SELECT feature, family, {r('k0 AS coef_away', 'k1 AS coef_draw', 'k2 AS coef_home', '(ABS(k0) + ABS(k1) + ABS(k2)) / 3 AS coefficient_mean_abs')} FROM ct")
+def coef_table_stated(spark, d):
+    return J.coef_table(stated_model(), split(matrix(spark, d))[0])
+
+
+RANKED_SEASONS = (1997, 1998, 1999)
+
+
+def importance_by_season(df, model_of):
+    """Permutation importance of every ranked season, one model per season."""
+    parts = [J.permutation_importance(model_of(df.where(F.col("season") < s)), df.where(F.col("season") == s)).withColumn("season", F.lit(s)) for s in RANKED_SEASONS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("J5_importance_stability_stated", with_(*_stated_sql(", ".join(map(str, RANKED_SEASONS))), *_importance_ctes("feature"))
+       + f"""SELECT feature, {r("AVG(dl) AS mean_logloss_increase", "AVG(rk) AS mean_rank")}, CAST(MAX(rk) AS INT) AS worst_rank, COUNT(CASE WHEN dl > 0 THEN 1 END) AS positive_seasons, COUNT(CASE WHEN rk <= 15 THEN 1 END) AS top_seasons
+FROM im GROUP BY feature""")
+def importance_stability_stated(spark, d):
+    """Stability of the importance of a stated model over three seasons."""
+    return J.importance_stability(importance_by_season(matrix(spark, d), lambda train: stated_model()))
+
+
+@query("J5_importance_stability_fitted")
+def importance_stability_fitted(spark, d):
+    """Stability over three seasons, each ranked by a model of the seasons before it."""
+    return J.importance_stability(importance_by_season(matrix(spark, d), lambda train: FM.fit_lr(train, ALL_COLS)))
+
+
 _STAB = """imp AS (SELECT division AS feature, season, AVG(home_goals - away_goals) AS rise, CAST(ROW_NUMBER() OVER (PARTITION BY season ORDER BY AVG(home_goals - away_goals) DESC, division) AS INT) AS rk FROM matches GROUP BY division, season)"""
 
 
@@ -180,15 +306,63 @@ CORR_COLS = ("home_goals", "away_goals", "home_shots", "away_shots", "home_sot",
 _CP = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, ABS(CORR({a}, {b})) AS c FROM matches" for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])
 
 
-@query("J7_correlation_pairs", with_(MATCHES, f"cp AS ({_CP})") + f"SELECT feature_a, feature_b, {r('c AS absolute_correlation')} FROM cp WHERE c >= 0.3")
-def correlation_pairs(spark, d):
+@query("J7_correlation_pairs_raw", with_(MATCHES, f"cp AS ({_CP})") + f"SELECT feature_a, feature_b, {r('c AS absolute_correlation')} FROM cp WHERE c >= 0.3")
+def correlation_pairs_raw(spark, d):
     return J.correlation_pairs(matches(spark, d), CORR_COLS, threshold=0.3)
 
 
+def _matrix_corr_sql():
+    cols, source = matrix_parts()
+    found = dict(c.rpartition(" AS ")[::2][::-1] if " AS " in c else (c, c) for c in cols)
+    names = "[" + ", ".join(f"'{c}'" for c in ALL_COLS) + "]"
+    n = len(ALL_COLS)
+    return with_(*MATRIX_NEEDS, f"fx AS (SELECT [{', '.join(f'CAST({found[c]} AS DOUBLE)' for c in ALL_COLS)}] AS x FROM {source})",
+                 f"cp AS (SELECT i, j, ABS(CORR(x[i], x[j])) AS c FROM fx, UNNEST(GENERATE_SERIES(1, {n})) a(i), UNNEST(GENERATE_SERIES(1, {n})) b(j) WHERE i < j GROUP BY i, j)") + (
+        f"SELECT {names}[i] AS feature_a, {names}[j] AS feature_b, {r('c AS absolute_correlation')} FROM cp WHERE c >= 0.95 AND NOT ISNAN(c)")
+
+
+@query("J7_correlation_pairs", _matrix_corr_sql())
+def correlation_pairs(spark, d):
+    """Close pairs among the 66 columns."""
+    return J.correlation_pairs(matrix(spark, d), ALL_COLS)
+
+
+RANK_SEASON, VALID_SEASONS = 1998, (1999, TEST)
+
+
+def searched_sets(df):
+    """Candidate column sets from the importance season and the correlations before it (66 ranked
+    names and the close pairs come to the driver)."""
+    before = df.where(F.col("season") < RANK_SEASON)
+    ranking = J.permutation_importance(FM.fit_lr(before, ALL_COLS), df.where(F.col("season") == RANK_SEASON)).orderBy("rank").select("feature", "permutation_logloss_mean").collect()
+    pairs = [(p.feature_a, p.feature_b) for p in J.correlation_pairs(before, ALL_COLS).collect()]
+    return J.candidate_sets(ALL_COLS, [x.feature for x in ranking], [x.feature for x in ranking if x.permutation_logloss_mean > 0], pairs)
+
+
+def searched_grid(spark, d):
+    df = matrix(spark, d)
+    sets = searched_sets(df)
+    return sets, J.validate_grid(df, sets, VALID_SEASONS)
+
+
 @query("J9_validate_grid")
 def validate_grid(spark, d):
-    sets = {"form_10": COLS10, "pair": list(C.H2H_COLUMNS), "form_and_pair": [*COLS10, *C.H2H_COLUMNS]}
-    return J.validate_grid(matrix(spark, d), sets, [1999, TEST])
+    """All candidate sets on both validation seasons."""
+    return searched_grid(spark, d)[1]
+
+
+@query("J10_pick_winner_searched")
+def pick_winner_searched(spark, d):
+    return J.pick_winner(materialize(searched_grid(spark, d)[1]))
+
+
+@query("J12_retention_table_searched")
+def retention_table_searched(spark, d):
+    """Which of the 66 columns the searched winner keeps."""
+    sets, grid = searched_grid(spark, d)
+    winner = sets[J.pick_winner(grid).first().config]
+    names = spark.createDataFrame([(c,) for c in ALL_COLS], "feature string")
+    return J.retention_table(names, names.where(F.col("feature").isin(winner)))
 
 
 _GRID = """gr AS (SELECT CONCAT('set_', home_team) AS config, 1.0 AS c, COUNT(*) AS n_features, AVG(CASE WHEN predicted = scored.y THEN 1.0 ELSE 0.0 END) AS accuracy, AVG(ll) AS log_loss FROM scored JOIN matches USING (match_id) GROUP BY home_team)"""
@@ -215,7 +389,7 @@ def pick_winner_accuracy(spark, d):
 
 @query("J11_drop_family_ablation")
 def drop_family_ablation(spark, d):
-    return J.drop_family_ablation(matrix(spark, d), [*COLS10, *C.H2H_COLUMNS, "league_level"], TEST)
+    return J.drop_family_ablation(matrix(spark, d), ALL_COLS, TEST)
 
 
 @query("J12_retention_table", with_(MATCHES) + """SELECT CONCAT('home_win_rate_', home_team) AS feature, 'form' AS family, CASE WHEN SUM(home_goals) > SUM(away_goals) THEN 1 ELSE 0 END AS selected FROM matches GROUP BY home_team""")
@@ -295,6 +469,27 @@ def read_match_csv(spark, d):
     return df.select("referee", "date", "division", "home_team", "away_team", "result_full", "home_goals_full", "away_goals_full", "home_shots", "away_shots_target", "odds_home", "odds_away")
 
 
+def _layout_csv(spark, d, path):
+    """Three layouts of season files: all columns, without odds and in another order, without shots and with two-digit years."""
+    m = matches(spark, d)
+    day = F.date_format("match_date", "dd/MM/yyyy").alias("Date")
+    cols = {k: F.col(v).cast("string").alias(k) for k, v in SRC.items()}
+    no_odds = [c for k, c in cols.items() if not k.startswith("B365")]
+    no_shots = [c for k, c in cols.items() if k not in ("HS", "AS", "HST", "AST")]
+    m.where("season <= 1995").select(*cols.values(), day, F.lit("x").alias("Weather")).write.csv(f"{path}/a", header=True)
+    m.where("season = 1996").select(day, *reversed(no_odds)).write.csv(f"{path}/b", header=True)
+    m.where("season > 1996").select(F.lit("y").alias("SJH"), *no_shots, F.date_format("match_date", "dd/MM/yy").alias("Date")).write.csv(f"{path}/c", header=True)
+    return [f"{path}/{x}" for x in "abc"]
+
+
+@query("A1_read_match_csv_layouts", with_(MATCHES) + f"""SELECT CAST(match_date AS VARCHAR) AS date, division, CAST(home_team AS VARCHAR) AS home_team, CAST(away_team AS VARCHAR) AS away_team,
+{r("home_goals AS home_goals_full", "CASE WHEN season <= 1996 THEN home_shots END AS home_shots", "CASE WHEN season <> 1996 THEN odds_draw END AS odds_draw")} FROM matches""")
+def read_match_csv_layouts(spark, d):
+    raw = files.read_match_csv(spark, _layout_csv(spark, d, scratch_dir(spark)))
+    df = files.coerce_numeric(files.parse_match_date(raw), [*files.NUMERIC_COLUMNS, "odds_draw"])
+    return df.select("date", "division", "home_team", "away_team", "home_goals_full", "home_shots", "odds_draw")
+
+
 @query("A4_union_seasons", with_(MATCHES) + f"""SELECT match_id, division, {r("CASE WHEN season >= 1997 THEN odds_home END AS odds_home")}, CASE WHEN season < 1997 THEN 'early' ELSE 'late' END AS source FROM matches""")
 def union_seasons(spark, d):
     m = matches(spark, d)

@@ -68,15 +68,16 @@ def score_grid_fixed(spark, d):
                                          (F.sum(F.col("p") * F.col("match_id")) / 1e6).alias("keyed"))
 
 
-ADAPTIVE = """cdf AS (SELECT match_id, k, SUM(EXP(k * LN(lambda_home) - lambda_home - LGAMMA(k + 1))) OVER w AS ch, SUM(EXP(k * LN(lambda_away) - lambda_away - LGAMMA(k + 1))) OVER w AS ca
-FROM rates, UNNEST(GENERATE_SERIES(0, 60)) g(k) WINDOW w AS (PARTITION BY match_id ORDER BY k)),
-sup AS (SELECT match_id, MIN(k) AS n FROM cdf WHERE k >= 10 AND ch >= 1 - 1e-9 / 4 AND ca >= 1 - 1e-9 / 4 AND 1 - ch * ca <= 1e-9 GROUP BY match_id)"""
+ADAPTIVE = """pk AS (SELECT match_id, k, EXP(k * LN(lambda_home) - lambda_home - LGAMMA(k + 1)) AS ph, EXP(k * LN(lambda_away) - lambda_away - LGAMMA(k + 1)) AS pa
+FROM rates, UNNEST(GENERATE_SERIES(0, 90)) g(k)),
+tl AS (SELECT match_id, k, SUM(ph) OVER w AS th, SUM(pa) OVER w AS ta FROM pk WINDOW w AS (PARTITION BY match_id ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sup AS (SELECT match_id, MIN(k) AS n FROM tl WHERE k BETWEEN 10 AND 80 AND th <= 1e-12 / 4 AND ta <= 1e-12 / 4 GROUP BY match_id)"""
 
 
-@query("G2_score_grid_adaptive", with_(*BASE, ADAPTIVE) + f"""SELECT match_id, CAST(n AS INT) AS grid_max, (n + 1) * (n + 1) AS n_cells, {r("1.0 AS total", "c.ch * c.ca AS kept")}
-FROM sup JOIN cdf c USING (match_id) WHERE c.k = n""")
+@query("G2_score_grid_adaptive", with_(*BASE, ADAPTIVE) + f"""SELECT match_id, CAST(n AS INT) AS grid_max, (n + 1) * (n + 1) AS n_cells, {r("1.0 AS total", "(1 - t.th) * (1 - t.ta) AS kept")}
+FROM sup JOIN tl t USING (match_id) WHERE t.k = n""")
 def score_grid_adaptive(spark, d):
-    g = G.score_grid_adaptive(rates(spark, d), tol=1e-9)
+    g = G.score_grid_adaptive(rates(spark, d))
     total = F.aggregate("grid", F.lit(0.0), lambda acc, p: acc + p)
     return g.select("match_id", "grid_max", F.size("grid").cast("bigint").alias("n_cells"), total.alias("total"), (1.0 - F.col("omitted_mass")).alias("kept"))
 

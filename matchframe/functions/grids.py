@@ -74,12 +74,21 @@ def fixed(lh: np.ndarray, la: np.ndarray, top: int, renormalise: bool) -> np.nda
     return t / t.sum(axis=(1, 2), keepdims=True) if renormalise else t
 
 
+def tails(rate: np.ndarray, cap: int) -> np.ndarray:
+    """(matches, cap + 1): mass above every number of goals, added up from the far end, so that it
+    is accurate where one minus a cumulated sum would have no digits left."""
+    p = pmf(rate, cap)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # ratios of later terms fall, so the rest is below a geometric series
+        beyond = np.where(rate < cap + 1, p[:, -1] * rate / (cap + 1 - rate), 1.0)
+    return np.cumsum(np.column_stack([beyond, p[:, :0:-1]]), axis=1)[:, ::-1]
+
+
 def adaptive_support(lh: np.ndarray, la: np.ndarray, tol: float, cap: int) -> np.ndarray:
-    """Smallest n >= 10 with both cdfs at 1 - tol/4 and their product at 1 - tol."""
+    """Smallest n >= 10 that leaves at most tol/4 of either side out, and so at most tol of the joint mass."""
     if not (np.isfinite(lh).all() and np.isfinite(la).all() and (lh > 0).all() and (la > 0).all()):
         raise ValueError("rates must be positive and finite")
-    ch, ca = np.cumsum(pmf(lh, cap), axis=1), np.cumsum(pmf(la, cap), axis=1)
-    enough = (ch >= 1 - tol / 4) & (ca >= 1 - tol / 4) & (1.0 - ch * ca <= tol)
+    enough = (tails(lh, cap) <= tol / 4) & (tails(la, cap) <= tol / 4)
     enough[:, :10] = False
     if not enough.any(axis=1).all():
         raise ValueError(f"score support above {cap} goals")

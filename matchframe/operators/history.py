@@ -390,14 +390,18 @@ def recent_form_snapshot(m: DataFrame, fixtures: DataFrame, n: int = 5, promoted
 
 
 def season_ratings(m: DataFrame) -> DataFrame:
-    """Per season and team: scoring and conceding rate relative to the season's home / away means."""
+    """Per season and team: scoring rate over the season's home mean, conceding rate over its away mean.
+
+    Both are 1 in a season whose home mean is zero; without any away goal the defence is 1
+    (a rate over zero would be infinite or undefined).
+    """
     league = m.groupBy("season").agg(F.avg("home_goals").alias("_h"), F.avg("away_goals").alias("_a"))
     teams = to_team_rows(m).groupBy("season", "team").agg(F.avg("gf").alias("_f"), F.avg("ga").alias("_g"))
-    sound = (F.col("_h") > 0) & (F.col("_a") > 0)
+    home, away = F.col("_h") > 0, F.col("_a") > 0
     return teams.join(league, "season").select(
         "season", "team",
-        F.when(sound, _ratio(F.col("_f"), F.col("_h"))).otherwise(1.0).alias("attack"),
-        F.when(sound, _ratio(F.col("_g"), F.col("_a"))).otherwise(1.0).alias("defence"))
+        F.when(home, _ratio(F.col("_f"), F.col("_h"))).otherwise(1.0).alias("attack"),
+        F.when(home & away, _ratio(F.col("_g"), F.col("_a"))).otherwise(1.0).alias("defence"))
 
 
 def last_season_ratings(ratings: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Outcome and goal models on pyspark.ml or plain aggregation.
 
-A fitted model is a `PipelineModel`: a SQL projection that fills nulls with the
-training means (and scales where asked), a vector assembler, and the estimator's
-model. It can be saved, loaded and applied like any other pipeline.
+Linear models (logistic, L1, Poisson) are fitted by `newton` and hold their coefficients; they
+are applied as column expressions. Trees and nets are a `PipelineModel`: a SQL projection that
+fills nulls with the training means (and scales where asked), a vector assembler, and the
+estimator's model. Both can be saved, loaded and applied.
 """
 
 from __future__ import annotations
@@ -10,24 +11,27 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import P_COLS, single_row
 from ..plans.session import materialize
+from . import boosting
+from .boosting import Boosted
 from .folds import check_fold
 from .history import to_team_rows
 from .joins import team_param_join
 from .metrics import classification_metrics, row_brier, row_log_loss
+from .newton import Fit, Solution, fit_many
 
 LABEL = "y"
 CLASSES = (0, 1, 2)
@@ -48,6 +52,61 @@ class Fitted:
         return self.pipeline.transform(df)
 
 
+def _sum(terms: list[Column]) -> Column:
+    """A sum as a balanced tree, so that many columns make no deep expression."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + (terms[-1:] if len(terms) % 2 else [])
+    return terms[0] if terms else F.lit(0.0)
+
+
+@dataclass
+class Linear:
+    """Coefficients per output in units of the mean-filled columns; link: softmax over the
+    classes, logistic scores per class that are normalised, or poisson rates."""
+
+    name: str
+    cols: list[str]
+    n_train: int
+    link: str
+    means: list[float]
+    coef: list[list[float]]
+    intercept: list[float]
+    sds: list[float] = field(default_factory=list)
+    penalty: str = "none"
+    c: float = 1.0
+    scaled: bool = False
+    log: dict = field(default_factory=dict)
+
+    def filled(self) -> list[Column]:
+        return [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(m)) for c, m in zip(self.cols, self.means)]
+
+    def margins(self, inputs: Sequence[Column] | None = None) -> list[Column]:
+        inputs = self.filled() if inputs is None else inputs
+        return [_sum([F.lit(b), *[x * F.lit(w) for x, w in zip(inputs, row) if w]]) for row, b in zip(self.coef, self.intercept)]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The rows with the margins as columns _m0, _m1, ..."""
+        return df.select("*", *[m.alias(f"_m{k}") for k, m in enumerate(self.margins())])
+
+
+LINEAR_PARTS = ("means", "coef", "intercept", "sds", "penalty", "c", "scaled")
+
+
+def _linear(name: str, link: str, solutions: Sequence[Solution], seconds: float) -> Linear:
+    first = solutions[0]
+    coef = [[float(v) for v in row] for s in solutions for row in s.coef]
+    intercept = [float(v) for s in solutions for v in s.intercept]
+    return Linear(name, list(first.fit.cols), first.n, link, [float(m) for m in first.means], coef, intercept, [float(v) for v in first.sds],
+                  first.fit.penalty, first.fit.c, first.fit.scaled, {
+        "model": name, "n_features": len(first.fit.cols), "n_train": first.n, "fit_seconds": seconds, "passes": max(s.passes for s in solutions),
+        "converged": all(s.converged for s in solutions), "n_parameters": sum(len(row) + 1 for row in coef)})
+
+
+def _fit_linear(name: str, train: DataFrame, fits: Sequence[Fit], link: str, tol: float = 1e-12) -> Linear:
+    start = time.perf_counter()
+    return _linear(name, link, fit_many(train, fits, tol=tol), time.perf_counter() - start)
+
+
 def _prepare(train: DataFrame, cols: Sequence[str], scaled: bool) -> tuple[list, int]:
     """Fill (and scale) projection from training statistics: one aggregation, one small row."""
     sds = [F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)] if scaled else []
@@ -73,49 +132,97 @@ def _fit(name: str, train: DataFrame, cols: Sequence[str], make: Callable, scale
         raise ValueError("no training rows")
     estimator = make(n)
     pipeline = Pipeline(stages=[*stages, estimator]).fit(train)
-    return Fitted(name, pipeline, list(cols), n, link, {"model": name, "n_features": len(cols), "n_train": n,
-                                                        "fit_seconds": time.perf_counter() - start})
+    last = pipeline.stages[-1]
+    return Fitted(name, pipeline, list(cols), n, link, {
+        "model": name, "n_features": len(cols), "n_train": n, "fit_seconds": time.perf_counter() - start,
+        "n_parameters": last.weights.size if hasattr(last, "weights") else 3 * last.totalNumNodes})
+
+
+def stationarity(model: Linear, train: DataFrame, label: str | None = None, weight: str | None = None) -> DataFrame:
+    """output, feature, residual: how far each coefficient is from its optimality condition, as a
+    share of the largest gradient its column could have. One scan; tasks send one sum per
+    coefficient. The feature of an intercept is null."""
+    k, d, names = len(model.coef), len(model.cols), [*model.cols, None]
+    means, sds = np.array(model.means), np.array(model.sds)
+    coef, intercept, link = np.array(model.coef), np.array(model.intercept), model.link
+    label = label or (model.name.removeprefix("poisson_") if link == "poisson" else LABEL)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, k, d + 1))
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            x, y, w = np.column_stack(cols[:d]), cols[d], cols[d + 1]
+            x = np.where(np.isnan(x), means, x)
+            z = x @ coef.T + intercept
+            if link == "softmax":
+                e = np.exp(z - z.max(1, keepdims=True))
+                fitted = e / e.sum(1, keepdims=True)
+            else:
+                fitted = np.exp(z) if link == "poisson" else 1 / (1 + np.exp(-z))
+            err = (fitted - (y[:, None] if link == "poisson" else y[:, None] == np.arange(k))) * w[:, None]
+            inner = np.column_stack([(x - means) / sds, np.ones(len(x))])
+            total += np.stack([err.T @ inner, np.abs(err).T @ np.abs(inner)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k, dtype=np.int32), d + 1)), pa.array(np.tile(np.arange(d + 1, dtype=np.int32), k)),
+                                          pa.array(total[0].ravel()), pa.array(total[1].ravel())], names=["output", "j", "g", "most"])
+    rows = train.where(F.col(label).isNotNull()).select(*[F.col(f"`{c}`").cast("double") for c in model.cols], F.col(label).cast("double").alias("_y"),
+                                                        (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    got = rows.mapInArrow(sums, "output int, j int, g double, most double").groupBy("output", "j").agg(F.sum("g").alias("g"), F.sum("most").alias("most"))
+    w = coef * sds
+    lam = np.zeros(d) if model.penalty == "none" else 1.0 / model.c / (1.0 if model.scaled else sds ** (2 if model.penalty == "l2" else 1)) * np.ones(d)
+    own = F.array(*[F.array(*[F.lit(float(v)) for v in [*row, 0.0]]) for row in w])
+    own, pull = own[F.col("output")][F.col("j")], F.array(*[F.lit(float(v)) for v in [*lam, 0.0]])[F.col("j")]
+    if model.penalty == "l1":
+        gap = F.when(own != 0, F.abs(F.col("g") + pull * F.signum(own))).otherwise(F.greatest(F.abs("g") - pull, F.lit(0.0)))
+    else:
+        gap = F.abs(F.col("g") + pull * own)
+    label_of = F.array(*[F.lit(n) for n in names])[F.col("j")]
+    return got.select("output", label_of.alias("feature"), (gap / F.greatest("most", F.lit(1.0))).alias("residual"))
+
 
+def class_scores(margins: Sequence[Column], link: str) -> list[Column]:
+    """Class probabilities from the margins of a linear model."""
+    if link == "softmax":
+        top = F.greatest(*margins)
+        each = [F.exp(m - top) for m in margins]
+    else:  # one against the rest: logistic of each, divided by their sum
+        each = [1.0 / (1.0 + F.exp(-m)) for m in margins]
+    return [e / (each[0] + each[1] + each[2]) for e in each]
 
-def predict(model: Fitted, df: DataFrame, keep: Sequence[str] = ("match_id",)) -> DataFrame:
+
+def predict(model: Fitted | Linear | Boosted, df: DataFrame, keep: Sequence[str] = ("match_id",)) -> DataFrame:
     """Class probabilities (away, draw, home) and the predicted class."""
     out = model.transform(df)
-    if model.link == "probability":
+    if isinstance(model, (Linear, Boosted)):
+        out = out.select(*keep, "_m0", "_m1", "_m2")
+        p = class_scores([F.col(f"_m{k}") for k in CLASSES], model.link)
+    else:
         raw = vector_to_array("probability")
         p = [raw[k] for k in CLASSES]
-    else:
-        # one-vs-rest scores: logistic of each, divided by their sum
-        raw = vector_to_array("rawPrediction")
-        scale = 2.0 if model.link == "boosted" else 1.0
-        each = [1.0 / (1.0 + F.exp(-scale * raw[k])) for k in CLASSES]
-        p = [e / (each[0] + each[1] + each[2]) for e in each]
     best = F.greatest(*p)
     return out.select(*keep, *[c.alias(n) for c, n in zip(p, P_COLS)],
                       F.when(p[0] == best, 0).when(p[1] == best, 1).otherwise(2).alias("predicted"))
 
 
-def _logistic(c: float, n: int, label: str = LABEL, weight: str | None = None, max_iter: int = 4000, tol: float = 1e-6) -> LogisticRegression:
-    # mean loss + 1/(2 C n) |w|^2 has the minimum of C * total loss + |w|^2 / 2
-    lr = LogisticRegression(family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-                            fitIntercept=True, maxIter=max_iter, tol=tol, labelCol=label)
-    return lr.setWeightCol(weight) if weight else lr
+def lr_spec(name: str, cols: Sequence[str], c: float = 1.0, **kw) -> Fit:
+    """Total log loss times C plus half the squared coefficients; intercepts are free."""
+    return Fit(name, tuple(cols), "softmax", "l2", c, **kw)
 
 
-def fit_lr(train: DataFrame, cols: Sequence[str], c: float = 1.0, **kw) -> Fitted:
+def fit_lr(train: DataFrame, cols: Sequence[str], c: float = 1.0, tol: float = 1e-12, **kw) -> Linear:
     """Multinomial logistic regression, L2, mean-filled, unscaled."""
-    return _fit("lr", train, cols, lambda n: _logistic(c, n, **kw))
+    return _fit_linear("lr", train, [lr_spec("lr", cols, c, **kw)], "softmax", tol)
 
 
-def fit_lr_scaled(train: DataFrame, cols: Sequence[str], c: float = 1.0, **kw) -> Fitted:
-    return _fit("lr_scaled", train, cols, lambda n: _logistic(c, n, **kw), scaled=True)
+def fit_lr_scaled(train: DataFrame, cols: Sequence[str], c: float = 1.0, tol: float = 1e-12, **kw) -> Linear:
+    return _fit_linear("lr_scaled", train, [lr_spec("lr_scaled", cols, c, scaled=True, **kw)], "softmax", tol)
 
 
-def fit_lr_l1(train: DataFrame, cols: Sequence[str], c: float = 1.0, max_iter: int = 200) -> Fitted:
-    """L1 penalty, one model per class against the rest."""
-    def make(n):
-        base = LogisticRegression(family="binomial", regParam=1.0 / (c * n), elasticNetParam=1.0, standardization=False, maxIter=max_iter)
-        return OneVsRest(classifier=base, labelCol=LABEL, rawPredictionCol="rawPrediction")
-    return _fit("lr_l1", train, cols, make, scaled=True, link="logistic")
+def fit_lr_l1(train: DataFrame, cols: Sequence[str], c: float = 1.0, tol: float = 1e-12, label: str = LABEL) -> Linear:
+    """L1 penalty on standardised columns, one model per class against the rest, fitted in shared scans."""
+    fits = [Fit(f"lr_l1_{k}", tuple(cols), "logistic", "l1", c, True, label, k) for k in CLASSES]
+    return _fit_linear("lr_l1", train, fits, "logistic", tol)
 
 
 def class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
@@ -129,11 +236,12 @@ def with_class_weights(train: DataFrame, label: str = LABEL) -> DataFrame:
     return train.join(class_weights(train, label).drop("n_class"), label)
 
 
-def fit_balanced(train: DataFrame, cols: Sequence[str], kind: str = "lr", **kw) -> Fitted:
-    """Logistic regression or forest with balanced class weights."""
-    weighted = with_class_weights(train)
+def fit_balanced(train: DataFrame, cols: Sequence[str], kind: str = "lr", **kw) -> Fitted | Linear:
+    """Logistic regression or forest with balanced class weights (one row per class comes to the driver)."""
+    weights = F.create_map(*[F.lit(v) for row in class_weights(train.where(F.col(LABEL).isNotNull())).collect() for v in (row[LABEL], row["class_weight"])])
+    weighted = train.withColumn("class_weight", weights[F.col(LABEL)])
     if kind == "lr":
-        return _fit("lr_balanced", weighted, cols, lambda n: _logistic(1.0, n, weight="class_weight", **kw))
+        return _fit_linear("lr_balanced", weighted, [lr_spec("lr_balanced", cols, weight="class_weight", **kw)], "softmax")
     return _fit("forest_balanced", weighted, cols, lambda n: _forest(**kw).setWeightCol("class_weight"))
 
 
@@ -145,12 +253,13 @@ def fit_forest(train: DataFrame, cols: Sequence[str], trees: int = 250, depth: i
     return _fit("forest", train, cols, lambda n: _forest(trees, depth, leaf, seed))
 
 
-def fit_boosted(train: DataFrame, cols: Sequence[str], rounds: int = 50, depth: int = 3, rate: float = 0.1, seed: int = 42) -> Fitted:
-    """Boosted trees, one binary booster per class, scores normalised (MLlib boosters are binary)."""
-    def make(n):
-        gbt = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-        return OneVsRest(classifier=gbt, labelCol=LABEL, rawPredictionCol="rawPrediction")
-    return _fit("boosted", train, cols, make, link="boosted")
+def fit_boosted(train: DataFrame, cols: Sequence[str], rounds: int = 250, depth: int = 3, rate: float = 0.1, label: str = LABEL) -> Boosted:
+    """Boosted trees on softmax gradients, one tree per class and round (see `boosting`)."""
+    start = time.perf_counter()
+    model = boosting.fit(train, cols, rounds, depth, rate, label)
+    model.log = {"model": model.name, "n_features": len(model.cols), "n_train": model.n_train, "fit_seconds": time.perf_counter() - start,
+                 "n_parameters": sum(len(t.value) + 2 * len(t.column) for r in model.rounds for t in r)}
+    return model
 
 
 def fit_mlp(train: DataFrame, cols: Sequence[str], layers: Sequence[int] = (64, 128, 128, 128), max_iter: int = 100, seed: int = 42) -> Fitted:
@@ -246,17 +355,15 @@ def two_tier(preds_rich: DataFrame, preds_fallback: DataFrame, keys: Sequence[st
 
 # ---------------------------------------------------------------- goal models
 
-def fit_poisson_glm(train: DataFrame, cols: Sequence[str], home: str = "home_goals", away: str = "away_goals", max_iter: int = 50) -> tuple[Fitted, Fitted]:
-    """Two log-link Poisson regressions on standardised columns."""
-    def make(label):
-        return lambda n: GeneralizedLinearRegression(family="poisson", link="log", regParam=0.0, maxIter=max_iter, labelCol=label,
-                                                     predictionCol="rate")
-    return tuple(_fit(f"poisson_{label}", train, cols, make(label), scaled=True, label=label) for label in (home, away))
+def fit_poisson_glm(train: DataFrame, cols: Sequence[str], home: str = "home_goals", away: str = "away_goals") -> tuple[Linear, Linear]:
+    """Two log-link Poisson regressions without a penalty, fitted in shared scans."""
+    start = time.perf_counter()
+    found = fit_many(train, [Fit(f"poisson_{label}", tuple(cols), "poisson", "none", label=label) for label in (home, away)])
+    return tuple(_linear(s.fit.name, "poisson", [s], time.perf_counter() - start) for s in found)
 
 
-def predict_rates(models: tuple[Fitted, Fitted], df: DataFrame, keep: Sequence[str] = ("match_id",)) -> DataFrame:
-    first = models[0].transform(df).withColumnRenamed("rate", "lambda_home").select(*df.columns, "lambda_home")
-    return models[1].transform(first).select(*keep, "lambda_home", F.col("rate").alias("lambda_away"))
+def predict_rates(models: tuple[Linear, Linear], df: DataFrame, keep: Sequence[str] = ("match_id",)) -> DataFrame:
+    return df.select(*keep, *[F.exp(m.margins()[0]).alias(n) for m, n in zip(models, ("lambda_home", "lambda_away"))])
 
 
 def fit_attack_defence(matches: DataFrame, smoothing: float = 0.05) -> DataFrame:
@@ -297,16 +404,24 @@ REGISTRY: dict[str, Callable[[DataFrame, Sequence[str]], Fitted]] = {
 }
 
 
-def save_model(model: Fitted, path: str) -> None:
-    """Pipeline plus one metadata row (columns, class order, link)."""
-    spark = _session()
-    model.pipeline.write().save(f"{path}/pipeline")
-    meta = json.dumps({"name": model.name, "cols": model.cols, "n_train": model.n_train, "link": model.link, "classes": list(P_COLS)})
-    spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.text(f"{path}/meta")
+def save_model(model: Fitted | Linear | Boosted, path: str) -> None:
+    """One metadata row (columns, class order, link; a linear model's coefficients) and the pipeline of other models."""
+    meta = {"name": model.name, "cols": model.cols, "n_train": model.n_train, "link": model.link, "classes": list(P_COLS)}
+    if isinstance(model, Linear):
+        meta |= {k: getattr(model, k) for k in LINEAR_PARTS}
+    elif isinstance(model, Boosted):
+        meta |= {"boosted": model.state()}
+    else:
+        model.pipeline.write().save(f"{path}/pipeline")
+    _session().createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(f"{path}/meta")
 
 
-def load_model(path: str) -> Fitted:
+def load_model(path: str) -> Fitted | Linear | Boosted:
     meta = json.loads(_session().read.text(f"{path}/meta").first()[0])
+    if "coef" in meta:
+        return Linear(meta["name"], meta["cols"], meta["n_train"], meta["link"], **{k: meta[k] for k in LINEAR_PARTS})
+    if "boosted" in meta:
+        return boosting.from_state(meta["name"], meta["cols"], meta["n_train"], meta["boosted"])
     return Fitted(meta["name"], PipelineModel.load(f"{path}/pipeline"), meta["cols"], meta["n_train"], meta["link"])
 
 
@@ -331,9 +446,10 @@ def run_model_suite(df: DataFrame, cols: Sequence[str], folds: Sequence[int], re
         for name, build in registry.items():
             try:
                 model = build(train, cols)
+                start = time.perf_counter()
                 part = predict(model, test, keep).withColumn("model", F.lit(name)).withColumn("fold", F.lit(fold))
                 parts.append(materialize(part))
-                log.append({"fold": fold, **model.log, "model": name})
+                log.append({"fold": fold, **model.log, "predict_seconds": time.perf_counter() - start, "model_bytes": model_bytes(model), "model": name})
             except Exception as err:  # noqa: BLE001 - recorded per fold
                 log.append({"fold": fold, "model": name, "error": str(err).splitlines()[0][:500]})
     if not parts:
@@ -344,6 +460,23 @@ def run_model_suite(df: DataFrame, cols: Sequence[str], folds: Sequence[int], re
     return out, log
 
 
+def model_bytes(model: Fitted | Linear | Boosted) -> int:
+    """Size of the model's numbers in bytes (a pipeline's: of its trees or weights)."""
+    if isinstance(model, Linear):
+        return 8 * (sum(map(len, model.coef)) + len(model.intercept) + len(model.means))
+    if isinstance(model, Boosted):
+        return 8 * (model.log.get("n_parameters", 0) + sum(map(len, model.edges)) + len(model.means))
+    last = model.pipeline.stages[-1]
+    return 8 * (last.weights.size if hasattr(last, "weights") else 3 * last.totalNumNodes)
+
+
+def suite_log(spark: SparkSession, log: Sequence[dict]) -> DataFrame:
+    """The fit log of a suite as a table: one row per successful fit."""
+    rows = [(e["model"], int(e["fold"]), float(e["fit_seconds"]), float(e["predict_seconds"]), int(e["n_features"]), int(e["n_parameters"]), int(e["model_bytes"]), int(e["n_train"]))
+            for e in log if "error" not in e]
+    return spark.createDataFrame(rows, "model string, fold int, fit_seconds double, predict_seconds double, n_features int, n_parameters long, model_bytes long, n_train long")
+
+
 def suite_failures(spark: SparkSession, log: Sequence[dict]) -> DataFrame:
     """Fits of a suite's log that failed: one row per fold and model (model '*': the whole fold) with the error."""
     rows = [(entry["model"], int(entry["fold"]), entry["error"]) for entry in log if "error" in entry]

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import single_row
@@ -18,7 +18,8 @@ from ..plans.blocks import cell_rank
 from ..plans.session import materialize
 from .folds import check_fold
 from .metrics import classification_metrics, row_brier, row_log_loss
-from .models import Fitted, fit_lr, predict
+from .models import Fitted, Linear, lr_spec, predict
+from .newton import fit_many
 
 HASH_CELL = 1 << 20
 
@@ -36,7 +37,7 @@ def family(col: str) -> str:
     return "goals_strength"
 
 
-def shuffle_within(df: DataFrame, cols: Sequence[str], block: Sequence[str] = ("division",), seed: int = 42, id_col: str = "match_id",
+def shuffle_within(df: DataFrame, cols: Sequence[str], block: Sequence[str] = ("division",), seed: int | Column = 42, id_col: str = "match_id",
                    suffix: str = "_shuffled") -> DataFrame:
     """Permute `cols` jointly inside each block (block=() permutes over all rows).
 
@@ -44,9 +45,10 @@ def shuffle_within(df: DataFrame, cols: Sequence[str], block: Sequence[str] = ("
     from hash cells, so a block of any size is spread over many tasks.
     """
     block = list(block)
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
 
     def numbered(data, salt):
-        h = hash32(F.lit(seed), F.lit(salt), id_col)
+        h = hash32(seed, F.lit(salt), id_col)
         return cell_rank(data, block, F.floor(h / HASH_CELL), [h, F.col(id_col)], "_k")
 
     target = numbered(df, "to")
@@ -93,17 +95,90 @@ def _importance(model: Fitted, df: DataFrame, groups: Mapping[str, Sequence[int]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    out = long.groupBy("feature").agg(F.avg("d_loss").alias("permutation_logloss_mean"), F.stddev_samp("d_loss").alias("permutation_logloss_std"),
-                                      F.avg("d_acc").alias("permutation_accuracy_mean"), F.stddev_samp("d_acc").alias("permutation_accuracy_std"))
+    return _ranked(long)
+
+
+def _linear_sums(coef: np.ndarray, intercept: np.ndarray, groups: list[tuple[str, list[int]]]):
+    """Rise of loss and fall of hits per repeat and group, added up over a task's rows (rep, y, x,
+    moved), where `moved` holds the permuted columns of the groups: margins stay, only the changed
+    terms are replaced."""
+    own = sorted({i for _, idx in groups for i in idx})
+    at = {i: k for k, i in enumerate(own)}
+    single = all(len(idx) == 1 for _, idx in groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, str], np.ndarray] = {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            rep, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(int) for i in (0, 1))
+            x, moved = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for i in (2, 3))
+            base = x @ coef.T + intercept
+            change = moved - x[:, own]
+            rows, reps = np.arange(n), [(int(r), rep == r) for r in np.unique(rep)]
+
+            def scored(z):
+                e = np.exp(z - z.max(-1, keepdims=True))
+                p = e / e.sum(-1, keepdims=True)
+                return -np.log(np.maximum(p[rows, ..., y], 1e-15)), p.argmax(-1)
+            loss0, guess0 = scored(base)
+            for first in range(0, len(groups), 16):
+                part = groups[first:first + 16]
+                if single:
+                    z = base[:, None, :] + change[:, [at[idx[0]] for _, idx in part], None] * coef[:, [idx[0] for _, idx in part]].T
+                else:
+                    z = np.stack([base + change[:, [at[i] for i in idx]] @ coef[:, idx].T for _, idx in part], 1)
+                loss, guess = scored(z)
+                rise = loss - loss0[:, None]
+                fall = (guess0 == y).astype(float)[:, None] - (guess == y[:, None])
+                for r, mine in reps:
+                    for g, (name, _) in enumerate(part):
+                        total[r, name] = total.get((r, name), np.zeros(3)) + [mine.sum(), rise[mine, g].sum(), fall[mine, g].sum()]
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.string()),
+                                              *[pa.array([float(v[i]) for v in total.values()]) for i in range(3)]], names=["rep", "feature", "n", "rise", "fall"])
+    return run
+
+
+def _linear_importance(model: Linear, df: DataFrame, groups: Mapping[str, Sequence[int]], repeats: int, block: Sequence[str], seed: int,
+                       global_groups: Sequence[str], y: str) -> DataFrame:
+    """Rows meet their permuted partner once per repeat and are scored for all groups in place."""
+    keys = ["match_id", *block, y]
+    rows = materialize(df.select(*keys, F.array(*model.filled()).alias("x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
+    coef, intercept = np.array(model.coef), np.array(model.intercept)
+    sums = []
+    for part, blocks in (({k: v for k, v in groups.items() if k not in global_groups}, list(block)), ({k: v for k, v in groups.items() if k in global_groups}, [])):
+        if not part:
+            continue
+        own = sorted({i for idx in part.values() for i in idx})
+        moved = rows.withColumn("v", F.array(*[F.col("x")[i] for i in own]) if len(own) < len(model.cols) else F.col("x"))
+        both = shuffle_within(moved, ["v"], ["rep", *blocks], F.lit(seed) + F.col("rep"))
+        run = _linear_sums(coef, intercept, [(k, list(v)) for k, v in part.items()])
+        sums.append(both.select("rep", y, "x", "v_shuffled").mapInArrow(run, "rep int, feature string, n double, rise double, fall double"))
+    long = sums[0]
+    for other in sums[1:]:
+        long = long.unionByName(other)
+    per = long.groupBy("rep", "feature").agg((F.sum("rise") / F.sum("n")).alias("d_loss"), (F.sum("fall") / F.sum("n")).alias("d_acc"))
+    return _ranked(per)
+
+
+def _ranked(deltas: DataFrame) -> DataFrame:
+    out = deltas.groupBy("feature").agg(F.avg("d_loss").alias("permutation_logloss_mean"), F.stddev_samp("d_loss").alias("permutation_logloss_std"),
+                                        F.avg("d_acc").alias("permutation_accuracy_mean"), F.stddev_samp("d_acc").alias("permutation_accuracy_std"))
     # one row per feature
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("permutation_logloss_mean").desc(), "feature")))
 
 
-def permutation_importance(model: Fitted, df: DataFrame, repeats: int = 5, block: Sequence[str] = ("division",), seed: int = 42,
+def permutation_importance(model: Fitted | Linear, df: DataFrame, repeats: int = 5, block: Sequence[str] = ("division",), seed: int = 42,
                            y: str = "y") -> DataFrame:
     """Rise in log loss and fall in accuracy when one column is permuted; the league column is permuted globally."""
     groups = {c: [i] for i, c in enumerate(model.cols)}
-    return _importance(model, df, groups, repeats, block, seed, ["league_level"], y).withColumn("family", _family_column())
+    return _any_importance(model, df, groups, repeats, block, seed, ["league_level"], y).withColumn("family", _family_column())
+
+
+def _any_importance(model: Fitted | Linear, *args) -> DataFrame:
+    return (_linear_importance if isinstance(model, Linear) else _importance)(model, *args)
 
 
 def _family_column():
@@ -113,24 +188,22 @@ def _family_column():
             .when(F.col("feature").rlike("team_state|win_rate|draw_rate|loss_rate"), "form").otherwise("goals_strength"))
 
 
-def group_importance(model: Fitted, df: DataFrame, families: Mapping[str, Sequence[str]], repeats: int = 5,
+def group_importance(model: Fitted | Linear, df: DataFrame, families: Mapping[str, Sequence[str]], repeats: int = 5,
                      block: Sequence[str] = ("division",), seed: int = 42, y: str = "y") -> DataFrame:
     """The same for whole families of columns, permuted together."""
     where = {c: i for i, c in enumerate(model.cols)}
     groups = {name: [where[c] for c in cols] for name, cols in families.items()}
     wide = [name for name, cols in families.items() if list(cols) == ["league_level"]]
     sizes = F.create_map(*[F.lit(x) for k, v in groups.items() for x in (k, len(v))])
-    return (_importance(model, df, groups, repeats, block, seed, wide, y).withColumn("n_features", sizes[F.col("feature")])
+    return (_any_importance(model, df, groups, repeats, block, seed, wide, y).withColumn("n_features", sizes[F.col("feature")])
             .withColumnRenamed("feature", "family"))
 
 
-def coef_table(model: Fitted, train: DataFrame) -> DataFrame:
-    """Coefficients minus their class mean, per training deviation of the model's input, and the mean absolute value."""
-    lr = model.pipeline.stages[-1]
-    coef = lr.coefficientMatrix.toArray()
+def coef_table(model: Linear, train: DataFrame) -> DataFrame:
+    """Coefficients minus their class mean, per training deviation of the filled column, and the mean absolute value."""
+    coef = np.array(model.coef)
     coef = coef - coef.mean(axis=0, keepdims=True)
-    filled = model.pipeline.stages[0].transform(train)
-    sds = filled.agg(*[F.stddev_pop(f"_x{i}").alias(str(i)) for i in range(len(model.cols))]).first()
+    sds = train.agg(*[F.stddev_pop(x).alias(str(i)) for i, x in enumerate(model.filled())]).first()
     rows = []
     for i, c in enumerate(model.cols):
         per = [float(coef[k, i] * sds[i]) for k in range(3)]
@@ -185,38 +258,115 @@ def _pooled(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     return classification_metrics(preds, by, per_class=True).select(*by, "n_matches", "accuracy", "macro_f1", F.col("f1_1").alias("draw_f1")).join(probs, list(by))
 
 
+def candidate_sets(cols: Sequence[str], ranked: Sequence[str], positive: Sequence[str], correlated: Sequence[tuple[str, str]] = (),
+                   tops: Sequence[int] = (8, 16, 24, 32, 48, 60), drops: Sequence[int] = (5, 10, 20), windows: Sequence[int] = (5, 10)) -> dict[str, list[str]]:
+    """Named column sets: all, every combination of families, the best and all but the worst by
+    importance, those with a rise in loss, one window only, and one of each correlated pair.
+    A set that several names stand for is listed once, under the first."""
+    cols = list(cols)
+    families = sorted({family(c) for c in cols})
+    sets: dict[str, list[str]] = {f"all_{len(cols)}": cols}
+    for size in range(1, len(families)):
+        for some in combinations(families, size):
+            sets["groups__" + "__".join(some)] = [c for c in cols if family(c) in some]
+    for k in tops:
+        sets[f"top_{k}"] = [c for c in cols if c in set(ranked[:k])]
+    for k in drops:
+        sets[f"drop_bottom_{k}"] = [c for c in cols if c in set(ranked[:-k])]
+    sets["positive_permutation"] = [c for c in cols if c in set(positive)]
+    for w in windows:
+        sets[f"window_{w}_only"] = [c for c in cols if c.endswith(f"_{w}") or family(c) in ("h2h", "league")]
+    twins: dict[str, set[str]] = {}
+    for a, b in correlated:
+        twins.setdefault(a, set()).add(b)
+        twins.setdefault(b, set()).add(a)
+    kept: list[str] = []
+    for c in ranked:
+        if not twins.get(c, set()) & set(kept):
+            kept.append(c)
+    sets["correlation_pruned"] = [c for c in cols if c in set(kept)]
+    unique: dict[tuple, str] = {}
+    for name, members in sets.items():
+        if members:
+            unique.setdefault(tuple(members), name)
+    return {name: list(members) for members, name in unique.items()}
+
+
+def _score_models(df: DataFrame, models: Sequence[tuple[tuple, Linear]], season: str, y: str) -> DataFrame:
+    """One row per (config, c, n_features, fold, y, predicted) with counts and summed losses: a scan
+    in which each row is scored by the models of its season, none of them by an expression."""
+    cols = list(dict.fromkeys(c for _, m in models for c in m.cols))
+    where = {c: i for i, c in enumerate(cols)}
+    ready = [(key, np.array([where[c] for c in m.cols]), np.array(m.means), np.array(m.coef), np.array(m.intercept)) for key, m in models]
+    names = ["config", "c", "n_features", "fold", "y", "predicted", "n", "log_loss", "brier"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            values = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            if not batch.num_rows:
+                continue
+            when, label, raw = values[0], values[1].astype(int), np.column_stack(values[2:])
+            for fold in np.unique(when):
+                mine = when == fold
+                y_, x_ = label[mine], raw[mine]
+                rows = np.arange(len(y_))
+                for key, index, means, coef, intercept in ready:
+                    if key[3] != fold:
+                        continue
+                    x = x_[:, index]
+                    z = np.where(np.isnan(x), means, x) @ coef.T + intercept
+                    e = np.exp(z - z.max(1, keepdims=True))
+                    p = e / e.sum(1, keepdims=True)
+                    guess = p.argmax(1)
+                    loss = -np.log(np.maximum(p[rows, y_], 1e-15))
+                    gap = ((np.eye(3)[y_] - p) ** 2).mean(1)
+                    cell = 3 * y_ + guess
+                    for v in np.unique(cell):
+                        at = cell == v
+                        k = (*key, int(v) // 3, int(v) % 3)
+                        total[k] = total.get(k, np.zeros(3)) + [at.sum(), loss[at].sum(), gap[at].sum()]
+        if total:
+            kinds = [pa.string(), pa.float64(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[i] for k in total], t) for i, t in enumerate(kinds)],
+                                              *[pa.array([float(v[i]) for v in total.values()]) for i in range(3)]], names=names)
+    table = df.where(F.col(season).isin(sorted({key[3] for key, _ in models})) & F.col(y).isNotNull())
+    rows = table.select(F.col(season).cast("double").alias("_season"), F.col(y).cast("double").alias("_y"), *[F.col(f"`{c}`").cast("double") for c in cols])
+    cells = rows.mapInArrow(run, "config string, c double, n_features int, fold int, y int, predicted int, n double, log_loss double, brier double")
+    return cells.groupBy(*names[:6]).agg(*[F.sum(v).alias(v) for v in names[6:]])
+
+
+def _cell_metrics(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The columns of _pooled() from counted cells of (y, predicted)."""
+    def n(where):
+        return F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0.0))
+    t, p = F.col("y"), F.col("predicted")
+    f1 = {}
+    for k in range(3):
+        both = n(t == k) + n(p == k)
+        f1[k] = F.coalesce(2.0 * n((t == k) & (p == k)) / F.nullif(both, F.lit(0.0)), F.lit(0.0))
+    every = F.sum("n")
+    return cells.groupBy(*by).agg(every.cast("long").alias("n_matches"), (n(t == p) / every).alias("accuracy"), ((f1[0] + f1[1] + f1[2]) / 3.0).alias("macro_f1"),
+                                  f1[1].alias("draw_f1"), (F.sum("log_loss") / every).alias("log_loss"), (F.sum("brier") / every).alias("brier"))
+
+
 def validate_grid(df: DataFrame, candidates: Mapping[str, Sequence[str]], folds: Sequence[int], cs: Sequence[float] = (1.0,),
-                  fit: Callable = fit_lr, model_name: str = "lr", season: str = "season", threads: int = 4,
-                  keep: Sequence[str] = ("match_id", "season", "y")) -> DataFrame:
+                  scaled: bool = False, model_name: str = "lr", season: str = "season", y: str = "y") -> DataFrame:
     """Every (candidate, C) fitted on every fold; pooled metrics and the worst season of each.
 
-    The fits are independent Spark jobs started from a few driver threads; `df`
-    should be materialised once before.
+    All fits share the scans of one second-order fit, and one more scan scores them all. `df`
+    should be a written table with the columns of every candidate.
     """
-    data = {}
     for f in folds:
-        train, test = df.where(F.col(season) < f), df.where(F.col(season) == f)
-        check_fold(train, test, season)
-        data[f] = (train, test)
-
-    def one(job):
-        name, c, fold = job
-        train, test = data[fold]
-        model = fit(train, candidates[name], c)
-        part = predict(model, test, keep)
-        return materialize(part.select("*", F.lit(name).alias("config"), F.lit(float(c)).alias("c"),
-                                       F.lit(len(candidates[name])).alias("n_features"), F.lit(fold).alias("fold")))
-
-    jobs = [(name, c, f) for name in candidates for c in cs for f in folds]
-    with ThreadPoolExecutor(threads) as pool:
-        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(one), jobs))
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
+        check_fold(df.where(F.col(season) < f), df.where(F.col(season) == f), season)
+    jobs = [(name, float(c), len(candidates[name]), int(f)) for name in candidates for c in cs for f in folds]
+    found = fit_many(df, [lr_spec(name, candidates[name], c, scaled=scaled, until=f, label=y) for name, c, _, f in jobs], season)
+    models = [(job, Linear(job[0], list(s.fit.cols), s.n, "softmax", s.means.tolist(), s.coef.tolist(), s.intercept.tolist())) for job, s in zip(jobs, found)]
+    cells = materialize(_score_models(df, models, season, y))  # nine rows per model
     by = ["config", "c", "n_features"]
-    per_fold = _pooled(preds, [*by, "fold"])
+    per_fold = _cell_metrics(cells, [*by, "fold"])
     worst = per_fold.groupBy(*by).agg(F.min("accuracy").alias("min_season_accuracy"), F.max("log_loss").alias("max_season_log_loss"))
-    return _pooled(preds, by).join(worst, by).withColumn("model", F.lit(model_name))
+    return _cell_metrics(cells, by).join(worst, by).withColumn("model", F.lit(model_name))
 
 
 def pick_winner(grid: DataFrame, objective: str = "logloss") -> DataFrame:
@@ -247,17 +397,12 @@ def retention_table(features: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def feature_set_comparison(df: DataFrame, sets: Mapping[str, Sequence[str]], fold: int, market: Sequence[str] | None = None,
-                           season: str = "season", keep: Sequence[str] = ("match_id", "season", "y"), fit: Callable = fit_lr) -> DataFrame:
+                           season: str = "season", y: str = "y") -> DataFrame:
     """Metrics of several column sets, and of market probabilities, on one test season."""
-    train, test = df.where(F.col(season) < fold), df.where(F.col(season) == fold)
-    check_fold(train, test, season)
-    parts = [materialize(predict(fit(train, cols), test, keep).withColumn("feature_set", F.lit(name))) for name, cols in sets.items()]
-    if market:
-        best = F.greatest(*market)
-        parts.append(test.select(*keep, *[F.col(m).alias(p) for m, p in zip(market, ("p_away", "p_draw", "p_home"))],
-                                 F.when(F.col(market[0]) == best, 0).when(F.col(market[1]) == best, 1).otherwise(2).alias("predicted"),
-                                 F.lit("market").alias("feature_set")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _pooled(out, ["feature_set"])
+    out = validate_grid(df, sets, [fold], season=season, y=y).select(F.col("config").alias("feature_set"), "n_matches", "accuracy", "macro_f1", "draw_f1", "log_loss", "brier")
+    if not market:
+        return out
+    best = F.greatest(*market)
+    test = df.where(F.col(season) == fold).select(F.lit("market").alias("feature_set"), y, *[F.col(m).alias(p) for m, p in zip(market, ("p_away", "p_draw", "p_home"))],
+                                                  F.when(F.col(market[0]) == best, 0).when(F.col(market[1]) == best, 1).otherwise(2).alias("predicted"))
+    return out.unionByName(_pooled(test, ["feature_set"]))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,19 +53,34 @@ NUMERIC_COLUMNS = (
 def read_match_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Season files with known headers renamed and all others dropped, as text.
 
-    Files may differ in their columns and the order of these: the header line of each
-    file is read first, files are read by layout, and layouts are combined by name. A
-    column that a layout lacks is null.
+    Files may differ in their columns and the order of these: one job takes the first line of
+    every file, files are read by layout, and layouts are combined by name. A column that a
+    layout lacks is null; of two columns with one header the first counts. Files without a line
+    give no rows.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.text(paths if isinstance(paths, str) else list(paths)).inputFiles()):
-        layouts.setdefault(tuple(spark.read.csv(file, header=True).columns), []).append(file)
-    return union_seasons([_read_layout(spark, files) for files in layouts.values()])
+    found = _layouts(spark, paths)
+    if not found:
+        return spark.createDataFrame([], "source_file string")
+    return union_seasons([_read_layout(spark, header, files) for header, files in sorted(found.items())])
+
+
+def _layouts(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
+    """Files by header line (the list of files comes to the driver, as a file listing does)."""
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    # rows of a block come in order, so the lowest row number of the first block is the first line
+    heads = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "row").alias("header"))
+    out: dict[str, list[str]] = {}
+    for row in sorted(heads.collect()):
+        out.setdefault(row.header.removeprefix("\ufeff").rstrip("\r"), []).append(unquote(row.file_path))
+    return out
 
 
-def _read_layout(spark: SparkSession, files: list[str]) -> DataFrame:
-    raw = spark.read.csv(files, header=True, enforceSchema=False)
-    kept = [F.col(f"`{c}`").alias(HEADER_NAMES[c]) for c in raw.columns if c in HEADER_NAMES]
+def _read_layout(spark: SparkSession, header: str, files: list[str]) -> DataFrame:
+    names = [c.strip() for c in next(csv.reader([header]))]
+    known = [c if c in HEADER_NAMES and names.index(c) == i else None for i, c in enumerate(names)]
+    schema = T.StructType([T.StructField(c or f"_c{i}", T.StringType()) for i, c in enumerate(known)])
+    raw = spark.read.schema(schema).csv(files, header=True)
+    kept = [F.col(f"`{c}`").alias(HEADER_NAMES[c]) for c in known if c]
     return raw.select(*kept, F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"))
 
 

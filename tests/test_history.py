@@ -170,3 +170,16 @@ def test_fold_guard_raises_on_overlap(small):
     with pytest.raises(ValueError):
         E.check_fold(small, small.where("season = 2020"))
     E.check_fold(small.where("season < 2020"), small.where("season = 2020"))
+
+
+def test_season_ratings_without_goals(spark):
+    """A season without away goals keeps its attack; one without home goals has ones only."""
+    import datetime
+    day = datetime.date(2001, 9, 1)
+    rows = [(1, 2001, "A", "B", 2, 0), (2, 2001, "B", "A", 1, 0), (3, 2002, "A", "B", 0, 3), (4, 2003, "A", "B", 1, 1)]
+    df = spark.createDataFrame([(i, day, s, "E0", h, a, hg, ag) for i, s, h, a, hg, ag in rows],
+                               "match_id long, match_date date, season int, division string, home_team string, away_team string, home_goals int, away_goals int")
+    for c in ("home_shots", "away_shots", "home_sot", "away_sot"):
+        df = df.selectExpr("*", f"CAST(NULL AS DOUBLE) AS {c}")
+    got = {(r.season, r.team): (r.attack, r.defence) for r in H.season_ratings(df).collect()}
+    assert got == {(2001, "A"): (2 / 3, 1.0), (2001, "B"): (1 / 3, 1.0), (2002, "A"): (1.0, 1.0), (2002, "B"): (1.0, 1.0), (2003, "A"): (1.0, 1.0), (2003, "B"): (1.0, 1.0)}

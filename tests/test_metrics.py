@@ -118,6 +118,23 @@ def test_iid_bootstrap_interval(spark):
     assert r.ci_lower == pytest.approx(x.mean() - 1.96 * se, abs=0.6 * se) and r.ci_upper == pytest.approx(x.mean() + 1.96 * se, abs=0.6 * se)
 
 
+def test_bags_of_rows_give_the_interval_of_the_rows(spark):
+    """On a table of ten rows per bag, with heavy tails and nulls, the interval from bags has the
+    place and width of the exact one; below the number of bags both are row bootstraps."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_t(3, 5000) + 0.05
+    df = spark.createDataFrame([(i, float(v) if i % 50 else None) for i, v in enumerate(x)], "match_id long, diff double")
+    exact = I.iid_bootstrap_brier(df, reps=400, buckets=None).first()
+    bags = I.iid_bootstrap_brier(df, reps=4000, buckets=500).first()
+    width = exact.ci_upper - exact.ci_lower
+    assert bags.ci_upper - bags.ci_lower == pytest.approx(width, rel=0.15)
+    assert bags.mean_diff == pytest.approx(exact.mean_diff, abs=0.05 * width)
+    assert bags.ci_lower == pytest.approx(exact.ci_lower, abs=0.12 * width)
+    assert bags.pct_below_zero == pytest.approx(exact.pct_below_zero, abs=5)
+    again = I.iid_bootstrap_brier(df.repartition(9), reps=4000, buckets=500).first()
+    assert tuple(again) == pytest.approx(tuple(bags), abs=1e-12)
+
+
 def test_scopes_and_audit(spark, table):
     _, df = table
     preds = df.select("*", F.lit("m").alias("model"), F.lit(2020).alias("season"), F.when(F.col("match_id") % 2 == 0, "E0").otherwise("E1").alias("division"),

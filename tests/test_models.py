@@ -38,22 +38,22 @@ def test_logistic_regression_is_at_the_optimum(data):
     model = FM.fit_lr(data, COLS)
     pdf = data.orderBy("match_id").toPandas()
     x = np.column_stack([pdf.a, pdf.b.fillna(pdf.b.mean()), np.zeros(len(pdf))])
-    lr = model.pipeline.stages[-1]
-    w, b = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
+    w, b = np.array(model.coef), np.array(model.intercept)
     p = softmax(x @ w.T + b)
     err = p - np.eye(3)[pdf.y]
     grad = err.T @ x + w
-    assert np.abs(grad / np.maximum(1, np.abs(x).sum(axis=0))).max() < 2e-3
-    assert np.abs(err.sum(axis=0)).max() < 0.2
+    assert np.abs(grad).max() < 1e-6
+    assert np.abs(err.sum(axis=0)).max() < 1e-6
     got = FM.predict(model, data).orderBy("match_id").toPandas()
     np.testing.assert_allclose(got[["p_away", "p_draw", "p_home"]], p, atol=1e-9)
 
 
 def test_reloaded_model_predicts_the_same(spark, data, tmp_path):
-    model = FM.fit_lr_scaled(data, COLS)
-    FM.save_model(model, str(tmp_path / "m"))
-    a, b = (FM.predict(x, data).orderBy("match_id").toPandas() for x in (model, FM.load_model(str(tmp_path / "m"))))
-    np.testing.assert_array_equal(a.p_home, b.p_home)
+    for k, model in enumerate((FM.fit_lr_scaled(data, COLS), FM.fit_boosted(data, ["a", "b"], rounds=2), FM.fit_forest(data, ["a", "b"], trees=3))):
+        FM.save_model(model, str(tmp_path / str(k)))
+        a, b = (FM.predict(x, data).orderBy("match_id").toPandas() for x in (model, FM.load_model(str(tmp_path / str(k)))))
+        np.testing.assert_array_equal(a.p_home, b.p_home)
+        assert model.log["n_parameters"] > 0 and FM.model_bytes(model) > 0
 
 
 def test_one_vs_rest_models_give_probabilities(data):
@@ -63,6 +63,98 @@ def test_one_vs_rest_models_give_probabilities(data):
         assert (p > 0).all()
 
 
+def test_all_linear_fits_are_at_their_optimum(data):
+    """Optimality conditions by the library and, for L1, zero coefficients among them."""
+    goals = data.withColumn("g", F.when(F.col("match_id") % 7 == 0, None).otherwise(F.col("match_id") % 4))
+    l1 = FM.fit_lr_l1(data, COLS, c=0.02)
+    assert any(w == 0 for row in l1.coef for w in row[:2]) and any(w != 0 for row in l1.coef for w in row)
+    poisson = FM.fit_poisson_glm(goals.withColumn("h", F.col("y") + 1), ["a", "b"], "g", "h")
+    weights = FM.class_weights(data).drop("n_class")
+    cases = [(FM.fit_lr(data, COLS), data, {}), (FM.fit_lr_scaled(data, COLS, c=3.0), data, {}), (l1, data, {}),
+             (FM.fit_balanced(data, COLS), data.join(weights, "y"), {"weight": "class_weight"}), (poisson[0], goals, {"label": "g"})]
+    for model, rows, kw in cases:
+        got = FM.stationarity(model, rows, **kw).collect()
+        assert len(got) == len(model.coef) * (len(model.cols) + 1) and max(r.residual for r in got) < 1e-7
+        assert model.log["converged"]
+    worse = FM.Linear(**{**vars(cases[0][0]), "coef": [[w + 0.1 for w in row] for row in cases[0][0].coef], "intercept": [0.5, 0.0, 0.0]})
+    assert max(r.residual for r in FM.stationarity(worse, data).collect()) > 1e-3
+
+
+def test_poisson_fit_against_iteratively_reweighted_least_squares(data):
+    pdf = data.orderBy("match_id").toPandas()
+    x = np.column_stack([pdf.a, pdf.b.fillna(pdf.b.mean()) / 50, np.ones(len(pdf))])
+    beta = np.zeros(3)
+    for _ in range(50):
+        mu = np.exp(x @ beta)
+        beta += np.linalg.solve((x * mu[:, None]).T @ x, x.T @ (pdf.y - mu))
+    got = FM.predict_rates(FM.fit_poisson_glm(data, ["a", "b"], "y", "y"), data).orderBy("match_id").toPandas()
+    np.testing.assert_allclose(got.lambda_home, np.exp(x @ beta), rtol=1e-8)
+
+
+def test_many_fits_equal_single_fits_and_share_scans(data, monkeypatch):
+    """Different columns, C and training seasons in shared passes give what each fit alone gives."""
+    from pyspark.sql import DataFrame
+
+    from matchframe.operators import newton as N
+    fits = [FM.lr_spec(f"{c}-{cols}-{until}", cols, c, until=until) for c in (0.1, 10.0) for cols in (["a"], ["a", "b"], COLS) for until in (2020, 2021)]
+    scans = []
+    monkeypatch.setattr(N, "SLOTS", 1)  # the two-level sum
+    original = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: scans.append(1) or original(self))
+    both = N.fit_many(data.repartition(7), fits)
+    assert len(scans) <= 12
+    for f, s in zip(fits, both):
+        alone = N.fit_many(data, [f])[0]
+        np.testing.assert_allclose(s.coef, alone.coef, atol=1e-6)
+        np.testing.assert_allclose(s.intercept, alone.intercept, atol=1e-6)
+        assert s.n == (200 if f.until == 2020 else 300)
+
+
+def plain_boosting(x, y, edges, prior, rounds, depth, rate):
+    """A plain booster: recursive trees on the same bins."""
+    from matchframe.operators import boosting as B
+    bins = B.binned(x, edges).astype(int)
+    f = np.tile(prior, (len(y), 1))
+
+    def grow(rows, level, g, h):
+        best = None
+        if level < depth:
+            for c in range(x.shape[1]):
+                for cut in range(B.BINS - 1):
+                    left = rows[bins[rows, c] <= cut]
+                    right = rows[bins[rows, c] > cut]
+                    if h[left].sum() < B.LEAST_CURVATURE or h[right].sum() < B.LEAST_CURVATURE:
+                        continue
+                    gain = sum(g[r].sum() ** 2 / (h[r].sum() + B.RIDGE) for r in (left, right)) - g[rows].sum() ** 2 / (h[rows].sum() + B.RIDGE)
+                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                        best = (gain, left, right)
+        if best is None:
+            return [(rows, -g[rows].sum() / (h[rows].sum() + B.RIDGE))]
+        return grow(best[1], level + 1, g, h) + grow(best[2], level + 1, g, h)
+    for _ in range(rounds):
+        g, h = B.gradients(f, y)
+        step = np.zeros_like(f)
+        for k in range(3):
+            for rows, value in grow(np.arange(len(y)), 0, g[:, k], h[:, k]):
+                step[rows, k] = value
+        f = f + rate * step
+    return f
+
+
+def test_boosting_against_a_plain_booster(data, monkeypatch):
+    from matchframe.operators import boosting as B
+    monkeypatch.setattr(B, "REFRESH", 2)
+    monkeypatch.setattr(B, "SLOTS", 1)
+    model = FM.fit_boosted(data.repartition(5), ["a", "b"], rounds=5, depth=3)
+    pdf = data.orderBy("match_id").toPandas()
+    x = np.column_stack([pdf.a, pdf.b.fillna(pdf.b.mean())])
+    want = plain_boosting(x, pdf.y.to_numpy(), model.edges, model.prior, 5, 3, 0.1)
+    np.testing.assert_allclose(model.margins(x), want, atol=1e-8)
+    got = FM.predict(model, data).orderBy("match_id").toPandas()
+    np.testing.assert_allclose(got[["p_away", "p_draw", "p_home"]], softmax(want), atol=1e-8)
+    assert (got.predicted == pdf.y).mean() > 0.5
+
+
 def test_naive_bayes(data):
     pdf = data.orderBy("match_id").toPandas()
     x = np.column_stack([pdf.a, pdf.b.fillna(pdf.b.mean())])
@@ -86,6 +178,8 @@ def test_suite_logs_failures(data):
         raise RuntimeError("does not fit")
     preds, log = FM.run_model_suite(data, ["a"], [2020], {"lr": FM.fit_lr, "broken": broken})
     assert preds.count() == 100 and [e["model"] for e in log if "error" in e] == ["broken"]
+    row = FM.suite_log(preds.sparkSession, log).first()
+    assert (row.model, row.fold, row.n_parameters, row.n_train) == ("lr", 2020, 6, 200) and row.predict_seconds > 0
 
 
 def test_permutation_keeps_blocks_and_joint_rows(spark):
@@ -105,6 +199,31 @@ def test_importance_finds_the_informative_column(data):
     assert got["a"]["rank"] == 1 and got["a"].permutation_logloss_mean > 0.05
     fam = {r.family: r for r in J.group_importance(model, data, {"both": ["a", "b"]}, repeats=2).collect()}
     assert fam["both"].n_features == 2 and fam["both"].permutation_logloss_mean > 0.05
+    forest = FM.fit_forest(data, ["a", "b"], trees=5, depth=3)
+    assert J.permutation_importance(forest, data, repeats=2).first().permutation_logloss_mean is not None
+
+
+def test_importance_of_a_linear_model_is_that_of_scoring_permuted_rows(data):
+    """Replaced margins give what scoring every permuted copy of the rows gives."""
+    model, repeats = FM.fit_lr(data, ["a", "b"]), 2
+    got = {r.feature: r for r in J.permutation_importance(model, data, repeats=repeats).collect()}
+    pdf = data.orderBy("match_id").toPandas()
+    x = np.column_stack([pdf.a, pdf.b.fillna(pdf.b.mean())])
+    coef, b = np.array(model.coef), np.array(model.intercept)
+
+    def loss(z):
+        return -np.log(softmax(z @ coef.T + b)[np.arange(len(z)), pdf.y])
+    rises = {"a": [], "b": []}
+    for r in range(repeats):
+        moved = J.shuffle_within(data.select("match_id", "division", "a", F.coalesce("b", F.lit(float(pdf.b.mean()))).alias("b")), ["a", "b"], seed=42 + r)
+        m = moved.orderBy("match_id").toPandas()
+        for i, c in enumerate("ab"):
+            z = x.copy()
+            z[:, i] = m[f"{c}_shuffled"]
+            rises[c].append((loss(z) - loss(x)).mean())
+    for c in "ab":
+        assert got[c].permutation_logloss_mean == pytest.approx(np.mean(rises[c]), abs=1e-9)
+        assert got[c].permutation_logloss_std == pytest.approx(np.std(rises[c], ddof=1), abs=1e-9)
 
 
 def test_correlation_pairs_skip_nulls(data):
@@ -120,10 +239,28 @@ def test_validate_grid_and_winner(data):
     rows = grid.collect()
     assert {r.config for r in rows} == {"good", "poor"} and all(r.n_matches == 100 for r in rows)
     assert J.pick_winner(grid).first().config == "good"
+    for r in rows:  # the shared scan scores as predictions row by row do
+        model = FM.fit_lr(data.where("season < 2020"), {"good": ["a", "b"], "poor": ["b"]}[r.config])
+        want = J._pooled(FM.predict(model, data.where("season = 2020"), ("match_id", "season", "y")), ["season"]).first()
+        for c in ("accuracy", "macro_f1", "draw_f1", "log_loss", "brier"):
+            assert r[c] == pytest.approx(want[c], abs=1e-9)
+        assert r.min_season_accuracy == r.accuracy and r.max_season_log_loss == r.log_loss
     with pytest.raises(ValueError):
         J.validate_grid(data.withColumn("match_date", F.lit("2020-01-01").cast("date")), {"x": ["a"]}, [2020])
 
 
+def test_candidate_sets():
+    cols = ["home_goals_for_5", "home_goals_for_10", "home_win_rate_5", "h2h_draws", "league_level"]
+    ranked = ["home_goals_for_5", "h2h_draws", "home_goals_for_10", "league_level", "home_win_rate_5"]
+    sets = J.candidate_sets(cols, ranked, ranked[:2], [("home_goals_for_5", "h2h_draws")], tops=(2,), drops=(1,))
+    assert sets["all_5"] == cols and sets["groups__form__h2h"] == ["home_win_rate_5", "h2h_draws"]
+    assert [c for c in cols if c != "home_win_rate_5"] in sets.values() and sets["top_2"] == ["home_goals_for_5", "h2h_draws"]
+    assert "positive_permutation" not in sets  # the same columns as top_2
+    assert sets["correlation_pruned"] == [c for c in cols if c != "h2h_draws"]
+    assert sets["window_5_only"] == [c for c in cols if c != "home_goals_for_10"]
+    assert len({tuple(v) for v in sets.values()}) == len(sets)
+
+
 # ---------------------------------------------------------------- ratings
 
 def plain_fold(rows, kernel):

@@ -50,6 +50,27 @@ def test_csv_reader_and_union(spark, tmp_path):
     assert Q.add_targets(both, null_as_zero=False).orderBy("date").first().home_win is None
 
 
+def test_layouts_of_many_files_take_one_job(spark, tmp_path):
+    """Jobs don't grow with the files (stages of one header scan, listings of many paths); layouts differ in columns, order, repeats, line ends and byte order marks."""
+    heads = ["Div,Date,HomeTeam,AwayTeam,FTHG", "\ufeffFTHG,AwayTeam,HomeTeam,Date,Div,Extra", "Div,Date,HomeTeam,HomeTeam,AwayTeam,FTHG\r"]
+    for k in range(300):
+        row = ["E0,14/08/2021,A,B,2", "2,B,A,14/08/2021,E0,x", "E0,14/08/2021,A,Z,B,2\r"][k % 3]
+        (tmp_path / f"E0 {k:04d}.csv").write_text(f"{heads[k % 3]}\n{row}\n")
+    (tmp_path / "empty.csv").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("layouts", "")
+    try:
+        df = A.read_match_csv(spark, str(tmp_path))
+        assert len(tracker.getJobIdsForGroup("layouts")) <= 7
+        rows = df.groupBy("division", "date", "home_team", "away_team", "home_goals_full").agg(F.count_distinct("source_file").alias("n")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in rows] == [("E0", "14/08/2021", "A", "B", "2", 300)]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "empty.csv").write_text("")
+    assert A.read_match_csv(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_feed_times(spark):
     df = spark.createDataFrame([("Aug 10 2018 - 7:00pm",), ("Jan 1 2019 - 12:30am",), ("soon",)], "t string")
     got = [r.k for r in df.select(A.parse_feed_time("t").alias("k")).collect()]
