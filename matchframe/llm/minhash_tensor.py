@@ -6,9 +6,10 @@ the first collection with half j of the second: 112 minhashes make all 196 table
 similarity J meet unless one collection has no equal half: at 0.8 that is one pair in 800, at 0.85
 one in 20,000, and a pair that is missed mostly is linked over a third document.
 
-Halves are matched first: only sets that share a half of each collection with another set form
-table keys, and only of those halves. Sets that meet in a table are one cluster of candidates;
-clusters are compared on full sets.
+The diagonal tables (i, i) come first: what meets there is compared on full sets and linked, which
+joins most groups of near copies. The other tables then only have to bring sets of different
+components together: halves that sets of one component share with no other set form no keys. All
+candidates of a table are one cluster, and clusters are compared on full sets.
 """
 
 from __future__ import annotations
@@ -55,26 +56,39 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), SKETCHES)], schema=SKETCHES)
 
 
-def table_keys(sets: DataFrame) -> DataFrame:
-    """digest, key: one row per table in which a set may meet another, from rows (digest, halves)."""
-    half = sets.select("digest", F.posexplode("halves").alias("k", "h"))
-    shared = half.groupBy("h").count().where("count > 1").select("h")
+def diagonal_keys(sets: DataFrame) -> DataFrame:
+    """digest, label, key: one row per diagonal table."""
+    return sets.select("digest", F.xxhash64("digest").alias("label"), F.explode(F.expr(f"transform(sequence(0, {HALVES - 1}), i -> xxhash64(halves[i], halves[i + {HALVES}]))")).alias("key"))
+
+
+def tensor_keys(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """digest, label, key: one row per table in which a set may meet one of another component.
+    roots: digest, root of the sets that have links."""
+    labelled = sets.join(roots, "digest", "left").select("digest", "halves", F.xxhash64(F.coalesce("root", "digest")).alias("label"))
+    half = labelled.select("digest", "label", F.posexplode("halves").alias("k", "h"))
+    shared = half.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
     bits = half.join(shared, "h", "left_semi").groupBy("digest").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("bits"))
     both = bits.where((F.col("bits") % (1 << HALVES) > 0) & (F.col("bits") >= 1 << HALVES))
-    known = sets.join(both, "digest")
+
     def equal(start):
         return f"filter(sequence({start}, {start + HALVES - 1}), k -> (shiftright(bits, k) & 1) = 1)"
     keys = F.expr(f"flatten(transform({equal(0)}, i -> transform({equal(HALVES)}, j -> xxhash64(halves[i], halves[j]))))")
-    return known.select("digest", F.explode(keys).alias("key"))
+    return labelled.join(both, "digest").select("digest", "label", F.explode(keys).alias("key"))
 
 
-def candidate_links(sets: DataFrame) -> DataFrame:
-    """a, b: from each set that meets others in a table to the least of them."""
-    keys = materialize(table_keys(sets))
-    met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("digest").alias("a")).where("c > 1").select("key", "a")
+def table_links(keys: DataFrame) -> DataFrame:
+    """a, b: in each table from the least set to the others, where a key has more than one label."""
+    keys = materialize(keys)
+    met = keys.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("digest").alias("a")).where("x <> y").select("key", "a")
     return keys.join(met, "key").where("a <> digest").select("a", F.col("digest").alias("b")).distinct()
 
 
+def confirmed(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b: links between the sets of each cluster of candidates that hold on full sets."""
+    clusters = components(links).withColumnRenamed("node", "digest")
+    return materialize(confirm(docs, materialize(clusters.join(sets.select("digest", "least", "n"), "digest")), WIDTH))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: the smallest doc_id that is reachable
     over links of sets that share at least 80 percent of their union.
@@ -88,11 +102,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(table.mapInArrow(_sketch, "doc_id long, n long, digest binary, halves array<long>"))
     sets = materialize(sketched.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")))
-    clusters = components(candidate_links(sets.select("digest", "halves"))).withColumnRenamed("node", "digest")
-    clusters = materialize(clusters.join(sets.select("digest", "least", "n"), "digest"))
-    roots = components(confirm(table, clusters, WIDTH)).withColumnRenamed("node", "digest")
+    first = confirmed(table, sets, table_links(diagonal_keys(sets)))
+    roots = components(first).withColumnRenamed("node", "digest")
+    more = confirmed(table, sets, table_links(tensor_keys(sets, roots)))
+    roots = components(first.union(more)).withColumnRenamed("node", "digest")
     # sets without copies and links keep their own id and are not looked up
-    near = clusters.select("digest", "least").join(roots, "digest")
+    near = sets.select("digest", "least").join(roots, "digest")
     named = near.join(near.groupBy("root").agg(F.min("least").alias("lowest")), "root").select("digest", "lowest")
     copied = sets.where("copies > 1").select("digest", F.col("least").alias("lowest")).join(roots, "digest", "left_anti")
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named.unionByName(copied), "digest", "left")
