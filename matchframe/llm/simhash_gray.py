@@ -10,22 +10,24 @@ copies costs no pair list; of each group only a star of links per component leav
 
 Copies of a text have one fingerprint and take part once. Groups beyond a fixed size are cut
 into chunks of the Gray order, and every pair of chunks is searched by a task of its own.
+
+near_duplicates() links fingerprints of shingles as they are. keep_one() searches the same index
+for candidates among several fingerprints of the words and compares them on full shingle sets.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import by_rows, materialize, query, read, unused, whole_text
+from .shingle_sets import confirm, set_digest, shingles, words_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 GROUP_ROWS = 1 << 12   # wanted mean size of a group when the number of blocks is chosen
@@ -33,7 +35,6 @@ CHUNK_ROWS = 1 << 14   # a group beyond two chunks is searched chunk by chunk
 BATCH_ROWS = 1 << 15   # groups are searched together up to this many rows
 FAN = 8                # children of an index node
 PAIRS = 1 << 20        # node pairs that are compared at once
-SPACE = re.compile(rb"[\x20\x09-\x0d]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 # blocks and the largest number of fingerprints for which their masked values are selective
 SCHEMES = tuple((m, GROUP_ROWS * 2 ** (BITS * (m - RADIUS) // m)) for m in (5, 6, 7, 8))
@@ -229,11 +230,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id take part, and a component of only such rows has a null component_id. Repeated
     rows come out as often as they went in.
     """
-    return _with_roots(docs, id_col, text_col).drop("root")
-
-
-def _with_roots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of near_duplicates() with the fingerprint that names the component (root)."""
     fps = materialize(fingerprints(docs, id_col, text_col))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(link_fingerprints(distinct.select("fp")))
@@ -241,29 +237,70 @@ def _with_roots(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # most fingerprints are alone: only those with links have to be gathered by root
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi")
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    per_fp = rooted.join(lowest, "root", "left").select("fp", "root", F.coalesce("lowest", "least").alias("component_id"))
-    return fps.join(per_fp, "fp", "left").select("doc_id", "fp", "root", "component_id")
+    per_fp = rooted.join(lowest, "root", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    return fps.join(per_fp, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# ---- near copies by similarity: the index finds candidates, full sets decide
+
+WORD_SEEDS, WIDTH = (1, 2, 3), 5  # two fingerprints a seed; words of a shingle
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("fps", pa.list_(pa.int64()))])
+
+
+def word_fingerprints(words: list[bytes]) -> list[int]:
+    """64-bit SimHashes of the distinct words, as signed longs. A changed word changes one word
+    but five shingles: near copies are much closer here than in fingerprints of shingles."""
+    found = list(dict.fromkeys(words))
+    out: list[int] = []
+    for seed in WORD_SEEDS:
+        bits = np.unpackbits(np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, seed) for w in found), np.uint8).reshape(len(found), 16), axis=1)
+        out += np.packbits(2 * bits.sum(0, dtype=np.int64) > len(found)).view("<i8").tolist()
+    return out
+
+
+def _sketch(doc_id, row, text):
+    words = words_of(text)
+    found = np.unique(shingles(words, WIDTH))
+    return doc_id, row, len(found), set_digest(found), word_fingerprints(words)
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """a, b: sets with an equal fingerprint, or one within the radius, hang together. All
+    fingerprints of a set are searched in one index."""
+    fps = sets.select("digest", F.explode("fps").alias("fp"))
+    first = materialize(fps.groupBy("fp").agg(F.min("digest").alias("a")))
+    links = link_fingerprints(first.select("fp"))
+    of_a, of_b = (first.select(F.col("fp").alias(c), F.col("a").alias(f"set_{c}")) for c in ("a", "b"))
+    across = links.join(of_a, "a").join(of_b, "b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))
+    within = fps.join(first, "fp").select("a", F.col("digest").alias("b"))
+    return across.union(within).where("a <> b").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; all columns stay.
+    """One document of each group of near copies, the one with the smallest id; all columns stay.
 
-    Rows that share an id but not a component are told apart by their fingerprints. A
-    component of rows without ids keeps one of them. Of rows with the same id and fingerprint
-    the one with the lowest hash of its text stays.
+    Two texts are near copies if their sets of five-word shingles share at least 80 percent of
+    their union; groups are what such links reach. Candidates differ in at most four bits of one
+    of six fingerprints of their words and are compared on full sets, so nothing goes unchecked.
+    Texts without words are copies of each other. Rows that share an id but not a text are told
+    apart; a group of rows without ids keeps one of them, as do rows of the same id and text.
     """
-    marked = _with_roots(docs.select(id_col, text_col), id_col, text_col)
-    kept = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select("k.*")
-    kept_id, kept_fp, own_fp, row = unused(docs, "kept_id", "kept_fp", "fp", "row")
-    held = kept.select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp))
-
-    @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _signed(fingerprint(t))).astype("int64")
-    keyed = docs.withColumn(own_fp, fp(whole_text(text_col)))
-    named = keyed.join(held, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own_fp) == F.col(kept_fp)), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col, own_fp).orderBy(F.xxhash64(whole_text(text_col))))
-    return named.withColumn(row, first).where(F.col(row) == 1).select(docs.columns)
+    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("row"), whole_text(text_col).alias("text"))
+    marked = materialize(table.mapInArrow(by_rows(lambda: _sketch, SKETCHES), "doc_id long, row long, n long, digest binary, fps array<long>"))
+    # of the rows of a set the one with the smallest id, ids before none
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")
+    sets = materialize(marked.groupBy("digest").agg(lowest, F.first("n").alias("n"), F.first("fps").alias("fps")))
+    clusters = components(candidates(sets.select("digest", "fps"))).withColumnRenamed("node", "digest")
+    clusters = materialize(clusters.join(sets.select("digest", F.col("low.doc_id").alias("least"), "n"), "digest"))
+    roots = components(confirm(table, clusters, WIDTH)).withColumnRenamed("node", "digest")
+    alone = sets.join(roots, "digest", "left_anti").select("low")
+    groups = sets.select("digest", "low").join(roots, "digest").groupBy("root").agg(F.min("low").alias("low")).select("low")
+    kept_id, kept_row, own_row, place = unused(docs, "kept_id", "kept_row", "own_row", "place")
+    kept = alone.union(groups).select(F.col("low.doc_id").alias(kept_id), F.col("low.row").alias(kept_row))
+    keyed = docs.withColumn(own_row, F.xxhash64(whole_text(text_col)))
+    named = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own_row) == F.col(kept_row)), "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_col, own_row).orderBy(F.lit(0)))
+    return named.withColumn(place, first).where(F.col(place) == 1).select(docs.columns)
 
 
 @query("op10_simhash_gray")

@@ -35,7 +35,7 @@ CERTAIN = 1.0        # log-odds count from so many standard deviations above zer
 DRIFT = 0.2          # per token that is no evidence
 SIGNIFICANT = 0.01   # expected number of clean documents' segments of a reported passage
 NONE, BINS, BIN_FROM, BIN_WIDTH = -99.0, 64, -10.0, 0.5  # the first bin is for texts without any evidence
-REJECT = 0.5         # the pipeline drops documents from this probability on
+REJECT = 0.3         # documents are toxic from this probability on
 WORD = re.compile(r"\w+")
 MEMO_ENTRIES = 400_000
 
@@ -321,4 +321,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Da
 def op3_toxicity(spark, sf_dir):
     """Probability of a toxic label for every document."""
     scored = score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return scored.select("doc_id", F.coalesce(~in_training(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~in_training(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))

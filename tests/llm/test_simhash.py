@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchframe.llm import simhash_gray as s
 from matchframe.llm.base import prepare
+from test_minhash import expected, plain_set
 
 
 def plain_fingerprint(text):
@@ -131,3 +132,45 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
     assert kept.columns == docs.columns
     # one row of every group of near copies: both texts of document 1, both groups without an id, one empty text
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (None, d), (5, None)], key=str)
+
+
+def edited(rng, words, n):
+    """A copy with n words replaced at places well apart."""
+    out = list(words)
+    for k in range(n):
+        out[(len(words) // n) * k + rng.randrange(3)] = f"edit{rng.randrange(10 ** 9)}"
+    return out
+
+
+def test_near_copies_go_and_other_pairs_stay(spark):
+    """Pairs of a similarity of 0.8 and more lose one, those of 0.5 to 0.8 keep both."""
+    prepare(spark)
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 8))) for _ in range(3000)]
+    rows, near, apart = [], 0, 0
+    for k in range(300):
+        words = rng.choices(vocabulary, k=rng.choice([40, 120, 400]))
+        copy = edited(rng, words, max(1, round(len(words) * rng.choice([0.004, 0.01, 0.018, 0.04, 0.08]))))
+        a, b = plain_set(" ".join(words), 5), plain_set(" ".join(copy), 5)
+        like = len(a & b) / len(a | b)
+        near, apart = near + (like >= 0.8), apart + (0.3 <= like < 0.8)
+        rows += [(2 * k, " ".join(words), like), (2 * k + 1, " ".join(copy), like)]
+    assert near > 80 and apart > 80
+    kept = {r.doc_id for r in s.keep_one(spark.createDataFrame(rows, "doc_id long, text string, like double")).collect()}
+    assert all(2 * k in kept for k in range(300))
+    gone = {k for k, _, _ in rows} - kept
+    assert all(rows[k][2] >= 0.8 for k in gone)
+    assert len(gone) >= 0.97 * near
+
+
+def test_a_chain_of_copies_is_one_group(spark):
+    """Each text is near the next one only; what is linked at the end is what brute force links."""
+    prepare(spark)
+    rng = random.Random(22)
+    words, rows = [f"w{rng.randrange(900)}" for _ in range(150)], []
+    for k in range(60):
+        rows.append((k, " ".join(words)))
+        words[rng.randrange(150)] = f"e{k}"
+    want = sorted({c for _, _, c in expected(rows, 5)})
+    assert len(want) < 10
+    assert sorted(r.doc_id for r in s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
