@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize, query, read, whole_text
+from .graph import components, settled
 from .shingle_sets import confirm, set_digest, shingle_set
-from .simhash_gray import components
 
 WIDTH = 4                 # words of a shingle
 HALVES, PER_HALF = 14, 4  # half keys of a collection, minhashes of a half
@@ -84,9 +84,21 @@ def table_links(keys: DataFrame) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """a, b: links between the sets of each cluster of candidates that hold on full sets."""
+    """digest, root: the components, on full sets, of each cluster of candidates."""
     clusters = components(links).withColumnRenamed("node", "digest")
-    return materialize(confirm(docs, materialize(clusters.join(sets.select("digest", "least", "n"), "digest")), WIDTH))
+    clusters = materialize(clusters.join(sets.select("digest", "least", "n"), "digest"))
+    return settled(confirm(docs, clusters, WIDTH)).withColumnRenamed("node", "digest")
+
+
+def joined(first: DataFrame, more: DataFrame) -> DataFrame:
+    """digest, root: components of both tables of the same kind together."""
+    of = first.select(F.col("digest").alias("d"), F.col("root").alias("r"))
+    ends = more.join(of, F.col("digest") == F.col("d"), "left").select("root", F.coalesce("r", "digest").alias("x"))
+    # sets that were found together, by the roots that they had
+    links = ends.join(of.withColumnsRenamed({"d": "d2", "r": "r2"}), F.col("root") == F.col("d2"), "left").select(F.col("x").alias("a"), F.coalesce("r2", "root").alias("b"))
+    over = components(links.where("a <> b").distinct()).select(F.col("node").alias("n"), F.col("root").alias("top"))
+    every = first.select("digest", F.col("root").alias("r")).union(more.join(first.select("digest"), "digest", "left_anti").select("digest", F.col("digest").alias("r")))
+    return materialize(every.join(over, F.col("r") == F.col("n"), "left").select("digest", F.coalesce("top", "r").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,10 +114,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(table.mapInArrow(_sketch, "doc_id long, n long, digest binary, halves array<long>"))
     sets = materialize(sketched.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")))
-    first = confirmed(table, sets, table_links(diagonal_keys(sets)))
-    roots = components(first).withColumnRenamed("node", "digest")
-    more = confirmed(table, sets, table_links(tensor_keys(sets, roots)))
-    roots = components(first.union(more)).withColumnRenamed("node", "digest")
+    roots = confirmed(table, sets, table_links(diagonal_keys(sets)))
+    roots = joined(roots, confirmed(table, sets, table_links(tensor_keys(sets, roots))))
     # sets without copies and links keep their own id and are not looked up
     near = sets.select("digest", "least").join(roots, "digest")
     named = near.join(near.groupBy("root").agg(F.min("least").alias("lowest")), "root").select("digest", "lowest")

@@ -91,7 +91,7 @@ def linked(sets: list[np.ndarray], share: int = SHARE) -> np.ndarray:
     return label
 
 
-EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("split", pa.bool_())])
 
 
 def _links(share: int):
@@ -102,21 +102,21 @@ def _links(share: int):
             digests = list(held)
             label = linked(list(held.values()), share)
             rows = [(digests[a], d) for a, d in zip(label, digests) if digests[a] != d]
-            return [pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], schema=EDGES)] if rows else []
+            return [pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in zip(*rows)), pa.array([now[3] > 1] * len(rows))], schema=EDGES)] if rows else []
         for batch in batches:
-            values = batch.column(4)
-            for k, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
+            values = batch.column(5)
+            for k, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
                 if key != now:
                     yield from out()
                     now, held = key, {}
-                held[batch.column(3)[k].as_py()] = values[k].values.to_numpy().view(np.uint64)
+                held[batch.column(4)[k].as_py()] = values[k].values.to_numpy().view(np.uint64)
         yield from out()
     return run
 
 
 def confirm(docs: DataFrame, clusters: DataFrame, width: int, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: links between sets that make the same components as all pairs of one cluster whose
-    similarity is at least `share` percent.
+    """a, b, split: stars of links between sets that make the same components as all pairs of one
+    cluster whose similarity is at least `share` percent; split marks those of a cluster in chunks.
 
     clusters: digest, root (the cluster), least (an id of a row that has the set), n (its size).
     Texts of these rows are read again, so that sets are held for candidates only.
@@ -129,7 +129,7 @@ def confirm(docs: DataFrame, clusters: DataFrame, width: int, share: int = SHARE
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("id_")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(width), "digest binary, shingles array<long>")
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("digest", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    rows = sets.join(cells, "digest").select("root", "lo", "hi", "digest", "shingles")
+    cells = cells.select("digest", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "chunks")
+    rows = sets.join(cells, "digest").select("root", "lo", "hi", "chunks", "digest", "shingles")
     ordered = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "digest")
-    return ordered.mapInArrow(_links(share), "a binary, b binary").distinct()
+    return ordered.mapInArrow(_links(share), "a binary, b binary, split boolean")

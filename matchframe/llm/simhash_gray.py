@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import by_rows, materialize, query, read, unused, whole_text
+from .graph import components, settled
 from .shingle_sets import confirm, set_digest, shingles, words_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -207,21 +208,6 @@ def link_fingerprints(distinct: DataFrame, n: int | None = None) -> DataFrame:
     return ordered.select("choice", "masked", "cell", "fp").mapInArrow(_links, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of every component, by rounds of taking the smallest
-    label around and jumping to the label's own label. Each round is a written table."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")))
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"))
-    while True:
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("least"))
-        better = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "least").alias("root"))
-        jump = better.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = materialize(better.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")))
-        labels = after.select("node", "root")
-        if after.where("root <> was").isEmpty():
-            return labels
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest doc_id that is reachable over
     links of at most four differing bits.
@@ -292,7 +278,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = materialize(marked.groupBy("digest").agg(lowest, F.first("n").alias("n"), F.first("fps").alias("fps")))
     clusters = components(candidates(sets.select("digest", "fps"))).withColumnRenamed("node", "digest")
     clusters = materialize(clusters.join(sets.select("digest", F.col("low.doc_id").alias("least"), "n"), "digest"))
-    roots = components(confirm(table, clusters, WIDTH)).withColumnRenamed("node", "digest")
+    roots = settled(confirm(table, clusters, WIDTH)).withColumnRenamed("node", "digest")
     alone = sets.join(roots, "digest", "left_anti").select("low")
     groups = sets.select("digest", "low").join(roots, "digest").groupBy("root").agg(F.min("low").alias("low")).select("low")
     kept_id, kept_row, own_row, place = unused(docs, "kept_id", "kept_row", "own_row", "place")
