@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import let, query, read, whole_text
+from .base import let, query, read, unused, whole_text
 
 SLOTS, SHINGLE = 128, 5
 RANGE_ROWS = 2000        # wanted rows of one range of ids
@@ -122,7 +122,8 @@ def range_number(cuts: list[int], value: Column) -> Column:
 def with_next(rows: DataFrame, id_col: str, text_col: str, derived: dict[str, Column]) -> DataFrame:
     """Adds the derived columns, and next_<c> for them and the text: the values of the row that
     follows in descending order of id (null ids last, equal ids by the hash of the text), the
-    first row's for the last one. A single row follows itself.
+    first row's for the last one. A single row follows itself. Other columns may have any names
+    but those of the derived ones.
 
     Ids are cut into ranges at their quantiles, a number that grows with the table up to a
     fixed bound; a range is one window group, so rows are shuffled once. The head of each
@@ -134,20 +135,21 @@ def with_next(rows: DataFrame, id_col: str, text_col: str, derived: dict[str, Co
     if ranges > 1:
         shares = [k / ranges for k in range(1, ranges)]
         cuts = sorted(set(rows.select(F.percentile_approx(id_col, shares, F.lit(max(10_000, 4 * ranges))).alias("cuts")).first().cuts or []))
-    placed = rows.withColumns({"_tie": F.xxhash64(text_col), "_range": range_number(cuts, F.col(id_col))})
-    first = F.max(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("_tie").alias("tie")))
-    heads = placed.groupBy("_range").agg(first.alias("o")).orderBy(F.desc("_range")).collect()  # a row per range, at most MOST_RANGES
-    before = [(r._range, heads[k - 1]._range, r.o.id, r.o.tie) for k, r in enumerate(heads)]
+    tie, place, tail, at, target, head, head_tie, after = unused(rows, "tie", "range", "tail", "at", "target", "head", "head_tie", "next")
+    placed = rows.withColumns({tie: F.xxhash64(text_col), place: range_number(cuts, F.col(id_col))})
+    first = F.max(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col(tie).alias("tie")))
+    heads = placed.groupBy(F.col(place).alias("r")).agg(first.alias("o")).orderBy(F.desc("r")).collect()  # a row per range, at most MOST_RANGES
+    before = [(r.r, heads[k - 1].r, r.o.id, r.o.tie) for k, r in enumerate(heads)]
     kind = rows.schema[id_col].dataType.simpleString()
-    table = F.broadcast(rows.sparkSession.createDataFrame(before, f"_at int, _target int, _head {kind}, _head_tie long"))
-    same = (F.col("_range") == F.col("_at")) & F.col(id_col).eqNullSafe(F.col("_head")) & (F.col("_tie") == F.col("_head_tie"))
-    tails = placed.join(table, same).select(*rows.columns, "_tie", F.col("_target").alias("_range"), F.lit(True).alias("_tail"))
-    both = placed.withColumn("_tail", F.lit(False)).unionByName(tails)
+    table = F.broadcast(rows.sparkSession.createDataFrame(before, f"{at} int, {target} int, {head} {kind}, {head_tie} long"))
+    same = (F.col(place) == F.col(at)) & F.col(id_col).eqNullSafe(F.col(head)) & (F.col(tie) == F.col(head_tie))
+    tails = placed.join(table, same).select(*rows.columns, tie, F.col(target).alias(place), F.lit(True).alias(tail))
+    both = placed.withColumn(tail, F.lit(False)).unionByName(tails)
     marked = both.withColumns(derived)
     carried = [text_col, *derived]
-    follows = F.lead(F.struct(*carried)).over(Window.partitionBy("_range").orderBy("_tail", F.desc_nulls_last(id_col), F.desc("_tie")))
-    kept = marked.withColumn("_next", follows).where(~F.col("_tail"))
-    return kept.select(*rows.columns, *derived, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carried])
+    follows = F.lead(F.struct(*carried)).over(Window.partitionBy(place).orderBy(tail, F.desc_nulls_last(id_col), F.desc(tie)))
+    kept = marked.withColumn(after, follows).where(~F.col(tail))
+    return kept.select(*rows.columns, *derived, *[F.col(after)[c].alias(f"next_{c}") for c in carried])
 
 
 @query("op5_cws_fingerprints")

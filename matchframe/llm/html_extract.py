@@ -57,8 +57,12 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.off, self.good = ["#page"], [-1], [False], [False]
+        self.tag, self.parent, self.off, self.good, self.home = ["#page"], [-1], [False], [False], [0]  # home: the block an element is in
         self.open = [0]
+        # places in the stack of open elements by name, of the scopes and of the blocks, each ending
+        # with 0 for none: no tag costs more than the elements it ends
+        self.where: dict[str, list[int]] = {}
+        self.scopes, self.blocks = [0], [0]
         self.runs: list[tuple[int, int, str, bool]] = []  # block, element, text, inside a link
         self.block, self.links = 0, 0
 
@@ -67,21 +71,21 @@ class _Page(HTMLParser):
             return self.handle_data(" ")
         if tag in BLOCK:
             self.block += 1
-            if tag not in ("html", "body") and (ends := next((k for k in range(len(self.open) - 1, 0, -1) if self.tag[self.open[k]] == "p" or self.tag[self.open[k]] in SCOPE), 0)) and self.tag[self.open[ends]] == "p":
-                self._cut(ends)
+            if tag not in ("html", "body"):
+                self._end("p")
         if tag in CLOSES:
-            for k in range(len(self.open) - 1, 0, -1):
-                name = self.tag[self.open[k]]
-                if name in CLOSES[tag]:
-                    self._cut(k)
-                    break
-                if name in SCOPE:
-                    break
+            self._end(*CLOSES[tag])
         if tag in VOID:
             return None
         here = len(self.tag)
         self.tag.append(tag)
         self.parent.append(self.open[-1])
+        self.home.append(here if tag in BLOCK else self.home[self.open[-1]])
+        self.where.setdefault(tag, [0]).append(len(self.open))
+        if tag in SCOPE:
+            self.scopes.append(len(self.open))
+        if tag in BLOCK:
+            self.blocks.append(len(self.open))
         given = {k: v or "" for k, v in attrs}
         words = WORDS.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()) if given else ()
         whole = tag in ("html", "body", "article", "main")
@@ -99,17 +103,26 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.block += 1
-        for k in range(len(self.open) - 1, 0, -1):
-            name = self.tag[self.open[k]]
-            if name == tag:
-                return self._cut(k)
-            if tag not in BLOCK and name in BLOCK:  # a stray end tag of an inline element
-                return None
-        return None
+        at = self.where.get(tag, [0])[-1]
+        # a stray end tag of an inline element ends no block
+        if at and (tag in BLOCK or at > self.blocks[-1]):
+            self._cut(at)
+
+    def _end(self, *names: str) -> None:
+        """End the innermost open element of these names within the innermost scope."""
+        at = max(self.where.get(name, [0])[-1] for name in names)
+        if at > self.scopes[-1]:
+            self._cut(at)
 
     def _cut(self, k: int) -> None:
-        self.links -= sum(self.tag[x] == "a" for x in self.open[k:])
-        del self.open[k:]
+        while len(self.open) > k:
+            tag = self.tag[self.open.pop()]
+            self.where[tag].pop()
+            self.links -= tag == "a"
+            if tag in SCOPE:
+                self.scopes.pop()
+            if tag in BLOCK:
+                self.blocks.pop()
 
     def handle_data(self, data: str) -> None:
         self.runs.append((self.block, self.open[-1], data, self.links > 0))
@@ -148,9 +161,7 @@ def main_blocks(html: str | None) -> list[str]:
             continue
         chars = len(text) - text.count(" ")
         if not blocks or blocks[-1][0] != block:
-            while page.tag[at] not in BLOCK and page.parent[at] >= 0:
-                at = page.parent[at]
-            blocks.append([block, at, [], 0, 0])
+            blocks.append([block, page.home[at], [], 0, 0])
         blocks[-1][2].append(text)
         blocks[-1][3] += chars
         blocks[-1][4] += chars if linked else 0
