@@ -10,13 +10,14 @@ from matchframe.llm.decontamination import drop_leaks
 from matchframe.llm.secret_scan import mask_secrets
 from matchframe.llm.simhash_gray import keep_one
 from matchframe.llm.toxicity import drop_toxic
+from matchframe.plans.session import scratch_scope
 
 # No SQL: the tokenizer, toxicity model and edit distance have no SQL form.
 ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are more likely toxic than not."""
+    """Without the documents that the toxicity model rejects."""
     prepare(spark)
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
@@ -50,10 +51,12 @@ STAGES = [("toxicity", toxicity), ("simhash_near_duplicates", near_duplicates),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in order; each result is written as Parquet and read again."""
+    """Every stage in order; each result is written as Parquet and read again, and what a stage
+    wrote on the way is removed after it."""
     docs, folder = read(spark, sf_dir, "documents"), scratch_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -10,6 +10,7 @@ from ..operators import history as C
 from ..operators import models as FM
 from ..operators import ratings as R
 from ..operators import selection as J
+from ..operators.metrics import fit_complexity
 from ..operators.text import keyword_in_context
 from ..plans import views
 from ..plans.session import materialize, scratch_dir
@@ -99,6 +100,18 @@ def run_model_suite(spark, d):
     return FM.suite_metrics(preds).unionByName(FM.suite_failures(spark, log), allowMissingColumns=True)
 
 
+LINEAR_SUITE = {"lr": FM.fit_lr, "lr_scaled": FM.fit_lr_scaled, "lr_l1": FM.fit_lr_l1, "lr_balanced": FM.fit_balanced}
+
+
+@query("H15_fit_complexity_suite", f"""SELECT model, CAST(2 AS BIGINT) AS n_fits, {len(ALL_COLS)} AS n_features, CAST({3 * (len(ALL_COLS) + 1)} AS BIGINT) AS n_parameters,
+{r(f"{8 * (4 * len(ALL_COLS) + 3)} AS model_bytes")}, TRUE AS timed FROM (VALUES ('lr'), ('lr_scaled'), ('lr_l1'), ('lr_balanced')) v(model)""")
+def fit_complexity_suite(spark, d):
+    """The fit log of a real suite, summed up per model."""
+    _, log = FM.run_model_suite(matrix(spark, d), ALL_COLS, [1999, TEST], LINEAR_SUITE)
+    out = fit_complexity(FM.suite_log(spark, log))
+    return out.select("model", "n_fits", "n_features", "n_parameters", "model_bytes", ((F.col("fit_seconds") > 0) & (F.col("predict_seconds") > 0)).alias("timed"))
+
+
 @query("F25_train_on_all")
 def train_on_all(spark, d):
     return FM.train_on_all(matrix(spark, d), ALL_COLS, "lr")
@@ -418,7 +431,7 @@ def stream_form(spark, d):
     rows = materialize(C.to_team_rows(matches(spark, d)).select("season", "team", "match_id", "match_date", "points", "gf", "ga"))
     base = scratch_dir(spark)
     _write_in_order(rows, f"{base}/in")
-    streams.run_available(streams.stream_form(_stream(spark, f"{base}/in")), f"{base}/out", f"{base}/state")
+    streams.run_stream_form(_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("match_id", "team", "n_prior", "avg_points", "avg_gf", "avg_ga", "win_rate")
 
 
@@ -540,6 +553,53 @@ def read_feed_csv(spark, d):
     return files.read_feed_csv(spark, path).select("timestamp", "feed_date", "kickoff", "home_team_name")
 
 
+@query("A8_read_feed_csv_targets", with_(MATCHES, "fd AS (SELECT *, CASE WHEN match_id % 10 = 3 THEN NULL ELSE home_goals END AS h, CASE WHEN match_id % 14 = 5 THEN NULL ELSE away_goals END AS a FROM matches)")
+       + f"""SELECT CAST(match_id AS DOUBLE) AS timestamp, {r("CAST(h AS DOUBLE) AS home_team_goal_count", "CASE WHEN match_id % 4 > 0 THEN (match_id % 300) / 100 END AS pre_match_xg")}, CASE match_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Stadium 1' ELSE '7' END AS stadium,
+CASE WHEN h > a THEN 2 WHEN h = a THEN 1 ELSE 0 END AS target_result, {r("CAST(h + a AS DOUBLE) AS total_goal_count")}, CASE WHEN h + a > 2.5 THEN 1 ELSE 0 END AS target_over_2_5 FROM fd""")
+def read_feed_csv_targets(spark, d):
+    """Numbers, text and all three spellings of a missing value."""
+    path = scratch_dir(spark)
+    k = F.col("match_id")
+    text = F.date_format("match_date", "MMM d yyyy - h:mm")
+    matches(spark, d).select(
+        k.cast("string").alias("timestamp"), F.concat(text, F.lit("pm")).alias("date_GMT"), F.col("home_team").cast("string").alias("home_team_name"), F.col("away_team").cast("string").alias("away_team_name"),
+        F.when(k % 10 == 3, "N/A").otherwise(F.col("home_goals").cast("string")).alias("home_team_goal_count"), F.when(k % 14 == 5, "NA").otherwise(F.col("away_goals").cast("string")).alias("away_team_goal_count"),
+        F.when(k % 4 == 0, "").otherwise(((k % 300) / 100).cast("string")).alias("pre_match_xg"), F.when(k % 3 == 0, "N/A").when(k % 3 == 1, "Stadium 1").otherwise("7").alias("stadium")).write.csv(path, header=True)
+    return files.read_feed_csv(spark, path).select("timestamp", "home_team_goal_count", "pre_match_xg", "stadium", "target_result", "total_goal_count", "target_over_2_5")
+
+
+def _write_arrays(df, folder, path, key):
+    """JSON arrays, eight files per folder value."""
+    rows = df.select(folder, F.pmod(F.xxhash64(key), F.lit(8)).alias("part"), F.to_json(F.struct(*[c for c in df.columns if c != folder])).alias("j"))
+    arrays = rows.groupBy(folder, "part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    arrays.select(folder, "value").write.partitionBy(folder).option("maxRecordsPerFile", 1).text(path)
+
+
+@query("A6_read_feed_json_arrays", with_(MATCHES, FEED) + f"""SELECT CAST(feed_date AS VARCHAR) AS feed_date, home_name, away_name, CONCAT(CAST(feed_season AS VARCHAR), '-', RIGHT(CAST(feed_season + 1 AS VARCHAR), 2)) AS season,
+{r("home_ppg AS pre_match_home_ppg", "home_xg AS team_a_xg_prematch")} FROM feed WHERE feed_season <> 1996""")
+def read_feed_json_arrays(spark, d):
+    """Array files in a folder per season id; a map gives the labels and leaves one season out."""
+    path = scratch_dir(spark)
+    f = views.feed(matches(spark, d))
+    out = f.select(F.unix_seconds(F.to_timestamp("feed_date")).alias("date_unix"), "home_name", "away_name", F.col("home_ppg").alias("pre_match_home_ppg"),
+                   F.col("away_ppg").alias("pre_match_away_ppg"), F.col("home_xg").alias("team_a_xg_prematch"), F.col("away_xg").alias("team_b_xg_prematch"),
+                   (F.col("feed_season") * 10 + 7).alias("sid"))
+    _write_arrays(out, "sid", path, "home_name")
+    labels = {str(s * 10 + 7): f"{s}-{str(s + 1)[-2:]}" for s in range(1980, 2030) if s != 1996}
+    read = files.read_feed_json(spark, path, labels, from_folder=True)
+    return read.select("feed_date", "home_name", "away_name", "season", "pre_match_home_ppg", "team_a_xg_prematch")
+
+
+@query("A7_read_players_arrays", with_(PLAYERS) + f"SELECT player_id, CONCAT('Y', CAST(season AS VARCHAR)) AS season, CAST(club_id AS BIGINT) AS club_team_id, position, {r('age', 'minutes AS minutes_played_overall')}, goals AS goals_overall FROM players")
+def read_players_arrays(spark, d):
+    path = scratch_dir(spark)
+    p = views.players(spark, d)
+    _write_arrays(p.select("player_id", F.col("club_id").alias("club_team_id"), "position", "age", F.col("minutes").alias("minutes_played_overall"), F.col("goals").alias("goals_overall"),
+                           F.col("assists").alias("assists_overall"), F.col("season").alias("sid")), "sid", path, "player_id")
+    read = files.read_players(spark, path, "json", {str(s): f"Y{s}" for s in range(1980, 2030)}, from_folder=True)
+    return read.select("player_id", "season", "club_team_id", "position", "age", "minutes_played_overall", "goals_overall")
+
+
 @query("A9_read_closing_odds", with_(MATCHES, """co AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY season, home_team, away_team ORDER BY match_date, odds_home NULLS FIRST, odds_draw, odds_away) AS rn FROM matches)""")
        + f"""SELECT CAST(season AS VARCHAR) AS season, CASE WHEN home_team < 39 THEN CONCAT('Club ', LPAD(CAST(home_team AS VARCHAR), 2, '0')) ELSE '39' END AS home_team, CASE WHEN away_team < 39 THEN CONCAT('Club ', LPAD(CAST(away_team AS VARCHAR), 2, '0')) ELSE '39' END AS away_team,
 CAST(match_date AS VARCHAR) AS date, {r("odds_home AS odds_home_close", "odds_draw AS odds_draw_close")} FROM co WHERE rn = 1""")
@@ -554,6 +614,22 @@ def read_closing_odds(spark, d):
     return odds.select("season", "home_team", "away_team", "date", "odds_home_close", "odds_draw_close")
 
 
+@query("A15_fingerprint_files_content", with_(MATCHES, """tx AS (SELECT season, match_id, CONCAT(CAST(match_id AS VARCHAR), ',', CAST(home_goals AS VARCHAR), ',', CAST(away_goals AS VARCHAR)) AS t FROM matches),
+fl AS (SELECT season, STRING_AGG(t || CASE WHEN season % 2 = 1 THEN CHR(13) ELSE '' END || CHR(10), '' ORDER BY match_id) AS body, STRING_AGG(t || CHR(10), '' ORDER BY match_id) AS lf FROM tx GROUP BY season)""")
+       + "SELECT season, CAST(STRLEN(body) AS BIGINT) AS length, SHA256(body) AS sha256, SHA256(lf) AS sha256_lf, CASE WHEN season % 2 = 1 THEN 'line_endings_only' ELSE 'same' END AS status FROM fl")
+def fingerprint_files_content(spark, d):
+    """Season files with known lines, those of odd seasons with CRLF, against the hashes of their LF form."""
+    path = scratch_dir(spark)
+    m = matches(spark, d)
+    line = F.concat_ws(",", F.col("match_id").cast("string"), F.col("home_goals").cast("string"), F.col("away_goals").cast("string"))
+    line = F.concat(line, F.when(F.col("season") % 2 == 1, "\r").otherwise(""))
+    m.select("season", "match_id", line.alias("value")).repartition("season").sortWithinPartitions("season", "match_id").select("season", "value").write.partitionBy("season").text(path)
+    have = files.fingerprint_files(spark, path)
+    manifest = have.select("path", F.col("sha256_lf").alias("sha256"))
+    season = F.regexp_extract("path", r"season=(\d+)", 1).cast("int").alias("season")
+    return files.fingerprint_files(spark, path, manifest).select(season, "length", "sha256", "sha256_lf", "status")
+
+
 @query("A15_fingerprint_files", None)
 def fingerprint_files(spark, d):
     """Hash every file of a written season export against a manifest of its own hashes, one of them altered."""

@@ -153,12 +153,26 @@ def score_stats_fused(spark, d):
     return G.score_stats(reweighted(spark, d), target=("p_away", "p_draw", "p_home"), grid="fused").select(*_STATS)
 
 
-@query("G7_nll_identity_check", with_(MATCHES) + "SELECT match_id FROM matches WHERE FALSE")
-def nll_identity_check(spark, d):
+def _both_nll(spark, d):
     base = G.score_stats(reweighted(spark, d)).withColumnRenamed("true_score_nll", "base_nll").select("match_id", "y", "home_goals", "away_goals", "lambda_home", "lambda_away", "grid_max", "fused",
                                                                                                     "s_away", "s_draw", "s_home", "p_away", "p_draw", "p_home", "base_nll")
-    both = G.score_stats(base, target=("p_away", "p_draw", "p_home"), grid="fused")
-    return G.nll_identity_check(both, "true_score_nll", "base_nll").select("match_id")
+    return G.score_stats(base, target=("p_away", "p_draw", "p_home"), grid="fused")
+
+
+@query("G7_nll_identity_check", with_(MATCHES) + "SELECT match_id FROM matches WHERE FALSE")
+def nll_identity_check(spark, d):
+    return G.nll_identity_check(_both_nll(spark, d), "true_score_nll", "base_nll").select("match_id")
+
+
+@query("G7_nll_identity_check_planted", with_(MATCHES) + f"""SELECT match_id, {r("CASE WHEN match_id % 17 <> 0 THEN CASE WHEN match_id % 26 = 0 THEN -1e-4 ELSE 1e-4 END END AS identity_gap")}
+FROM matches WHERE match_id % 13 = 0 OR match_id % 17 = 0""")
+def nll_identity_check_planted(spark, d):
+    """Gaps on both sides, missing values, and gaps below the tolerance."""
+    k = F.col("match_id")
+    moved = F.when(k % 17 == 0, None).when(k % 26 == 0, F.col("true_score_nll") - 1e-4).when(k % 13 == 0, F.col("true_score_nll") + 1e-4).when(
+        k % 19 == 0, F.col("true_score_nll") + 1e-10).otherwise(F.col("true_score_nll"))
+    both = _both_nll(spark, d).withColumn("true_score_nll", moved)
+    return G.nll_identity_check(both, "true_score_nll", "base_nll").select("match_id", "identity_gap")
 
 
 @query("G8_over_under_prob", with_(*BASE, grid_sql()) + f"SELECT match_id, {r('LEAST(1.0, SUM(CASE WHEN hg + ag > 2.5 THEN p ELSE 0 END)) AS p_over')} FROM grid GROUP BY match_id")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import P_COLS, arg_max
-from ..plans.blocks import BEFORE, null_safe_join
+from ..plans.blocks import BEFORE, ROWS_PER_BLOCK, null_safe_join
 
 CLASSES = (0, 1, 2)
 POINT_FIELDS = ("accuracy", "log_loss", "brier", "exact_score_accuracy", "score_nll", "home_goal_mae", "away_goal_mae",
@@ -104,17 +104,23 @@ def long_classes(preds: DataFrame, keep: Sequence[str], y: str = "y", p_cols: Se
     return preds.select(*keep, F.explode(items).alias("c")).select(*keep, "c.*")
 
 
-def roc_auc(preds: DataFrame, by: Sequence[str] = (), y: str = "y", p_cols: Sequence[str] = P_COLS, cells: int = 65536) -> DataFrame:
+def roc_auc(preds: DataFrame, by: Sequence[str] = (), y: str = "y", p_cols: Sequence[str] = P_COLS, cells: int = 65536,
+            scores_per_cell: int = ROWS_PER_BLOCK) -> DataFrame:
     """Exact one-vs-rest AUC per class and their mean; ties count half.
 
     Rows are reduced to distinct scores; scores are ranked in two levels (cell
-    totals, then inside a cell) so no window spans all scores of a class.
+    totals, then inside a cell) so no window spans all scores of a class. A cell
+    with too many scores, as in a narrow band, is cut into `cells` of its own.
     """
     by = list(by)
     keys = [*by, "cls"]
+    scaled = F.col("p") * cells
     scores = (long_classes(preds, by, y, p_cols).groupBy(*keys, "p")
               .agg(F.sum("hit").cast("double").alias("pos"), F.sum(1 - F.col("hit")).cast("double").alias("neg"))
-              .withColumn("cell", F.floor(F.col("p") * cells)))
+              .withColumn("coarse", F.floor(scaled)))
+    full = scores.groupBy(*keys, "coarse").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > scores_per_cell).drop("n").withColumn("hot", F.lit(1))
+    fine = F.when(F.col("hot").isNotNull(), F.floor((scaled - F.col("coarse")) * cells)).otherwise(0)
+    scores = null_safe_join(scores, full, [*keys, "coarse"], "left").withColumn("cell", F.col("coarse") * (cells + 1) + fine).drop("coarse", "hot")
     per_cell = scores.groupBy(*keys, "cell").agg(F.sum("neg").alias("n"))
     lower = Window.partitionBy(*keys).orderBy("cell").rowsBetween(*BEFORE)
     offsets = per_cell.select(*keys, "cell", F.coalesce(F.sum("n").over(lower), F.lit(0.0)).alias("below_cells"))

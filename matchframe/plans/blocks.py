@@ -26,23 +26,37 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+FAN = 64        # cuts are looked up in two steps of about this many
+PER_BLOCK = 64  # sampled ids per block of a hot day
+
+
+def _place(value: Column, cuts: Column, heads: Column) -> Column:
+    """How many of the sorted cuts are at most the value; heads is every FAN-th cut."""
+    head = F.size(F.filter(heads, lambda c: c <= value))
+    start = (head - 1) * FAN
+    return F.when(head == 0, 0).otherwise(start + F.size(F.filter(F.slice(cuts, start + 1, F.lit(FAN)), lambda c: c <= value)))
+
+
 def ordered_blocks(df: DataFrame, keys: Sequence[str], date: str, id_col: str,
                    rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Add `_block`, non-decreasing in (date, id) within a key.
 
-    The row's rank is estimated: rows of earlier days, plus its place in the day
-    interpolated between the day's smallest and largest id. So a single hot day
-    is split too. `id_col` is numeric and unique.
+    Days are counted; a day that is larger than a block is cut at quantiles of its ids, taken
+    from a sample by hash that is gathered while counting (some 64 ids per block). So a block
+    holds at most about two blocks' rows however the ids lie. `id_col` is numeric and unique.
     """
     keys = list(keys)
-    days = df.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_lo"),
-                                       F.max(id_col).alias("_hi"))
+    sampled = F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, rows_per_block // PER_BLOCK))) == 0
+    days = df.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.when(sampled, F.col(id_col)))).alias("_s"))
     earlier = Window.partitionBy(*keys).orderBy(date).rowsBetween(*BEFORE)
     days = days.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    share = (F.col(id_col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
-    block = F.floor((F.col("_before") + F.col("_n") * share) / F.lit(rows_per_block)).cast("long")
-    return (null_safe_join(df, days, [*keys, date])
-            .withColumn("_block", block).drop("_n", "_lo", "_hi", "_before"))
+    # so many cuts that blocks of later days stay above those of this one
+    some, size = F.least(F.floor(F.col("_n") / rows_per_block), F.size("_s")).cast("int"), F.size("_s")
+    cuts = F.when((F.col("_n") > rows_per_block) & (some > 0), F.transform(F.sequence(F.lit(1), F.greatest(some, F.lit(1))), lambda k: F.get(F.col("_s"), F.floor(k * size / (some + 1)).cast("int"))))
+    days = days.select(*keys, date, F.floor(F.col("_before") / rows_per_block).cast("long").alias("_first"), cuts.alias("_cuts"))
+    days = days.withColumn("_heads", F.filter("_cuts", lambda c, i: i % FAN == 0))
+    block = F.col("_first") + F.when(F.col("_cuts").isNull(), 0).otherwise(_place(F.col(id_col), F.col("_cuts"), F.col("_heads")))
+    return null_safe_join(df, days, [*keys, date]).withColumn("_block", block).drop("_first", "_cuts", "_heads")
 
 
 def with_carry(df: DataFrame, keys: Sequence[str], date: str, id_col: str, n: int,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,20 @@ def build_session(name: str = "matchframe", master: str | None = None, **conf) -
 
 
 _local_scratch: str | None = None
+_scopes: list[list[str]] = []  # folders handed out in each open scope
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Owns the scratch folders handed out inside and removes them at the end: whatever is read
+    from them has to be written elsewhere by then. Folders made outside a scope stay."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -57,7 +73,10 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         _local_scratch = _local_scratch or tempfile.mkdtemp(prefix="matchframe-")
         base = _local_scratch
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
-from collections.abc import Mapping, Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,23 +123,25 @@ FEED_SCHEMA = T.StructType([
 ])
 
 
-def _with_season(df: DataFrame, season_map: Mapping[str, str] | None) -> DataFrame:
-    """Season label from the file name (season id -> label); files not listed are dropped.
+def _with_season(df: DataFrame, season_map: Mapping[str, str] | None, from_folder: bool = False) -> DataFrame:
+    """Season label from the file name, or from the folder's (`id` or `key=id`), by a map of season
+    id to label; files not listed are dropped.
 
     Without a map the columns stay as read (e.g. a season folder column).
     """
     if season_map is None:
         return df
     pairs = [F.lit(x) for kv in season_map.items() for x in kv]
-    file_id = F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), r"^([^.-]+)", 1)
+    parts = F.split(F.input_file_name(), "/")
+    file_id = F.regexp_extract(F.element_at(parts, -2), r"([^=]+)$", 1) if from_folder else F.regexp_extract(F.element_at(parts, -1), r"^([^.-]+)", 1)
     return df.withColumn("season", F.try_element_at(F.create_map(*pairs), file_id)).where(F.col("season").isNotNull())
 
 
 def read_feed_json(spark: SparkSession, path: str | Sequence[str], season_map: Mapping[str, str] | None,
-                   schema: T.StructType = FEED_SCHEMA, multi_line: bool = True) -> DataFrame:
-    """One JSON array of matches per season file; epoch seconds become a day."""
+                   schema: T.StructType = FEED_SCHEMA, multi_line: bool = True, from_folder: bool = False) -> DataFrame:
+    """JSON arrays of matches, files or folders per season; epoch seconds become a day."""
     raw = spark.read.schema(schema).json(path if isinstance(path, str) else list(path), multiLine=multi_line)
-    return (_with_season(raw, season_map)
+    return (_with_season(raw, season_map, from_folder)
             .withColumn("feed_date", F.to_date(F.timestamp_seconds("date_unix"))))
 
 
@@ -148,7 +154,7 @@ PLAYER_SCHEMA = T.StructType([
 
 
 def read_players(spark: SparkSession, path: str | Sequence[str], fmt: str = "json", season_map: Mapping[str, str] | None = None,
-                 schema: T.StructType = PLAYER_SCHEMA, multi_line: bool = True) -> DataFrame:
+                 schema: T.StructType = PLAYER_SCHEMA, multi_line: bool = True, from_folder: bool = False) -> DataFrame:
     """Player records. CSV text N/A, NA and empty are null; numbers are cast softly."""
     where = path if isinstance(path, str) else list(path)
     if fmt == "json":
@@ -160,7 +166,7 @@ def read_players(spark: SparkSession, path: str | Sequence[str], fmt: str = "jso
             text = F.when(~F.trim(F.col(f"`{f.name}`")).isin("N/A", "NA", ""), F.col(f"`{f.name}`"))
             casts.append(text.try_cast(f.dataType).alias(f.name))
         raw = raw.select(*casts)
-    return _with_season(raw, season_map)
+    return _with_season(raw, season_map, from_folder)
 
 
 def parse_feed_time(col) -> Column:
@@ -173,13 +179,20 @@ def parse_feed_time(col) -> Column:
 
 def read_feed_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Feed matches: `N/A`, `NA` and empty fields are null; a column becomes numeric if all its
-    other values are numbers (counted in one pass), text stays text."""
+    other values are numbers (counted in one pass), text stays text. Where goals are given, class,
+    total goals and over-2.5 follow; a comparison with a missing number is false."""
     raw = spark.read.csv(path if isinstance(path, str) else list(path), header=True)
     raw = raw.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin("N/A", "NA", ""), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     text = {"home_team_name", "away_team_name", "date_GMT"}
     odd = raw.agg(*[F.count(F.when(F.col(f"`{c}`").try_cast("double").isNull(), F.col(f"`{c}`"))).alias(c) for c in raw.columns]).first()
     cols = [F.col(f"`{c}`") if c in text or odd[c] else F.col(f"`{c}`").try_cast("double").alias(c) for c in raw.columns]
-    return raw.select(*cols).withColumn("kickoff", parse_feed_time("date_GMT")).withColumn("feed_date", F.to_date("kickoff"))
+    out = raw.select(*cols).withColumn("kickoff", parse_feed_time("date_GMT")).withColumn("feed_date", F.to_date("kickoff"))
+    home, away = "home_team_goal_count", "away_team_goal_count"
+    if not {home, away} <= set(out.columns):
+        return out
+    h, a = F.col(home).try_cast("double"), F.col(away).try_cast("double")
+    return (out.withColumn("target_result", F.when(h > a, 2).when(h == a, 1).otherwise(0)).withColumn("total_goal_count", h + a)
+            .withColumn("target_over_2_5", F.coalesce((h + a > 2.5).cast("int"), F.lit(0))))
 
 
 def read_closing_odds(spark: SparkSession, paths: str | Sequence[str], name_map: Mapping[str, str], season: Column | None = None) -> DataFrame:
@@ -197,19 +210,83 @@ def read_closing_odds(spark: SparkSession, paths: str | Sequence[str], name_map:
     return named.groupBy("season", "home_team", "away_team").agg(first).select("season", "home_team", "away_team", "r.*")
 
 
+PACKED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"  # Spark's text reader would unpack these
+HASHES = pa.schema([("key", pa.string()), ("sha256", pa.string()), ("sha256_lf", pa.string())])
+
+
+class _Hashes:
+    """Both digests of a file that arrives line by line. The reader drops a byte order mark at the
+    start and doesn't tell whether the last line is ended: the file's size does."""
+
+    def __init__(self, key: str, size: int) -> None:
+        self.key, self.size, self.seen, self.last = key, size, 0, None
+        self.kept = [(hashlib.sha256(mark), hashlib.sha256(mark)) for mark in (b"", codecs.BOM_UTF8)]
+
+    def add(self, line: bytes) -> None:
+        if self.last is not None:
+            self._write(self.last, b"\n")
+        self.last = line
+
+    def _write(self, line: bytes, end: bytes) -> None:
+        self.seen += len(line) + len(end)
+        folded = line[:-1] if end and line.endswith(b"\r") else line
+        for raw, lf in self.kept:
+            raw.update(line + end)
+            lf.update(folded + end)
+
+    def row(self) -> tuple[str, str, str]:
+        rest = self.size - self.seen - len(self.last)  # 0: no line end, 1: one; 3 more with a mark
+        self._write(self.last, b"\n" if rest % 3 == 1 else b"")
+        raw, lf = self.kept[rest >= 3]
+        return self.key, raw.hexdigest(), lf.hexdigest()
+
+
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now = None
+    for batch in batches:
+        out = []
+        for key, size, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if now is None or now.key != key:
+                if now is not None:
+                    out.append(now.row())
+                now = _Hashes(key, size)
+            now.add(line)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out)], schema=HASHES)
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in now.row()], schema=HASHES)
+
+
 def fingerprint_files(spark: SparkSession, path: str | Sequence[str], manifest: DataFrame | None = None) -> DataFrame:
-    """SHA-256 per file, as stored and with CRLF folded to LF, against a manifest (file, sha256)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
-        path if isinstance(path, str) else list(path))
+    """SHA-256 per file, as stored and with CRLF folded to LF, against a manifest (file or path, sha256).
+
+    A digest is sequential, so the lines of a file stream through one task in order and no more
+    than a batch is held; files are spread over the tasks. Packed files are hashed as one value
+    each. Columns: path, file (its last part), length, sha256, sha256_lf.
+    """
+    where = path if isinstance(path, str) else list(path)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where)
+    # a file system without a host is written with one slash or three
+    key = F.regexp_replace("_metadata.file_path", "^([^/]+):///", "$1:/")
+    # a scan passes over files without content: the listing has them
+    names = spark.createDataFrame([(re.sub("^([^/]+):///", r"\1:/", k), unquote(k)) for k in listed.inputFiles()], "key string, path string")
+    every = names.join(listed.select(key.alias("key"), "length"), "key", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
     # ISO-8859-1 maps every byte to one character and back
     latin = "ISO-8859-1"
     folded = F.encode(F.replace(F.decode("content", latin), F.lit("\r\n"), F.lit("\n")), latin)
-    files = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length",
-                       F.sha2("content", 256).alias("sha256"), F.sha2(folded, 256).alias("sha256_lf"))
+    whole = listed.where(F.col("path").rlike(PACKED)).select(key.alias("key"), F.sha2("content", 256).alias("sha256"), F.sha2(folded, 256).alias("sha256_lf"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(where).select(
+        key.alias("key"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    ordered = lines.where(~F.col("key").rlike(PACKED)).repartition("key").sortWithinPartitions("key", "start", "row").select("key", "size", "line")
+    hashed = ordered.mapInArrow(_hash_lines, "key string, sha256 string, sha256_lf string").unionByName(whole)
+    empty = F.lit(hashlib.sha256(b"").hexdigest())
+    files = every.join(hashed, "key", "left").select("path", F.element_at(F.split("path", "/"), -1).alias("file"), "length",
+                                                      *[F.coalesce(c, F.when(F.col("length") == 0, empty)).alias(c) for c in ("sha256", "sha256_lf")])
     if manifest is None:
         return files
-    wanted = manifest.select("file", F.col("sha256").alias("expected"))
-    joined = wanted.join(files, "file", "left")
+    by = "path" if "path" in manifest.columns else "file"
+    joined = manifest.select(by, F.col("sha256").alias("expected")).join(files, by, "left")
     status = (F.when(F.col("sha256").isNull(), "missing").when(F.col("sha256") == F.col("expected"), "same")
               .when(F.col("sha256_lf") == F.col("expected"), "line_endings_only").otherwise("changed"))
     return joined.withColumn("status", status)

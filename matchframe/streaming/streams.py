@@ -9,43 +9,52 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.kernels import KERNELS
+from ..plans.blocks import day_tails, null_safe_join, prior_day_state
 
 FORM_FIELDS = ("points", "gf", "ga")
 
 
-def stream_form(stream: DataFrame, team_col: str = "team", n: int = 10) -> DataFrame:
-    """Means over the team's last n rows of earlier days, emitted before the row is learned.
+def run_stream_form(stream: DataFrame, path: str, checkpoint: str, team_col: str = "team", n: int = 10) -> None:
+    """Means over the team's last n rows of earlier days, written to `path` before the rows are learned.
 
-    State per team: at most n rows of earlier days and n of the current one.
+    Each trigger's rows meet the table of what the teams had before (a team's rows of its last day
+    and the n rows before that day, at most n each) and go through the batch form's day tails, so a
+    team that fills a batch is spread like any other. The table is written per batch beside the
+    checkpoint; a repeated batch starts from the same table and replaces its own output. A row
+    older than its team's last day is an error.
     """
-    out_schema = "match_id long, match_date date, team string, n_prior int, avg_points double, avg_gf double, avg_ga double, win_rate double"
-    state_schema = "days array<int>, ids array<long>, points array<double>, gf array<double>, ga array<double>"
-
-    def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["match_date", "match_id"], kind="stable")
-        history = list(zip(*state.get)) if state.exists else []  # (day, id, points, gf, ga), oldest first
-        out = []
-        for r in rows.itertuples(index=False):
-            day = pd.Timestamp(r.match_date).toordinal()
-            if history and history[-1][0] > day:
-                raise ValueError(f"late row for team {key[0]}: {r.match_date}")
-            prior = [h for h in history if h[0] < day][-n:]
-            k = len(prior)
-            means = [sum(h[i] for h in prior) / k if k else None for i in (2, 3, 4)]
-            wins = sum(h[2] == 3.0 for h in prior) / k if k else None
-            out.append((r.match_id, r.match_date, str(key[0]), k, *means, wins))
-            today = [h for h in history if h[0] == day]
-            history = prior + [*today, (day, r.match_id, float(r.points), float(r.gf), float(r.ga))][-n:]
-        state.update(tuple([h[i] for h in history] for i in range(5)))
-        yield pd.DataFrame(out, columns=["match_id", "match_date", "team", "n_prior", "avg_points", "avg_gf", "avg_ga", "win_rate"])
-
-    rows = stream.select(F.col(team_col).cast("string").alias("team"), "match_id", "match_date", *FORM_FIELDS)
-    return rows.groupBy("team").applyInPandasWithState(update, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    keys, rows_of = ["team"], ["team", "match_id", "match_date", *FORM_FIELDS]
+    means = {"n_prior": (n, F.count(F.lit(1))), "avg_points": (n, F.avg("points")), "avg_gf": (n, F.avg("gf")), "avg_ga": (n, F.avg("ga")),
+             "win_rate": (n, F.avg((F.col("points") == 3).cast("double")))}
+
+    def learn(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        every = batch
+        if batch_id:
+            known = spark.read.parquet(f"{checkpoint}-tails/{batch_id - 1}")
+            last = known.groupBy("team").agg(F.max("match_date").alias("_last"))
+            late = null_safe_join(batch, last, keys).where(F.col("match_date") < F.col("_last")).select("team", "match_date").head()
+            if late:
+                raise ValueError(f"late row for team {late.team}: {late.match_date}")
+            every = known.unionByName(batch)
+        tails = day_tails(every, keys, "match_date", "match_id", n)
+        state = prior_day_state(tails, keys, "match_date", "match_id", means).withColumn("n_prior", F.col("n_prior").cast("int"))
+        null_safe_join(batch.select("team", "match_id", "match_date"), state, [*keys, "match_date"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        ends = null_safe_join(tails, tails.groupBy("team").agg(F.max("match_date").alias("_last")), keys)
+        latest = Window.partitionBy("team").orderBy(F.col("match_date").desc(), F.col("match_id").desc())
+        before = ends.where(F.col("match_date") < F.col("_last")).withColumn("_r", F.row_number().over(latest)).where(F.col("_r") <= n)
+        kept = ends.where(F.col("match_date") == F.col("_last")).select(*rows_of).unionByName(before.select(*rows_of))
+        kept.write.mode("overwrite").parquet(f"{checkpoint}-tails/{batch_id}")
+
+    rows = stream.select(F.col(team_col).cast("string").alias("team"), F.col("match_id").cast("long").alias("match_id"), "match_date",
+                         *[F.col(c).cast("double").alias(c) for c in FORM_FIELDS])
+    query = rows.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def stream_rating(stream: DataFrame, league_col: str = "division", params: Mapping | None = None, kind: str = "pi") -> DataFrame:

@@ -28,6 +28,31 @@ def test_blocks_are_contiguous_and_small(spark):
         assert max(seq.count(b) for b in set(seq)) <= 25
 
 
+def test_clustered_ids_of_a_hot_day_are_cut_evenly(spark):
+    """Nearly all ids of the day lie close together, with a few far away on both sides."""
+    import datetime
+    day = datetime.date(2020, 5, 1)
+    ids = [1, 2, 10 ** 12, 10 ** 12 + 5, *range(5 * 10 ** 8, 5 * 10 ** 8 + 20_000)]
+    rows = [(i, day, "A") for i in ids] + [(10 ** 13 + k, day + datetime.timedelta(days=1 + k % 40), "A") for k in range(2000)]
+    df = spark.createDataFrame(rows, "match_id long, match_date date, home_team string")
+    for per_block in (500, 3000):
+        got = sorted((r.match_date, r.match_id, r._block) for r in B.ordered_blocks(df, ["home_team"], "match_date", "match_id", per_block).collect())
+        blocks = [b for _, _, b in got]
+        assert blocks == sorted(blocks) and len(got) == len(rows)
+        sizes = [blocks.count(b) for b in set(blocks)]
+        assert max(sizes) <= 2.5 * per_block and len(sizes) >= len(rows) / (2.5 * per_block)
+    ranks = {r.match_id: r.row_rank for r in B.dated_rank(df, ["home_team"], "match_date", "match_id", rows_per_block=700).collect()}
+    assert [ranks[i] for _, i, _ in got] == list(range(1, len(rows) + 1))
+
+
+def test_cuts_are_found_in_two_steps(spark):
+    for n in (1, 63, 64, 65, 300):
+        cuts = [10 * k for k in range(1, n + 1)]
+        df = spark.createDataFrame([(v, cuts, cuts[::B.FAN]) for v in (0, 5, 10, 11, 640, 641, 650, 10 * n, 10 * n + 9)], "v long, cuts array<long>, heads array<long>")
+        for r in df.withColumn("k", B._place(F.col("v"), F.col("cuts"), F.col("heads"))).collect():
+            assert r.k == sum(c <= r.v for c in cuts)
+
+
 def test_carry_gives_the_same_window_as_one_partition(spark):
     rows, df = hot(spark)
     for per_block in (7, 10_000):

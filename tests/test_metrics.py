@@ -118,6 +118,23 @@ def test_iid_bootstrap_interval(spark):
     assert r.ci_lower == pytest.approx(x.mean() - 1.96 * se, abs=0.6 * se) and r.ci_upper == pytest.approx(x.mean() + 1.96 * se, abs=0.6 * se)
 
 
+def test_auc_of_a_narrow_band_of_scores(spark):
+    """All scores within a millionth: the one cell they fall into is cut again, and the value is exact."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        p = 0.5 + 1e-6 * rng.randrange(400) / 400
+        rows.append((i, rng.randrange(3), 0.25 + (0.5 - p), p, 0.25))
+    df = spark.createDataFrame(rows, P)
+    got = H.roc_auc(df, scores_per_cell=20).first()
+    for k, c in enumerate(("p_away", "p_draw", "p_home")):
+        pos = [r[2 + k] for r in rows if r[1] == k]
+        neg = [r[2 + k] for r in rows if r[1] != k]
+        wins = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg)
+        assert got[f"auc_{k}"] == pytest.approx(wins / len(pos) / len(neg), abs=1e-12)
+    assert H.roc_auc(df).first() == pytest.approx(got, abs=1e-12)
+
+
 def test_bags_of_rows_give_the_interval_of_the_rows(spark):
     """On a table of ten rows per bag, with heavy tails and nulls, the interval from bags has the
     place and width of the exact one; below the number of bags both are row bootstraps."""

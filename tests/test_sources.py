@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import random
 import re
 
 import pytest
@@ -95,6 +96,28 @@ def test_fingerprints(spark, tmp_path):
     assert got == {"same.csv": "same", "crlf.csv": "line_endings_only", "changed.csv": "changed", "gone.csv": "missing"}
 
 
+def test_fingerprints_of_files_in_many_pieces(spark, tmp_path):
+    """Files that several splits read, with and without a last line end, a byte order mark, lone
+    carriage returns, no line at all, packed; the digests are those of the bytes."""
+    import gzip
+    rng = random.Random(7)
+    big = b"".join(bytes(rng.choices(range(1, 256), k=60)).replace(b"\n", b"") + rng.choice([b"\n", b"\r\n", b"\r"]) for _ in range(8000))
+    bodies = {"big.csv": big, "open.csv": b"a\r\nb", "cr.csv": b"a\r\n\r\nb\r", "mark.csv": b"\xef\xbb\xbfa\r\nb\n", "mark open.csv": b"\xef\xbb\xbfa\nb",
+              "empty.csv": b"", "line.csv": b"\n", "packed.csv.gz": gzip.compress(b"a\r\nb\n")}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = {r.file: r for r in A.fingerprint_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got.keys() == bodies.keys()
+    for name, body in bodies.items():
+        assert got[name].length == len(body), name
+        assert got[name].sha256 == hashlib.sha256(body).hexdigest(), name
+        assert got[name].sha256_lf == hashlib.sha256(body.replace(b"\r\n", b"\n")).hexdigest(), name
+
+
 @pytest.mark.parametrize("fmt", ["csv.gz", "parquet", "json"])
 def test_sinks_round_trip_exactly_and_do_not_overwrite(spark, tmp_path, fmt):
     df = spark.createDataFrame([(1, 0.1 + 0.2), (2, 1 / 3), (3, 5e-324)], "id int, x double")
@@ -141,18 +164,34 @@ def _feed(spark, df, base, cuts):
 CUTS = (("2020-01-01", "2020-03-01"), ("2020-03-01", "2020-06-01"), ("2020-06-01", "2022-01-01"))
 
 
-def test_stream_form_equals_batch(spark, tmp_path):
-    df = spark.createDataFrame(random_matches(80, days=20, seed=4), MATCH_SCHEMA)
+@pytest.mark.parametrize("hot", [False, True])
+def test_stream_form_equals_batch(spark, tmp_path, hot):
+    """Also with one team in most rows of every file and days that go on in the next file."""
+    df = spark.createDataFrame(random_matches(120, days=20, seed=4, hot=hot), MATCH_SCHEMA)
     rows = C.to_team_rows(df).select("team", "match_id", "match_date", "points", "gf", "ga")
-    stream = S.stream_form(_feed(spark, rows, tmp_path, CUTS), n=5)
-    S.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    middle = rows.where("match_date >= '2020-03-01' AND match_date < '2020-06-01'")
+    for part in (rows.where("match_date < '2020-03-01'"), middle.where("match_id % 2 = 0 AND match_date <= '2020-03-04'"), middle.where("NOT (match_id % 2 = 0 AND match_date <= '2020-03-04')"),
+                 rows.where("match_date >= '2020-06-01'")):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    S.run_stream_form(stream, f"{tmp_path}/out", f"{tmp_path}/cp", n=5)
     got = {(r.team, r.match_id): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     batch = {(r.team, r.match_date): r for r in C.prior_day_form(C.to_team_rows(df), (5,)).collect()}
-    assert len(got) == 160
+    assert len(got) == 240
     for (team, _), r in got.items():
         b = batch[(team, r.match_date)]
         assert r.avg_gf == (pytest.approx(b.goals_for_5) if b.goals_for_5 is not None else None)
         assert r.win_rate == (pytest.approx(b.win_rate_5) if b.win_rate_5 is not None else None)
+        assert (r.n_prior == 0) == (b.goals_for_5 is None) and r.n_prior <= 5
+    tail = spark.read.parquet(f"{tmp_path}/cp-tails/3").groupBy("team").count().agg(F.max("count").alias("n")).first()
+    assert tail.n <= 10
+
+
+def test_stream_form_rejects_late_rows(spark, tmp_path):
+    df = spark.createDataFrame(random_matches(60, days=20, seed=4), MATCH_SCHEMA)
+    rows = C.to_team_rows(df).select("team", "match_id", "match_date", "points", "gf", "ga")
+    with pytest.raises(Exception, match="late row"):
+        S.run_stream_form(_feed(spark, rows, tmp_path, CUTS[::-1]), f"{tmp_path}/out", f"{tmp_path}/cp")
 
 
 def test_stream_rating_equals_batch_and_rejects_late_rows(spark, tmp_path):
