@@ -25,6 +25,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def reached(edges: DataFrame) -> DataFrame:
+    """node, root as components() gives them, with one shuffle a round: the labels around a node
+    and its own meet in one aggregation, and the jump to the label's own label reads a written
+    table, which Spark broadcasts where it is small."""
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")))
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"))
+    while True:
+        around = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "root", F.lit(None).cast(labels.schema["root"].dataType).alias("own"))
+        met = around.unionByName(labels.withColumn("own", F.col("root"))).groupBy("node").agg(F.min("root").alias("root"), F.max("own").alias("was"))
+        better = materialize(met)
+        jump = better.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        after = materialize(better.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")))
+        labels = after.select("node", "root")
+        if after.where("root <> was").isEmpty():
+            return labels
+
+
 def settled(links: DataFrame) -> DataFrame:
     """node, root from rows (a, b, split): stars whose centre a is the component's root, but for
     the links of groups that were compared piece by piece (split), whose stars are put together."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize, query, read, whole_text
-from .graph import components, settled
+from .graph import reached, settled
 from .shingle_sets import confirm, set_digest, shingle_set
 
 WIDTH = 4                 # words of a shingle
@@ -76,16 +76,27 @@ def tensor_keys(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.join(both, "digest").select("digest", "label", F.explode(keys).alias("key"))
 
 
-def table_links(keys: DataFrame) -> DataFrame:
-    """a, b: in each table from the least set to the others, where a key has more than one label."""
+def clusters_of(keys: DataFrame) -> DataFrame:
+    """digest, root: what tables hold together, of the keys with more than one label.
+
+    Each set first follows the least set of its tables, one link per set; then only tables that
+    still hold several clusters link these. So a large group costs a few links per set, not one
+    per table.
+    """
     keys = materialize(keys)
     met = keys.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("digest").alias("a")).where("x <> y").select("key", "a")
-    return keys.join(met, "key").where("a <> digest").select("a", F.col("digest").alias("b")).distinct()
+    rows = materialize(keys.join(met, "key").select("key", "digest", "a"))
+    least = materialize(rows.groupBy("digest").agg(F.min("a").alias("a")))
+    near = reached(least.where("a <> digest").select("a", F.col("digest").alias("b"))).withColumnRenamed("node", "digest")
+    near = materialize(least.join(near, "digest", "left").select("digest", F.coalesce("root", "digest").alias("r")))
+    held = rows.select("key", "digest").join(near, "digest").select("key", "r")
+    span = held.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("z")).where("a <> z").select("key", "a")
+    over = reached(held.join(span, "key").where("a <> r").select("a", F.col("r").alias("b")).distinct()).select(F.col("node").alias("r"), F.col("root").alias("top"))
+    return near.join(over, "r", "left").select("digest", F.coalesce("top", "r").alias("root"))
 
 
-def confirmed(docs: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """digest, root: the components, on full sets, of each cluster of candidates."""
-    clusters = components(links).withColumnRenamed("node", "digest")
     clusters = materialize(clusters.join(sets.select("digest", "least", "n"), "digest"))
     return settled(confirm(docs, clusters, WIDTH)).withColumnRenamed("node", "digest")
 
@@ -96,7 +107,7 @@ def joined(first: DataFrame, more: DataFrame) -> DataFrame:
     ends = more.join(of, F.col("digest") == F.col("d"), "left").select("root", F.coalesce("r", "digest").alias("x"))
     # sets that were found together, by the roots that they had
     links = ends.join(of.withColumnsRenamed({"d": "d2", "r": "r2"}), F.col("root") == F.col("d2"), "left").select(F.col("x").alias("a"), F.coalesce("r2", "root").alias("b"))
-    over = components(links.where("a <> b").distinct()).select(F.col("node").alias("n"), F.col("root").alias("top"))
+    over = reached(links.where("a <> b").distinct()).select(F.col("node").alias("n"), F.col("root").alias("top"))
     every = first.select("digest", F.col("root").alias("r")).union(more.join(first.select("digest"), "digest", "left_anti").select("digest", F.col("digest").alias("r")))
     return materialize(every.join(over, F.col("r") == F.col("n"), "left").select("digest", F.coalesce("top", "r").alias("root")))
 
@@ -114,8 +125,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(table.mapInArrow(_sketch, "doc_id long, n long, digest binary, halves array<long>"))
     sets = materialize(sketched.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")))
-    roots = confirmed(table, sets, table_links(diagonal_keys(sets)))
-    roots = joined(roots, confirmed(table, sets, table_links(tensor_keys(sets, roots))))
+    roots = confirmed(table, sets, clusters_of(diagonal_keys(sets)))
+    roots = joined(roots, confirmed(table, sets, clusters_of(tensor_keys(sets, roots))))
     # sets without copies and links keep their own id and are not looked up
     near = sets.select("digest", "least").join(roots, "digest")
     named = near.join(near.groupBy("root").agg(F.min("least").alias("lowest")), "root").select("digest", "lowest")
