@@ -48,7 +48,7 @@ fitted("F2_fit_lr_scaled", FM.fit_lr_scaled, ALL_COLS)
 fitted("F3_fit_lr_l1", FM.fit_lr_l1, ALL_COLS)
 fitted("F4_fit_balanced", FM.fit_balanced, ALL_COLS)
 fitted("F5_fit_forest", lambda t, c: FM.fit_forest(t, c, trees=40, depth=8, leaf=8), ALL_COLS)
-fitted("F6_fit_boosted", lambda t, c: FM.fit_boosted(t, c, rounds=8, depth=3))
+fitted("F6_fit_boosted", lambda t, c: FM.fit_boosted(t, c, rounds=50, depth=3), ALL_COLS)
 fitted("F8_fit_mlp", lambda t, c: FM.fit_mlp(t, c, layers=(32, 16), max_iter=30))
 
 
@@ -103,11 +103,11 @@ def run_model_suite(spark, d):
 LINEAR_SUITE = {"lr": FM.fit_lr, "lr_scaled": FM.fit_lr_scaled, "lr_l1": FM.fit_lr_l1, "lr_balanced": FM.fit_balanced}
 
 
-@query("H15_fit_complexity_suite", f"""SELECT model, CAST(2 AS BIGINT) AS n_fits, {len(ALL_COLS)} AS n_features, CAST({3 * (len(ALL_COLS) + 1)} AS BIGINT) AS n_parameters,
+@query("H15_fit_complexity_suite", f"""SELECT model, CAST(1 AS BIGINT) AS n_fits, {len(ALL_COLS)} AS n_features, CAST({3 * (len(ALL_COLS) + 1)} AS BIGINT) AS n_parameters,
 {r(f"{8 * (4 * len(ALL_COLS) + 3)} AS model_bytes")}, TRUE AS timed FROM (VALUES ('lr'), ('lr_scaled'), ('lr_l1'), ('lr_balanced')) v(model)""")
 def fit_complexity_suite(spark, d):
     """The fit log of a real suite, summed up per model."""
-    _, log = FM.run_model_suite(matrix(spark, d), ALL_COLS, [1999, TEST], LINEAR_SUITE)
+    _, log = FM.run_model_suite(matrix(spark, d), ALL_COLS, [TEST], LINEAR_SUITE)
     out = fit_complexity(FM.suite_log(spark, log))
     return out.select("model", "n_fits", "n_features", "n_parameters", "model_bytes", ((F.col("fit_seconds") > 0) & (F.col("predict_seconds") > 0)).alias("timed"))
 
