@@ -44,6 +44,20 @@ def reached(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def gathered(edges: DataFrame) -> DataFrame:
+    """node, root from many links (a, b) of the same nodes: each node first follows the least node
+    it is linked to, one link per node, and only links that still cross go into a second run."""
+    edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    first = reached(edges.groupBy("b").agg(F.min("a").alias("a")))
+    # a node that follows none and that none follows stands for itself
+    lone = edges.select(F.col("a").alias("node")).distinct().join(first, "node", "left_anti")
+    near = materialize(first.select("node", "root").union(lone.select("node", F.col("node").alias("root"))))
+    of_a, of_b = (near.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
+    crossing = edges.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    over = reached(crossing).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return materialize(near.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
 def settled(links: DataFrame) -> DataFrame:
     """node, root from rows (a, b, split): stars whose centre a is the component's root, but for
     the links of groups that were compared piece by piece (split), whose stars are put together."""

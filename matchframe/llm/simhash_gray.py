@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import by_rows, materialize, query, read, unused, whole_text
-from .graph import components, settled
+from .graph import components, gathered, settled
 from .shingle_sets import confirm, set_digest, shingles, words_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -276,7 +276,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # of the rows of a set the one with the smallest id, ids before none
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("low")
     sets = materialize(marked.groupBy("digest").agg(lowest, F.first("n").alias("n"), F.first("fps").alias("fps")))
-    clusters = components(candidates(sets.select("digest", "fps"))).withColumnRenamed("node", "digest")
+    clusters = gathered(candidates(sets.select("digest", "fps"))).withColumnRenamed("node", "digest")
     clusters = materialize(clusters.join(sets.select("digest", F.col("low.doc_id").alias("least"), "n"), "digest"))
     roots = settled(confirm(table, clusters, WIDTH)).withColumnRenamed("node", "digest")
     alone = sets.join(roots, "digest", "left_anti").select("low")

@@ -174,3 +174,20 @@ def test_a_chain_of_copies_is_one_group(spark):
     want = sorted({c for _, _, c in expected(rows, 5)})
     assert len(want) < 10
     assert sorted(r.doc_id for r in s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_components_in_all_three_ways(spark):
+    """Stars, chains, cliques and lone pairs, against a plain union of the links."""
+    from matchframe.llm import graph
+    rng = random.Random(30)
+    links = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 140)] + [(300 + i, 300 + j) for i in range(8) for j in range(i)]
+    links += [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(90)]
+    links = [(a, b) for a, b in links if a != b]
+    label = {x: x for e in links for x in e}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(links, "a long, b long").distinct()
+    for way in (graph.components, graph.reached, graph.gathered):
+        assert {r.node: r.root for r in way(df).collect()} == label
+        assert way(df.limit(0)).count() == 0
