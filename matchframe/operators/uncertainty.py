@@ -42,7 +42,8 @@ def bootstrap_draws(deltas: DataFrame, cluster: str, metrics: Sequence[str], rep
               .repartition(deltas.sparkSession.sparkContext.defaultParallelism, "_c"))
     ids = F.sequence(F.col("_c") * chunk, F.least(F.col("_c") * chunk + chunk, F.lit(reps)) - 1)
     slots = spread.withColumn("_rep", F.explode(ids)).withColumn("_pick", draw).select("_rep", *keys, "_pick")
-    picked = null_safe_join(slots, ranked.select(*keys, F.col("_slot").alias("_pick"), "_n", *[f"_s_{m}" for m in metrics]),
+    # draws grow from few rows, so their size is estimated far too low: neither side may be broadcast
+    picked = null_safe_join(slots.hint("merge"), ranked.select(*keys, F.col("_slot").alias("_pick"), "_n", *[f"_s_{m}" for m in metrics]),
                             [*keys, "_pick"])
     return picked.groupBy(F.col("_rep").alias("rep")).agg(*[(F.sum(f"_s_{m}") / F.sum("_n")).alias(m) for m in metrics])
 

@@ -108,6 +108,16 @@ def test_bootstrap_draws_whole_clusters_within_strata(spark):
     assert (free.ci95_low, free.ci95_high) == (again.ci95_low, again.ci95_high)
 
 
+def test_bootstrap_draws_are_never_broadcast(spark):
+    """Their size is estimated from the few cluster rows they are made of."""
+    df = spark.range(3000).select(F.expr("date_add(date '2020-01-01', cast(id % 300 as int))").alias("match_date"), (F.col("id") % 3).alias("season"),
+                                  (F.col("id") % 7).cast("double").alias("d_accuracy"))
+    draws = I.bootstrap_draws(df, "match_date", ["d_accuracy"], 400, 1, "season")
+    assert len(draws.collect()) == 400
+    joins = [line for line in draws._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Join" in line and "_pick" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_iid_bootstrap_interval(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0.1, 1, 2000)
