@@ -52,7 +52,7 @@ def shuffle_within(df: DataFrame, cols: Sequence[str], block: Sequence[str] = ("
         return cell_rank(data, block, F.floor(h / HASH_CELL), [h, F.col(id_col)], "_k")
 
     target = numbered(df, "to")
-    source = numbered(df.select(*block, id_col, *cols), "from").select(
+    source = numbered(df.select(*dict.fromkeys([*block, id_col, *cols])), "from").select(
         *block, "_k", *[F.col(c).alias(c + suffix) for c in cols])
     return target.join(source, [*block, "_k"]).drop("_k")
 
@@ -98,11 +98,10 @@ def _importance(model: Fitted, df: DataFrame, groups: Mapping[str, Sequence[int]
     return _ranked(long)
 
 
-def _linear_sums(coef: np.ndarray, intercept: np.ndarray, groups: list[tuple[str, list[int]]]):
-    """Rise of loss and fall of hits per repeat and group, added up over a task's rows (rep, y, x,
-    moved), where `moved` holds the permuted columns of the groups: margins stay, only the changed
-    terms are replaced."""
-    own = sorted({i for _, idx in groups for i in idx})
+def _linear_sums(coef: np.ndarray, own: list[int], groups: list[tuple[str, list[int]]]):
+    """Rise of loss and fall of hits per repeat and group, added up over a task's rows (rep, y,
+    base, x, moved): margins of the row, and its own and the permuted values of the columns `own`.
+    Margins stay, only the changed terms are replaced."""
     at = {i: k for k, i in enumerate(own)}
     single = all(len(idx) == 1 for _, idx in groups)
 
@@ -113,9 +112,8 @@ def _linear_sums(coef: np.ndarray, intercept: np.ndarray, groups: list[tuple[str
             if not n:
                 continue
             rep, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(int) for i in (0, 1))
-            x, moved = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for i in (2, 3))
-            base = x @ coef.T + intercept
-            change = moved - x[:, own]
+            base, x, moved = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for i in (2, 3, 4))
+            change = moved - x
             rows, reps = np.arange(n), [(int(r), rep == r) for r in np.unique(rep)]
 
             def scored(z):
@@ -143,19 +141,24 @@ def _linear_sums(coef: np.ndarray, intercept: np.ndarray, groups: list[tuple[str
 
 def _linear_importance(model: Linear, df: DataFrame, groups: Mapping[str, Sequence[int]], repeats: int, block: Sequence[str], seed: int,
                        global_groups: Sequence[str], y: str) -> DataFrame:
-    """Rows meet their permuted partner once per repeat and are scored for all groups in place."""
-    keys = ["match_id", *block, y]
-    rows = materialize(df.select(*keys, F.array(*model.filled()).alias("x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))))
-    coef, intercept = np.array(model.coef), np.array(model.intercept)
+    """Rows meet their permuted partner once per repeat and are scored for all groups in place.
+
+    Ids alone are permuted; a row's values then travel once per repeat, to the row they replace.
+    """
+    rows = materialize(df.select("match_id", *block, y, F.array(*model.filled()).alias("x"), F.array(*model.margins()).alias("base")))
+    ids = rows.select("match_id", *block).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    coef = np.array(model.coef)
     sums = []
     for part, blocks in (({k: v for k, v in groups.items() if k not in global_groups}, list(block)), ({k: v for k, v in groups.items() if k in global_groups}, [])):
         if not part:
             continue
         own = sorted({i for idx in part.values() for i in idx})
-        moved = rows.withColumn("v", F.array(*[F.col("x")[i] for i in own]) if len(own) < len(model.cols) else F.col("x"))
-        both = shuffle_within(moved, ["v"], ["rep", *blocks], F.lit(seed) + F.col("rep"))
-        run = _linear_sums(coef, intercept, [(k, list(v)) for k, v in part.items()])
-        sums.append(both.select("rep", y, "x", "v_shuffled").mapInArrow(run, "rep int, feature string, n double, rise double, fall double"))
+        values = F.col("x") if len(own) == len(model.cols) else F.array(*[F.col("x")[i] for i in own])
+        pairs = shuffle_within(ids.select("match_id", "rep", *blocks), ["match_id"], ["rep", *blocks], F.lit(seed) + F.col("rep")).select("rep", "match_id", F.col("match_id_shuffled").alias("_from"))
+        moved = pairs.join(rows.select(F.col("match_id").alias("_from"), values.alias("v")), "_from").select("rep", "match_id", "v")
+        both = moved.join(rows.select("match_id", y, "base", values.alias("x")), "match_id")
+        run = _linear_sums(coef, own, [(k, list(v)) for k, v in part.items()])
+        sums.append(both.select("rep", y, "base", "x", "v").mapInArrow(run, "rep int, feature string, n double, rise double, fall double"))
     long = sums[0]
     for other in sums[1:]:
         long = long.unionByName(other)

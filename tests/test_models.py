@@ -203,6 +203,16 @@ def test_importance_finds_the_informative_column(data):
     assert J.permutation_importance(forest, data, repeats=2).first().permutation_logloss_mean is not None
 
 
+def test_importance_writes_rows_once_and_permutes_ids_alone(data, monkeypatch):
+    written, numbered = [], []
+    keep, permute = J.materialize, J.shuffle_within
+    monkeypatch.setattr(J, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(J, "shuffle_within", lambda df, *a, **kw: numbered.append(df.columns) or permute(df, *a, **kw))
+    J.permutation_importance(FM.fit_lr(data, ["a", "b"]), data, repeats=4).collect()
+    assert [df.count() for df in written] == [data.count()]
+    assert numbered == [["match_id", "rep", "division"]]
+
+
 def test_importance_of_a_linear_model_is_that_of_scoring_permuted_rows(data):
     """Replaced margins give what scoring every permuted copy of the rows gives."""
     model, repeats = FM.fit_lr(data, ["a", "b"]), 2
