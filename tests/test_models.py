@@ -203,6 +203,13 @@ def test_importance_finds_the_informative_column(data):
     assert J.permutation_importance(forest, data, repeats=2).first().permutation_logloss_mean is not None
 
 
+def test_class_weights_need_no_join(data):
+    got = FM.with_class_weights(data)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = data.join(FM.class_weights(data).drop("n_class"), "y")
+    assert sorted(map(tuple, got.select("match_id", "class_weight").collect())) == sorted(map(tuple, want.select("match_id", "class_weight").collect()))
+
+
 def test_importance_writes_rows_once_and_permutes_ids_alone(data, monkeypatch):
     written, numbered = [], []
     keep, permute = J.materialize, J.shuffle_within
