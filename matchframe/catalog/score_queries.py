@@ -107,7 +107,8 @@ RW = with_(MATCHES, PREDS, TEAM_ROWS, RATES, grid_sql(), M1, REWEIGHT)
 
 def reweighted(spark, d):
     q = views.preds(matches(spark, d)).where("model = 'm1'").select("match_id", "p_away", "p_draw", "p_home")
-    g = G.grid_to_outcome(G.score_grid_fixed(rates(spark, d))).join(q, "match_id")
+    # joined before the grids are made: rates are narrow, grids are not shuffled
+    g = G.grid_to_outcome(G.score_grid_fixed(rates(spark, d).join(q, "match_id")))
     return G.reweight_grid(g, out="fused")
 
 

@@ -141,3 +141,10 @@ def test_missing_rate_gives_nulls(spark):
     for c in ("grid", "s_away", "s_draw", "s_home", "expected_home_goals", "true_score_nll", "true_score_probability",
               "mode_home_goals", "exact_score_hit", "actual_outside_grid"):
         assert out[0][c] is None and out[1][c] is not None
+
+
+def test_grids_are_made_after_the_join_of_their_probabilities(spark):
+    from matchframe.catalog.score_queries import reweighted
+    plan = reweighted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan
+    assert plan.rindex("ArrowEvalPython") < plan.index("Join")
