@@ -183,3 +183,10 @@ def test_season_ratings_without_goals(spark):
         df = df.selectExpr("*", f"CAST(NULL AS DOUBLE) AS {c}")
     got = {(r.season, r.team): (r.attack, r.defence) for r in H.season_ratings(df).collect()}
     assert got == {(2001, "A"): (2 / 3, 1.0), (2001, "B"): (1 / 3, 1.0), (2002, "A"): (1.0, 1.0), (2002, "B"): (1.0, 1.0), (2003, "A"): (1.0, 1.0), (2003, "B"): (1.0, 1.0)}
+
+
+def test_division_means_reach_rows_without_dealing_them_by_division(small):
+    from matchframe.operators import history
+    out = history.league_relative(small, ["home_goals"], "full")
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and all("broadcast" in line for line in joins)
