@@ -203,6 +203,23 @@ def test_importance_finds_the_informative_column(data):
     assert J.permutation_importance(forest, data, repeats=2).first().permutation_logloss_mean is not None
 
 
+def test_moments_of_columns_come_from_one_scan_without_aggregates(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    from matchframe.operators import newton
+    rng = np.random.default_rng(4)
+    rows = [(int(s) if s else None, float(a) if a > -1 else None, 1e6 + float(b), 7.25, None) for s, a, b in zip(rng.integers(0, 4, 500), rng.normal(size=500), rng.normal(size=500))]
+    df = spark.createDataFrame(rows, "season int, a double, b double, c double, d double").repartition(5)
+    want = {r.season: r for r in df.groupBy("season").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate("abcd") for k, f in (("c", F.count), ("m", F.avg), ("v", F.var_pop))]).collect()}
+    monkeypatch.setattr(DataFrame, "groupBy", None)
+    got = {r["season"]: r for r in newton._moments(df, list("abcd"), "season")}
+    assert set(got) == set(want) and None in got
+    for s, w in want.items():
+        assert got[s]["n"] == w.n
+        for i in range(4):
+            assert got[s][f"c{i}"] == w[f"c{i}"]
+            assert not w[f"c{i}"] or (got[s][f"m{i}"], got[s][f"v{i}"]) == pytest.approx((w[f"m{i}"], w[f"v{i}"]), rel=1e-9)
+
+
 def test_class_weights_need_no_join(data):
     got = FM.with_class_weights(data)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
