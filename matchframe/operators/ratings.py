@@ -1,8 +1,9 @@
 """Sequential ratings as keyed folds.
 
-A rating update couples all teams of a league, so a league's matches have an
-order that cannot be parallelised. What can be: leagues and parameter sets run
-side by side, and a long league is cut into blocks of `rows_per_block` matches.
+A rating update couples two teams of a league, so a match waits for its teams'
+earlier matches. Within a block, matches without a common team are one array step
+for a few parameter sets (`kernels`). Leagues and groups of parameter sets run side by
+side, and a long league is cut into blocks of `rows_per_block` matches.
 Each round folds one block of every league; the team states go from round to
 round through the shared scratch folder, so no task ever holds more than a block
 and a lost executor costs one block.
@@ -14,15 +15,18 @@ import itertools
 import random
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import KERNELS
+from ..functions.kernels import KERNELS, WAVES
 from ..plans.blocks import ordered_blocks
-from ..plans.session import materialize
+from ..plans.session import materialize, scratch_dir
 
 RATING_BLOCK = 200_000
+SETS_PER_TASK = 4  # of a search; they share a task's array steps
+NO_DAY = -2**31   # a missing date comes first, as in the blocks' order
 SCHEMA = ("tag string, league string, param_id int, match_id long, match_date date, y int, home_team string, "
           "away_team string, learned boolean, team string, vals array<double>")
 # search grids (fixed values)
@@ -43,35 +47,74 @@ POISSON_GRID = {
 }
 
 
-def _folder(kind: str, params: Sequence[Mapping]):
-    """The per-(league, parameter set, block) function for cogrouped frames."""
-    table = {i: dict(p) for i, p in enumerate(params)}
+def _folder(kind: str, params: Sequence[Mapping], losses: bool):
+    """The per-(league, part of the parameter sets, block) function for cogrouped frames."""
+    table = [dict(p) for p in params]
+    size = SETS_PER_TASK if losses else 1
 
     def fold(key, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        league, param_id = key
-        kernel = KERNELS[kind](table[int(param_id)])
-        teams = {t: list(v) for t, v in zip(state["team"], state["vals"])}
-        rows = rows.sort_values(["match_date", "match_id"], kind="stable")
+        league, part = key
+        first = int(part) * size
+        sets = table[first:first + size]
+        ids = range(first, first + len(sets))
+        wave = WAVES[kind](sets)
+        rows = rows.sort_values(["_day", "match_id"], kind="stable")
+        n = len(rows)
+        codes, names = pd.factorize(np.concatenate([state["team"].to_numpy(object), rows["home_team"].to_numpy(object), rows["away_team"].to_numpy(object)]),
+                                    use_na_sentinel=False)
+        known, home, away = np.split(codes, [len(state), len(state) + n])
+        # width numbers per team and set, and games per team
+        vals = np.repeat(wave.new_team()[:, None], len(names), axis=1)
+        games = np.zeros(len(names))
+        if len(state):
+            before = np.stack(state["vals"].to_numpy())
+            vals[:, known, state["param_id"].to_numpy() - first] = before[:, :-1].T
+            games[known] = before[:, -1]
+        learn = rows["learn"].to_numpy(bool)
         out = []
-        for m in rows.itertuples(index=False):
-            for t in (m.home_team, m.away_team):
-                if t not in teams:
-                    teams[t] = kernel.new_team()
-            vals = kernel.step(teams[m.home_team], teams[m.away_team], m.home_goals, m.away_goals, bool(m.learn))
-            out.append(("match", league, param_id, m.match_id, m.match_date, m.y, m.home_team, m.away_team, bool(m.learn), None, vals))
-        out += [("team", league, param_id, None, None, None, None, None, None, t, v) for t, v in teams.items()]
-        frame = pd.DataFrame(out, columns=["tag", "league", "param_id", "match_id", "match_date", "y", "home_team", "away_team",
-                                           "learned", "team", "vals"])
-        return frame.astype({"match_id": "Int64", "y": "Int32", "learned": "boolean", "param_id": "int32"})
+        if n:
+            y = rows["y"].to_numpy(np.int64)
+            seen = wave.fold(vals, home, away, rows["home_goals"].to_numpy(float), rows["away_goals"].to_numpy(float), y, learn)
+            p = wave.probabilities(seen)
+            if losses:
+                nll = -np.log(np.choose(y[:, None], p)).sum(axis=0)
+                out.append(pd.DataFrame({"tag": "loss", "param_id": list(ids), "vals": [[float(n), v] for v in nll.tolist()]}))
+            else:
+                more = wave.details(seen)
+                if kind == "poisson":
+                    played = _games_before(games, home, away, learn)
+                    more = np.concatenate([more, np.repeat(played[:, :, None], len(sets), axis=2)])
+                values = np.concatenate([p, more])
+                shown = rows[["match_id", "match_date", "y", "home_team", "away_team"]].assign(tag="match", learned=learn)
+                out += [shown.assign(param_id=i, vals=list(np.ascontiguousarray(values[:, :, k].T))) for k, i in enumerate(ids)]
+        games += np.bincount(np.concatenate([home[learn], away[learn]]), minlength=len(names))
+        teams = [None if pd.isna(t) else t for t in names]
+        out += [pd.DataFrame({"tag": "team", "param_id": i, "team": teams, "vals": list(np.column_stack([vals[:, :, k].T, games]))}) for k, i in enumerate(ids)]
+        frame = pd.concat([f.astype({"param_id": "int32"}) for f in out]).assign(league=league)
+        frame = frame.reindex(columns=["tag", "league", "param_id", "match_id", "match_date", "y", "home_team", "away_team", "learned", "team", "vals"])
+        for c in ("match_date", "home_team", "away_team", "team"):
+            frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
+        return frame.astype({"match_id": "Int64", "y": "Int32", "learned": "boolean"})
 
     return fold
 
 
+def _games_before(games: np.ndarray, home: np.ndarray, away: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """Games that the home and the away team of each match, given in order, had learned from."""
+    sides = pd.Series(np.repeat(learn, 2).astype(float))
+    at = np.column_stack([home, away])
+    before = (sides.groupby(at.ravel()).cumsum() - sides).to_numpy().reshape(-1, 2) + games[at]
+    before[home == away, 1] = before[home == away, 0]
+    return before.T
+
+
 def fold_matches(matches: DataFrame, params: Sequence[Mapping], kind: str = "pi", league_col: str = "division",
-                 cut_date: str | None = None, update: bool = True, rows_per_block: int = RATING_BLOCK) -> DataFrame:
+                 cut_date: str | None = None, update: bool = True, rows_per_block: int = RATING_BLOCK, losses: bool = False) -> DataFrame:
     """Match and team rows of every (league, parameter set).
 
     With a cut date and update=False, matches from that date on are predicted with frozen ratings.
+    With losses=True a block's match rows are added up in its task: one row (matches, negative log
+    likelihood) per league, block and set takes their place.
     """
     spark = matches.sparkSession
     learn = F.lit(True) if update or cut_date is None else F.col("match_date") < F.lit(cut_date).cast("date")
@@ -80,25 +123,25 @@ def fold_matches(matches: DataFrame, params: Sequence[Mapping], kind: str = "pi"
         F.col("away_team").cast("string").alias("away_team"), F.col("home_goals").cast("double").alias("home_goals"),
         F.col("away_goals").cast("double").alias("away_goals"),
         F.when(F.col("home_goals") > F.col("away_goals"), 2).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(0).alias("y"),
-        learn.alias("learn"))
-    blocked = materialize(ordered_blocks(rows, ["league"], "match_date", "match_id", rows_per_block))
+        F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.unix_date(F.col("match_date").cast("date")), F.lit(NO_DAY)).alias("_day"))
+    # a round reads its own block's files
+    blocked = ordered_blocks(rows, ["league"], "match_date", "match_id", rows_per_block).repartition("league", "_block")
+    blocked = materialize(blocked, "_block")
     rounds = (blocked.agg(F.max("_block")).first()[0] or 0) + 1
-    ids = F.explode(F.array(*[F.lit(i) for i in range(len(params))]))
+    size = SETS_PER_TASK if losses else 1
+    parts = F.explode(F.array(*[F.lit(i) for i in range(-(-len(params) // size))]))
+    unused = ["_block", *(["match_date"] if losses else [])]
     state = spark.createDataFrame([], SCHEMA)
-    fold = _folder(kind, params)
-    parts = []
-    for r in range(rounds):
-        block = blocked.where(F.col("_block") == r).drop("_block").withColumn("param_id", ids)
-        done = (block.groupBy("league", "param_id").cogroup(state.where("tag = 'team'").groupBy("league", "param_id"))
-                .applyInPandas(fold, SCHEMA))
-        done = materialize(done)
-        state = done
-        parts.append(done.where("tag = 'match'"))
-    parts.append(state.where("tag = 'team'"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    fold = _folder(kind, params, losses)
+    base = scratch_dir(spark)
+    folders = [f"{base}/{r}" for r in range(rounds)]
+    for r, folder in enumerate(folders):
+        block = blocked.where(F.col("_block") == r).drop(*unused).withColumn("_part", parts)
+        before = state.where("tag = 'team'").withColumn("_part", F.floor(F.col("param_id") / size).cast("int"))
+        block.groupBy("league", "_part").cogroup(before.groupBy("league", "_part")).applyInPandas(fold, SCHEMA).write.parquet(folder)
+        state = spark.read.schema(SCHEMA).parquet(folder)
+    # every round's match or loss rows, and the last round's teams
+    return spark.read.schema(SCHEMA).parquet(*folders).where("tag <> 'team'").unionByName(state.where("tag = 'team'"))
 
 
 def _history(folded: DataFrame, kind: str) -> DataFrame:
@@ -141,9 +184,8 @@ def full_grid(grid: Mapping[str, Sequence[float]]) -> list[dict]:
 
 def rating_search(matches: DataFrame, params: Sequence[Mapping], kind: str = "pi", league_col: str = "division", **kw) -> DataFrame:
     """Walk-forward negative log likelihood per parameter set; `best` marks the smallest."""
-    h = _history(fold_matches(matches, params, kind, league_col, **kw), kind)
-    p = F.when(F.col("y") == 2, F.col("p_home")).when(F.col("y") == 1, F.col("p_draw")).otherwise(F.col("p_away"))
-    nll = h.groupBy("param_id").agg(F.count(F.lit(1)).alias("n"), F.sum(-F.ln(F.greatest(p, F.lit(1e-15)))).alias("nll"))
+    losses = fold_matches(matches, params, kind, league_col, losses=True, **kw).where("tag = 'loss'")
+    nll = losses.groupBy("param_id").agg(F.sum(F.col("vals")[0]).cast("long").alias("n"), F.sum(F.col("vals")[1]).alias("nll"))
     # one row per parameter set
     return nll.withColumn("best", (F.row_number().over(Window.orderBy("nll", "param_id")) == 1).cast("int"))
 

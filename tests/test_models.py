@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import MATCH_SCHEMA, random_matches
 from matchframe.functions import scalars as S
-from matchframe.functions.kernels import PiKernel, PoissonKernel
+from matchframe.functions.kernels import PiKernel, PoissonKernel, deal_waves
 from matchframe.operators import models as FM
 from matchframe.operators import ratings as R
 from matchframe.operators import selection as J
@@ -346,3 +346,53 @@ def test_rating_search_scores_every_set(small):
     assert len(R.full_grid({"a": (1, 2), "b": (3, 4, 5)})) == 6
     picks = R.sample_params(R.PI_GRID, 20)
     assert len({tuple(p.items()) for p in picks}) == 20 and picks == R.sample_params(R.PI_GRID, 20)
+
+
+@pytest.mark.parametrize("kind,kernel,sets", [("pi", PiKernel, [{"pi": v} for v in (0.001, 0.01, 0.05, 0.1, 0.3)] + [{"delta": 0.8}]),
+                                              ("poisson", PoissonKernel, [{"learning_rate": v} for v in (0.01, 0.05, 0.1)] + [{"rho": 0.0}, {"max_goals": 5}])])
+def test_rating_search_adds_losses_inside_tasks(spark, kind, kernel, sets):
+    """One row per league, block and set leaves a task, not one per match; sums equal a plain pass per set."""
+    rows = random_matches(150, seed=9, hot=True)
+    df = spark.createDataFrame(rows, MATCH_SCHEMA)
+    folded = R.fold_matches(df, sets, kind, rows_per_block=30, losses=True)
+    assert {r.tag for r in folded.select("tag").distinct().collect()} == {"loss", "team"}
+    got = {r.param_id: (r.n, r.nll) for r in R.rating_search(df, sets, kind, rows_per_block=30).collect()}
+    for i, s in enumerate(sets):
+        seen, _ = plain_fold(rows, kernel(s))
+        assert got[i] == (150, pytest.approx(sum(-math.log(seen[r[0]][2 if r[7] > r[8] else 1 if r[7] == r[8] else 0]) for r in rows)))
+
+
+def test_waves_hold_a_team_once_and_keep_its_order():
+    rng = np.random.default_rng(3)
+    home, away = rng.integers(0, 12, 400), rng.integers(0, 12, 400)
+    wave = deal_waves(home, away, 12)
+    last = {}
+    for h, a, w in zip(home, away, wave):
+        assert w == max(last.get(h, -1), last.get(a, -1)) + 1
+        last[h] = last[a] = w
+    assert wave.max() < 200
+
+
+def test_games_are_counted_before_each_match(spark):
+    rows = random_matches(90, seed=2, hot=True)
+    want, _ = plain_fold(rows, PoissonKernel({}))
+    got = R.poisson_rating(spark.createDataFrame(rows, MATCH_SCHEMA), rows_per_block=20).collect()
+    assert len(got) == 90
+    for r in got:
+        assert [r.lambda_home, r.lambda_away, r.home_games, r.away_games] == pytest.approx(want[r.match_id][3:7])
+
+
+def test_diverging_ratings_keep_probabilities(spark):
+    """With such a step, goal rates pass 1,000 within a few matches; the grid's mass was zero and the fold failed."""
+    rows = [(i, *r[1:7], 9 * (1 + i % 7), *r[8:]) for i, r in enumerate(random_matches(80, seed=5))]
+    df = spark.createDataFrame(rows, MATCH_SCHEMA)
+    sets = [{"learning_rate": 0.5}, {"learning_rate": 0.5, "rho": 0.0}]
+    out = R.poisson_rating(df, sets).collect()
+    assert max(r.lambda_home for r in out) > 1000
+    assert all(0 < p < 1 for r in out for p in (r.p_away, r.p_draw, r.p_home))
+    scaled = [r for r in out if r.param_id == 0]
+    assert all(r.p_away + r.p_draw + r.p_home == pytest.approx(1) for r in scaled)
+    want, _ = plain_fold(rows, PoissonKernel(sets[0]))
+    assert all([r.p_away, r.p_draw, r.p_home] == pytest.approx(want[r.match_id][:3], abs=1e-9) for r in scaled)
+    k = PoissonKernel({})
+    assert k.outcome(900.0, 1.0)[2] == pytest.approx(1, abs=1e-3) and k.outcome(0.0, 1.0)[2] < 0.01
