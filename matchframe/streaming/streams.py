@@ -1,7 +1,7 @@
 """Online forms of the history, rating and accuracy operators.
 
 Order defines the result of the two stateful jobs, so their input must arrive in
-date order (one file per trigger); a row older than its key's last day is an error.
+date order (each trigger's files none older than the last one's); a row older than its key's last day is an error.
 """
 
 from __future__ import annotations
@@ -22,28 +22,35 @@ FORM_FIELDS = ("points", "gf", "ga")
 def run_stream_form(stream: DataFrame, path: str, checkpoint: str, team_col: str = "team", n: int = 10) -> None:
     """Means over the team's last n rows of earlier days, written to `path` before the rows are learned.
 
-    Each trigger's rows meet the table of what the teams had before (a team's rows of its last day
-    and the n rows before that day, at most n each) and go through the batch form's day tails, so a
-    team that fills a batch is spread like any other. The table is written per batch beside the
-    checkpoint; a repeated batch starts from the same table and replaces its own output. A row
-    older than its team's last day is an error.
+    Each trigger's rows go through the batch form's day tails, so a team that fills a batch is spread
+    like any other, and the tails meet the table of what the teams had before (a team's rows of its
+    last day and the n rows before that day, at most n each). A batch is read twice, for its tails and
+    for its output; tails and state are small and written beside the checkpoint like the table, so that
+    their size is known where they are joined. A repeated batch starts from the same table and replaces
+    its own output. A row older than its team's last day is an error.
     """
     keys, rows_of = ["team"], ["team", "match_id", "match_date", *FORM_FIELDS]
     means = {"n_prior": (n, F.count(F.lit(1))), "avg_points": (n, F.avg("points")), "avg_gf": (n, F.avg("gf")), "avg_ga": (n, F.avg("ga")),
              "win_rate": (n, F.avg((F.col("points") == 3).cast("double")))}
 
+    def keep(df: DataFrame, folder: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(folder)
+        return df.sparkSession.read.schema(df.schema).parquet(folder)
+
     def learn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        every = batch
+        # at most n rows per team and day, and one for every team and day of the batch
+        own = every = keep(day_tails(batch, keys, "match_date", "match_id", n).select(*rows_of), f"{checkpoint}-days/{batch_id}")
         if batch_id:
             known = spark.read.parquet(f"{checkpoint}-tails/{batch_id - 1}")
             last = known.groupBy("team").agg(F.max("match_date").alias("_last"))
-            late = null_safe_join(batch, last, keys).where(F.col("match_date") < F.col("_last")).select("team", "match_date").head()
+            late = null_safe_join(own, last, keys).where(F.col("match_date") < F.col("_last")).select("team", "match_date").head()
             if late:
                 raise ValueError(f"late row for team {late.team}: {late.match_date}")
-            every = known.unionByName(batch)
+            every = known.unionByName(own)
         tails = day_tails(every, keys, "match_date", "match_id", n)
         state = prior_day_state(tails, keys, "match_date", "match_id", means).withColumn("n_prior", F.col("n_prior").cast("int"))
+        state = keep(state, f"{checkpoint}-before/{batch_id}")
         null_safe_join(batch.select("team", "match_id", "match_date"), state, [*keys, "match_date"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         ends = null_safe_join(tails, tails.groupBy("team").agg(F.max("match_date").alias("_last")), keys)
         latest = Window.partitionBy("team").orderBy(F.col("match_date").desc(), F.col("match_id").desc())

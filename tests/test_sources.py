@@ -187,6 +187,29 @@ def test_stream_form_equals_batch(spark, tmp_path, hot):
     assert tail.n <= 10
 
 
+def test_seasons_land_in_many_files_and_one_trigger_each(spark, tmp_path):
+    """No season goes through one task, and each trigger takes all files of its season."""
+    from matchframe.catalog import model_queries as Q
+    df = spark.createDataFrame(random_matches(120, days=20, seed=4), MATCH_SCHEMA)
+    rows = C.to_team_rows(df).select("team", "match_id", "match_date", "points", "gf", "ga").withColumn("season", F.month("match_date")).repartition(4).cache()
+    before, months = 0, 0
+    for _ in Q._land_seasons(rows, f"{tmp_path}/in"):
+        S.run_stream_form(Q._stream(rows, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", n=5)
+        files = len(list((tmp_path / "in").glob("*.parquet")))
+        assert files - before > 1
+        before, months = files, months + 1
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert months > 3 and out.select("batch").distinct().count() == months
+    batch = {(r.team, r.match_date): r.goals_for_5 for r in C.prior_day_form(C.to_team_rows(df), (5,)).collect()}
+    got = out.collect()
+    assert len(got) == 240
+    for r in got:
+        assert r.avg_gf == (pytest.approx(batch[r.team, r.match_date]) if batch[r.team, r.match_date] is not None else None)
+    # what a batch keeps of itself are day tails
+    kept = spark.read.parquet(f"{tmp_path}/cp-days/0").groupBy("team", "match_date").count()
+    assert kept.agg(F.max("count")).first()[0] <= 5
+
+
 def test_stream_form_rejects_late_rows(spark, tmp_path):
     df = spark.createDataFrame(random_matches(60, days=20, seed=4), MATCH_SCHEMA)
     rows = C.to_team_rows(df).select("team", "match_id", "match_date", "points", "gf", "ga")
