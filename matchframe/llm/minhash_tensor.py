@@ -57,47 +57,56 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def diagonal_keys(sets: DataFrame) -> DataFrame:
-    """digest, label, key: one row per diagonal table."""
-    return sets.select("digest", F.xxhash64("digest").alias("label"), F.explode(F.expr(f"transform(sequence(0, {HALVES - 1}), i -> xxhash64(halves[i], halves[i + {HALVES}]))")).alias("key"))
+    """key, who: one row per diagonal table; who has the set's label and id."""
+    keys = F.expr(f"transform(sequence(0, {HALVES - 1}), i -> xxhash64(halves[i], halves[i + {HALVES}]))")
+    return sets.select(F.explode(keys).alias("key"), F.struct(F.col("id").alias("label"), "id").alias("who"))
 
 
 def tensor_keys(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """digest, label, key: one row per table in which a set may meet one of another component.
+    """key, who: one row per table in which a set may meet one of another component.
     roots: digest, root of the sets that have links."""
-    labelled = sets.join(roots, "digest", "left").select("digest", "halves", F.xxhash64(F.coalesce("root", "digest")).alias("label"))
-    half = labelled.select("digest", "label", F.posexplode("halves").alias("k", "h"))
-    shared = half.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    bits = half.join(shared, "h", "left_semi").groupBy("digest").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("bits"))
-    both = bits.where((F.col("bits") % (1 << HALVES) > 0) & (F.col("bits") >= 1 << HALVES))
+    label = F.xxhash64(F.coalesce("root", "digest")).alias("label")
+    # a half's number takes the place of its five highest bits
+    halves = F.expr("transform(halves, (h, k) -> shiftleft(h, 5) | k)")
+    half = sets.join(roots, "digest", "left").select(F.explode(halves).alias("key"), F.struct(label, "id").alias("who"))
+    shared = meeting(half).groupBy("who").agg(F.collect_list("key").alias("halves"))
+    first, second = (f"filter(halves, h -> (h & 31) {side} {HALVES})" for side in ("<", ">="))
+    keys = F.expr(f"flatten(transform({first}, i -> transform({second}, j -> xxhash64(i, j))))")
+    return shared.select(F.explode(keys).alias("key"), "who")
 
-    def equal(start):
-        return f"filter(sequence({start}, {start + HALVES - 1}), k -> (shiftright(bits, k) & 1) = 1)"
-    keys = F.expr(f"flatten(transform({equal(0)}, i -> transform({equal(HALVES)}, j -> xxhash64(halves[i], halves[j]))))")
-    return labelled.join(both, "digest").select("digest", "label", F.explode(keys).alias("key"))
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """key, who, a: the rows whose key has more than one label, with the id of one of them.
+
+    Rows are dealt by key once: the least and the greatest of a key are taken and looked up where
+    its rows are. Both sides need both columns, so Spark makes one exchange for the two.
+    """
+    dealt = rows.repartition("key")
+    ends = dealt.groupBy("key").agg(F.min("who").alias("x"), F.max("who").alias("y"))
+    other = F.expr("who.label <> x.label OR who.label <> y.label")
+    return dealt.join(ends, "key").where(other).select("key", "who", F.col("x.id").alias("a"))
 
 
 def clusters_of(keys: DataFrame) -> DataFrame:
-    """digest, root: what tables hold together, of the keys with more than one label.
+    """id, root: what tables hold together, of the keys with more than one label.
 
-    Each set first follows the least set of its tables, one link per set; then only tables that
-    still hold several clusters link these. So a large group costs a few links per set, not one
-    per table.
+    Each set first follows one set of each of its tables, the least of these, so one link per set;
+    then only tables that still hold several clusters link these. So a large group costs a few
+    links per set, not one per table.
     """
-    keys = materialize(keys)
-    met = keys.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("digest").alias("a")).where("x <> y").select("key", "a")
-    rows = materialize(keys.join(met, "key").select("key", "digest", "a"))
-    least = materialize(rows.groupBy("digest").agg(F.min("a").alias("a")))
-    near = reached(least.where("a <> digest").select("a", F.col("digest").alias("b"))).withColumnRenamed("node", "digest")
-    near = materialize(least.join(near, "digest", "left").select("digest", F.coalesce("root", "digest").alias("r")))
-    held = rows.select("key", "digest").join(near, "digest").select("key", "r")
+    rows = materialize(meeting(keys).select("key", F.col("who.id").alias("id"), "a"))
+    least = materialize(rows.groupBy("id").agg(F.min("a").alias("a")))
+    near = reached(least.where("a <> id").select("a", F.col("id").alias("b"))).withColumnRenamed("node", "id")
+    near = materialize(least.join(near, "id", "left").select("id", F.coalesce("root", "id").alias("r")))
+    held = rows.select("key", "id").join(near, "id").select("key", "r")
     span = held.groupBy("key").agg(F.min("r").alias("a"), F.max("r").alias("z")).where("a <> z").select("key", "a")
     over = reached(held.join(span, "key").where("a <> r").select("a", F.col("r").alias("b")).distinct()).select(F.col("node").alias("r"), F.col("root").alias("top"))
-    return near.join(over, "r", "left").select("digest", F.coalesce("top", "r").alias("root"))
+    return near.join(over, "r", "left").select("id", F.coalesce("top", "r").alias("root"))
 
 
 def confirmed(docs: DataFrame, sets: DataFrame, clusters: DataFrame) -> DataFrame:
     """digest, root: the components, on full sets, of each cluster of candidates."""
-    clusters = materialize(clusters.join(sets.select("digest", "least", "n"), "digest"))
+    clusters = materialize(clusters.join(sets.select("id", "digest", "least", "n"), "id").drop("id"))
     return settled(confirm(docs, clusters, WIDTH)).withColumnRenamed("node", "digest")
 
 
@@ -125,6 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = materialize(table.mapInArrow(_sketch, "doc_id long, n long, digest binary, halves array<long>"))
     sets = materialize(sketched.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")))
+    sets = sets.withColumn("id", F.xxhash64("digest"))
     roots = confirmed(table, sets, clusters_of(diagonal_keys(sets)))
     roots = joined(roots, confirmed(table, sets, clusters_of(tensor_keys(sets, roots))))
     # sets without copies and links keep their own id and are not looked up

@@ -46,17 +46,28 @@ def set_digest(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-SETS = pa.schema([("digest", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+KEYED = pa.schema([("digest", pa.binary()), ("text", pa.string())])
+
+
+def _keyed(width: int):
+    """digest, text from text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [set_digest(shingle_set(t, width)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).cast(pa.string())], schema=KEYED)
+    return run
 
 
 def _sets(width: int):
+    """text, shingles instead of text, which follows chunks: a set that several tasks need is made
+    here and its text is dropped, any other is left to its task, as its text takes less room."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
-            if found:
-                lengths = np.cumsum([0, *map(len, found)])
-                lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([set_digest(f) for f in found], pa.binary()), lists], schema=SETS)
+            texts, many = batch.column(batch.num_columns - 1).to_pylist(), [c > 1 for c in batch.column(batch.num_columns - 2).to_pylist()]
+            found = [shingle_set(t, width).view(np.int64) if m else None for t, m in zip(texts, many)]
+            texts = pa.array([None if m else t for t, m in zip(texts, many)], pa.string())
+            names = [*batch.schema.names, "shingles"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts, pa.array(found, pa.list_(pa.int64()))], names=names)
     return run
 
 
@@ -94,7 +105,7 @@ def linked(sets: list[np.ndarray], share: int = SHARE) -> np.ndarray:
 EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("split", pa.bool_())])
 
 
-def _links(share: int):
+def _links(width: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
 
@@ -104,12 +115,12 @@ def _links(share: int):
             rows = [(digests[a], d) for a, d in zip(label, digests) if digests[a] != d]
             return [pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in zip(*rows)), pa.array([now[3] > 1] * len(rows))], schema=EDGES)] if rows else []
         for batch in batches:
-            values = batch.column(5)
+            texts, values = batch.columns[5:]
             for k, key in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
                 if key != now:
                     yield from out()
                     now, held = key, {}
-                held[batch.column(4)[k].as_py()] = values[k].values.to_numpy().view(np.uint64)
+                held[batch.column(4)[k].as_py()] = values[k].values.to_numpy().view(np.uint64) if values[k].is_valid else shingle_set(texts[k].as_py(), width)
         yield from out()
     return run
 
@@ -127,9 +138,11 @@ def confirm(docs: DataFrame, clusters: DataFrame, width: int, share: int = SHARE
     placed = placed.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
     wanted = placed.select(F.col("least").alias("id_")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("id_")), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets(width), "digest binary, shingles array<long>")
-    cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.select("digest", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "chunks")
-    rows = sets.join(cells, "digest").select("root", "lo", "hi", "chunks", "digest", "shingles")
+    keyed = texts.select("text").mapInArrow(_keyed(width), "digest binary, text string")
+    found = keyed.join(placed, "digest").select("digest", "root", "own", "chunks", "text")
+    kind = placed.schema["root"].dataType.simpleString()
+    sets = found.mapInArrow(_sets(width), f"digest binary, root {kind}, own int, chunks int, text string, shingles array<long>")
+    cells = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = cells.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "chunks", "digest", "text", "shingles")
     ordered = rows.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "digest")
-    return ordered.mapInArrow(_links(share), "a binary, b binary, split boolean")
+    return ordered.mapInArrow(_links(width, share), "a binary, b binary, split boolean")
