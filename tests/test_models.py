@@ -110,6 +110,22 @@ def test_many_fits_equal_single_fits_and_share_scans(data, monkeypatch):
         assert s.n == (200 if f.until == 2020 else 300)
 
 
+def test_lasso_step_is_exact_where_columns_are_sums_of_others():
+    """Optimality of the quadratic model after one step; coordinate descent left such columns far from it."""
+    from matchframe.operators import newton as N
+    rng = np.random.default_rng(8)
+    for seed in range(5):
+        a = rng.normal(size=(400, 8))
+        x = np.column_stack([a, a[:, :4] + a[:, 4:], a[:, 0] - a[:, 1], a[:, :3] @ rng.normal(size=(3, 6)) + 1e-3 * rng.normal(size=(400, 6)), np.ones(400)])
+        hess, grad = x.T @ x, -x.T @ rng.normal(size=400) * 10
+        lam = np.append(np.full(x.shape[1] - 1, 20.0), 0.0)
+        theta = np.where(rng.random(len(lam)) < 0.5, rng.normal(size=len(lam)), 0.0)
+        step = N._lasso_step(grad, hess, theta, lam)
+        w, slope = theta + step, grad + hess @ step
+        gap = np.where((w != 0) | (lam == 0), np.abs(slope + lam * np.sign(w)), np.maximum(np.abs(slope) - lam, 0.0))
+        assert gap.max() < 1e-4 and (w == 0).sum() >= 3
+
+
 def plain_boosting(x, y, edges, prior, rounds, depth, rate):
     """A plain booster: recursive trees on the same bins."""
     from matchframe.operators import boosting as B
