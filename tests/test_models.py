@@ -126,6 +126,33 @@ def test_lasso_step_is_exact_where_columns_are_sums_of_others():
         assert gap.max() < 1e-4 and (w == 0).sum() >= 3
 
 
+def test_fits_of_a_group_share_one_hessian(data, monkeypatch):
+    """Every fit had a Hessian of its own in every pass. A fit that the shared one serves badly still gets its own."""
+    from matchframe.operators import newton as N
+    strong = data.withColumn("d", F.when(F.col("y") == 0, 3.0).when(F.col("y") == 1, 0.0).otherwise(-3.0) + F.col("a") / 4)
+    sets = [["a", "b", "d"], ["a"], ["b"], ["a", "b"], ["d"]]
+    fits = [FM.lr_spec("-".join(c), c, 5.0, until=until) for c in sets for until in (2020, 2021)]
+    asked, scan = [], N._scan
+    monkeypatch.setattr(N, "_scan", lambda asks, *a: asked.append([len(x.hessians) for x in asks]) or scan(asks, *a))
+    found = N.fit_many(strong, fits)
+    assert asked[0] == [1, 1] and sum(map(sum, asked)) < len(asked) * len(fits) and max(map(max, asked)) > 1
+    for f, s in zip(fits, found):
+        alone = FM.Linear("", list(f.cols), s.n, "softmax", s.means.tolist(), s.coef.tolist(), s.intercept.tolist(), s.sds.tolist(), "l2", 5.0)
+        assert s.converged and max(r.residual for r in FM.stationarity(alone, strong.where(F.col("season") < f.until)).collect()) < 1e-7
+
+
+def test_softmax_of_far_margins():
+    from matchframe.operators import newton as N
+    for size in (1.0, 400.0, 1e5):
+        eta = np.random.default_rng(2).normal(size=(3, 2, 50)) * size
+        p, norm = N._softmax(eta.copy())
+        z = np.concatenate([eta, -eta.sum(1, keepdims=True)], 1)
+        top = z.max(1, keepdims=True)
+        e = np.exp(z - top)
+        np.testing.assert_allclose(np.stack(p, 1), e / e.sum(1, keepdims=True), atol=1e-12)
+        np.testing.assert_allclose(norm, np.log(e.sum(1)) + top[:, 0], rtol=1e-12)
+
+
 def plain_boosting(x, y, edges, prior, rounds, depth, rate):
     """A plain booster: recursive trees on the same bins."""
     from matchframe.operators import boosting as B
