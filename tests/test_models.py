@@ -198,6 +198,30 @@ def test_boosting_against_a_plain_booster(data, monkeypatch):
     assert (got.predicted == pdf.y).mean() > 0.5
 
 
+def test_boosting_scans_chunks_of_rows(data, monkeypatch):
+    """A row of the scanned table was one match."""
+    from matchframe.operators import boosting as B
+    monkeypatch.setattr(B, "REFRESH", 2)
+    sizes, write = [], B.write_chunks
+    monkeypatch.setattr(B, "write_chunks", lambda df: sizes.append((t := write(df)).count()) or t)
+    FM.fit_boosted(data.repartition(3), ["a", "b"], rounds=3, depth=2)
+    assert sizes == [3, 3]
+
+
+def test_leaves_of_a_tree_with_pruned_nodes():
+    from matchframe.operators import boosting as B
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, 64, (200, 5)).astype(np.uint8)
+    for depth in (1, 2, 3, 4):
+        inner = (1 << depth) - 1
+        tree = B.Tree(rng.integers(-1, 5, inner), rng.integers(5, 60, inner), np.zeros(inner + 1))
+        for row, got in zip(bins, tree.leaf(np.asfortranarray(bins))):
+            node = 0
+            while node < inner:
+                node = 2 * node + 1 + int(tree.column[node] >= 0 and row[tree.column[node]] > tree.cut[node])
+            assert got == node - inner
+
+
 def test_naive_bayes(data):
     pdf = data.orderBy("match_id").toPandas()
     x = np.column_stack([pdf.a, pdf.b.fillna(pdf.b.mean())])
