@@ -2,7 +2,7 @@
 
 A rating update couples two teams of a league, so a match waits for its teams'
 earlier matches. Within a block, matches without a common team are one array step
-for a few parameter sets (`kernels`). Leagues and groups of parameter sets run side by
+for up to 25 parameter sets (`kernels`). Leagues and groups of parameter sets run side by
 side, and a long league is cut into blocks of `rows_per_block` matches.
 Each round folds one block of every league; the team states go from round to
 round through the shared scratch folder, so no task ever holds more than a block
@@ -25,7 +25,9 @@ from ..plans.blocks import ordered_blocks
 from ..plans.session import materialize, scratch_dir
 
 RATING_BLOCK = 200_000
-SETS_PER_TASK = 4  # of a search; they share a task's array steps
+SETS_PER_TASK = (4, 25)  # of a search, least and most; they share a task's array steps
+PARTS = 4          # groups of sets of a league that run side by side, where the most per task allows it
+LOSS_CELLS = 40_000  # probabilities (matches x sets) a search holds at once
 NO_DAY = -2**31   # a missing date comes first, as in the blocks' order
 SCHEMA = ("tag string, league string, param_id int, match_id long, match_date date, y int, home_team string, "
           "away_team string, learned boolean, team string, vals array<double>")
@@ -47,10 +49,16 @@ POISSON_GRID = {
 }
 
 
+def _set_size(n: int, losses: bool) -> int:
+    """Parameter sets of a task: more of them cost little more, fewer tasks run side by side."""
+    least, most = SETS_PER_TASK
+    return min(most, max(least, -(-n // PARTS))) if losses else 1
+
+
 def _folder(kind: str, params: Sequence[Mapping], losses: bool):
     """The per-(league, part of the parameter sets, block) function for cogrouped frames."""
     table = [dict(p) for p in params]
-    size = SETS_PER_TASK if losses else 1
+    size = _set_size(len(table), losses)
 
     def fold(key, rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         league, part = key
@@ -75,12 +83,13 @@ def _folder(kind: str, params: Sequence[Mapping], losses: bool):
         if n:
             y = rows["y"].to_numpy(np.int64)
             seen = wave.fold(vals, home, away, rows["home_goals"].to_numpy(float), rows["away_goals"].to_numpy(float), y, learn)
-            p = wave.probabilities(seen)
             if losses:
-                nll = -np.log(np.choose(y[:, None], p)).sum(axis=0)
+                step, nll = max(1, LOSS_CELLS // len(sets)), np.zeros(len(sets))
+                for at in range(0, n, step):
+                    nll -= np.log(np.choose(y[at:at + step, None], wave.probabilities(seen[:, at:at + step]))).sum(axis=0)
                 out.append(pd.DataFrame({"tag": "loss", "param_id": list(ids), "vals": [[float(n), v] for v in nll.tolist()]}))
             else:
-                more = wave.details(seen)
+                p, more = wave.probabilities(seen), wave.details(seen)
                 if kind == "poisson":
                     played = _games_before(games, home, away, learn)
                     more = np.concatenate([more, np.repeat(played[:, :, None], len(sets), axis=2)])
@@ -128,7 +137,7 @@ def fold_matches(matches: DataFrame, params: Sequence[Mapping], kind: str = "pi"
     blocked = ordered_blocks(rows, ["league"], "match_date", "match_id", rows_per_block).repartition("league", "_block")
     blocked = materialize(blocked, "_block")
     rounds = (blocked.agg(F.max("_block")).first()[0] or 0) + 1
-    size = SETS_PER_TASK if losses else 1
+    size = _set_size(len(params), losses)
     parts = F.explode(F.array(*[F.lit(i) for i in range(-(-len(params) // size))]))
     unused = ["_block", *(["match_date"] if losses else [])]
     state = spark.createDataFrame([], SCHEMA)

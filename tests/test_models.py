@@ -429,6 +429,15 @@ def test_rating_search_adds_losses_inside_tasks(spark, kind, kernel, sets):
         assert got[i] == (150, pytest.approx(sum(-math.log(seen[r[0]][2 if r[7] > r[8] else 1 if r[7] == r[8] else 0]) for r in rows)))
 
 
+def test_sampled_search_scores_all_published_sets(spark):
+    """Four of a hundred sets were searched."""
+    from conftest import DATA
+    from matchframe.catalog import QUERIES
+    out = QUERIES["F19_rating_search_sampled"](spark, DATA).collect()
+    assert sorted(r.param_id for r in out) == list(range(100)) and sum(r.best for r in out) == 1
+    assert len({r.n for r in out}) == 1
+
+
 def test_waves_hold_a_team_once_and_keep_its_order():
     rng = np.random.default_rng(3)
     home, away = rng.integers(0, 12, 400), rng.integers(0, 12, 400)
