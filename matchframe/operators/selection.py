@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import single_row
 from ..functions.stats import hash32
-from ..plans.blocks import cell_rank
+from ..plans.blocks import BEFORE, cell_rank, null_safe_join
+from ..plans.packed import expand_block, expand_ids, gathered, runs, slot_of, squeeze_block, squeeze_ids
 from ..plans.session import materialize
 from .folds import check_fold
 from .metrics import classification_metrics, row_brier, row_log_loss
@@ -22,6 +23,10 @@ from .models import Fitted, Linear, lr_spec, predict
 from .newton import fit_many
 
 HASH_CELL = 1 << 20
+IDS_PER_CELL = 1 << 17   # ids a task ranks at once
+RANKS_PER_PART = 1 << 16  # ranks a task pairs at once
+DEALT = 1 << 20          # ids a task holds to deal them out
+ROWS_PER_SLOT = 1 << 17  # rows with all their values a task holds
 
 
 def family(col: str) -> str:
@@ -46,6 +51,8 @@ def shuffle_within(df: DataFrame, cols: Sequence[str], block: Sequence[str] = ("
     """
     block = list(block)
     seed = seed if isinstance(seed, Column) else F.lit(seed)
+    if list(cols) == [id_col] and set(df.columns) == {id_col, *block} and df.schema[id_col].dataType.typeName() in ("long", "integer"):
+        return _permuted_ids(df, block, seed, id_col, id_col + suffix)
 
     def numbered(data, salt):
         h = hash32(seed, F.lit(salt), id_col)
@@ -57,6 +64,55 @@ def shuffle_within(df: DataFrame, cols: Sequence[str], block: Sequence[str] = ("
     return target.join(source, [*block, "_k"]).drop("_k")
 
 
+def _permuted_ids(df: DataFrame, block: list[str], seed: Column, id_col: str, name: str) -> DataFrame:
+    """shuffle_within() of ids alone, which travel as compressed runs: by cells of either hash to be
+    ranked, then by rank to meet. As there, rows of a null block meet nothing."""
+    df = df.dropna(subset=block) if block else df
+    cells = -(-df.count() // IDS_PER_CELL) or 1
+    sides = [hash32(seed, F.lit(salt), id_col) for salt in ("to", "from")]
+    keys = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in block)
+    whole = pa.int32() if df.schema[id_col].dataType.typeName() == "integer" else pa.int64()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, DEALT):
+            ids, *hashes = (table.column(c).to_numpy() for c in ("_id", "_h0", "_h1"))
+            code = table.select(block).to_pandas().groupby(block, dropna=False, sort=False).ngroup().to_numpy() if block else np.zeros(len(ids), int)
+            for side, h in enumerate(hashes):
+                out = []
+                for key, at in runs(code * cells + (h * cells >> 32)):
+                    out.append((at[0], key % cells, len(at), squeeze_ids(h[at], ids[at])))
+                first, cell, n, v = zip(*out)
+                own = table.select(block).take(pa.array(first)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([*[own.column(b).combine_chunks() if len(own) else own.column(b) for b in block], pa.array([side] * len(n), pa.int32()),
+                                                  pa.array(cell, pa.int32()), pa.array(n, pa.int32()), pa.array(v, pa.binary())], names=[*block, "side", "cell", "n", "v"])
+
+    def ranked(key: tuple, table: pa.Table) -> pa.Table:
+        h, ids = np.concatenate([expand_ids(v, 2, n) for n, v in zip(table.column("n").to_pylist(), table.column("v").to_pylist())], 1)
+        ids, start = ids[np.lexsort((ids, h))], table.column("_o")[0].as_py()
+        cuts = [0, *range(RANKS_PER_PART - start % RANKS_PER_PART, len(ids), RANKS_PER_PART), len(ids)]
+        out = [(start + a, b - a, squeeze_ids(ids[a:b])) for a, b in zip(cuts, cuts[1:]) if b > a]
+        return pa.table({**{b: pa.array([k.as_py()] * len(out), k.type) for b, k in zip(block, key)}, "side": pa.array([key[len(block)].as_py()] * len(out), pa.int32()),
+                         "part": pa.array([o[0] // RANKS_PER_PART for o in out], pa.int64()), "start": pa.array([o[0] for o in out], pa.int64()),
+                         "n": pa.array([o[1] for o in out], pa.int32()), "v": pa.array([o[2] for o in out], pa.binary())})
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        sides: list[list[tuple[int, np.ndarray]]] = [[], []]
+        for side, start, n, v in zip(*(table.column(c).to_pylist() for c in ("side", "start", "n", "v"))):
+            sides[side].append((start, expand_ids(v, 1, n)[0]))
+        to, source = (np.concatenate([ids for _, ids in sorted(side, key=lambda r: r[0])]) for side in sides)
+        return pa.table({**{b: pa.array([k.as_py()] * len(to), k.type) for b, k in zip(block, key)}, id_col: pa.array(to).cast(whole), name: pa.array(source).cast(whole)})
+
+    hashed = df.select(*block, F.col(id_col).cast("long").alias("_id"), *[h.cast("long").alias(f"_h{i}") for i, h in enumerate(sides)])
+    dealt = hashed.mapInArrow(deal, keys + "side int, cell int, n int, v binary")
+    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.shiftright(F.col(f"_h{i}") * cells, 32).cast("int").alias("cell")) for i in range(2)]))
+    counts = hashed.select(*block, spots.alias("_s")).groupBy(*block, "_s.side", "_s.cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*block, "side").orderBy("cell").rowsBetween(*BEFORE)
+    offsets = counts.select(*block, "side", "cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    placed = null_safe_join(dealt, offsets, [*block, "side", "cell"])
+    order = placed.groupBy(*block, "side", "cell").applyInArrow(ranked, keys + "side int, part long, start long, n int, v binary")
+    return order.groupBy(*block, "part").applyInArrow(meet, f"{keys}`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{name}` {df.schema[id_col].dataType.simpleString()}")
+
+
 def _vectors(model: Fitted, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Filled (and scaled) model inputs as one array column."""
     filled = model.pipeline.stages[0].transform(df)
@@ -99,44 +155,98 @@ def _importance(model: Fitted, df: DataFrame, groups: Mapping[str, Sequence[int]
 
 
 def _linear_sums(coef: np.ndarray, own: list[int], groups: list[tuple[str, list[int]]]):
-    """Rise of loss and fall of hits per repeat and group, added up over a task's rows (rep, y,
-    base, x, moved): margins of the row, and its own and the permuted values of the columns `own`.
-    Margins stay, only the changed terms are replaced."""
+    """Adds up rise of loss and fall of hits per repeat and group over rows (rep, y, base, x, moved):
+    margins of the row, and its own and the permuted values of the columns `own`. Margins stay, only
+    the changed terms are replaced."""
     at = {i: k for k, i in enumerate(own)}
     single = all(len(idx) == 1 for _, idx in groups)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(total: dict[tuple[int, str], np.ndarray], rep: np.ndarray, y: np.ndarray, base: np.ndarray, x: np.ndarray, moved: np.ndarray) -> None:
+        change = moved - x
+        rows, reps = np.arange(len(y)), [(int(r), rep == r) for r in np.unique(rep)]
+
+        def scored(z):
+            e = np.exp(z - z.max(-1, keepdims=True))
+            p = e / e.sum(-1, keepdims=True)
+            return -np.log(np.maximum(p[rows, ..., y], 1e-15)), p.argmax(-1)
+        loss0, guess0 = scored(base)
+        for first in range(0, len(groups), 16):
+            part = groups[first:first + 16]
+            if single:
+                z = base[:, None, :] + change[:, [at[idx[0]] for _, idx in part], None] * coef[:, [idx[0] for _, idx in part]].T
+            else:
+                z = np.stack([base + change[:, [at[i] for i in idx]] @ coef[:, idx].T for _, idx in part], 1)
+            loss, guess = scored(z)
+            rise = loss - loss0[:, None]
+            fall = (guess0 == y).astype(float)[:, None] - (guess == y[:, None])
+            for r, mine in reps:
+                for g, (name, _) in enumerate(part):
+                    total[r, name] = total.get((r, name), np.zeros(3)) + [mine.sum(), rise[mine, g].sum(), fall[mine, g].sum()]
+    return add
+
+
+def _met_sums(rows: DataFrame, pairs: DataFrame, d: int, y: str, add) -> DataFrame:
+    """Sums by `add` over rows (match_id, y, base, x: d values) and pairs (rep, match_id, _from): the values of
+    _from replace those of match_id. Rows are dealt to slots by id, the pairs follow to the slot of
+    _from, and values go on to that of match_id, column after column and compressed."""
+    n = rows.count()
+    slots = max(-(-n // ROWS_PER_SLOT), min(-(-n // 16384), 24), 1)
+    names, kinds = ["slot", "n", "ids", "v"], "slot int, n int, ids binary, v binary"
+
+    def packs(found: list[tuple]) -> list[pa.Array]:
+        return [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, ROWS_PER_SLOT // 2):
+            ids = table.column("match_id").to_numpy()
+            wide = [np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column(k).chunks]).reshape(len(ids), -1).T for k in ("base", "x")]
+            block = np.vstack([table.column(y).to_numpy()[None].astype(float), *wide])
+            yield pa.RecordBatch.from_arrays(packs([(k, len(at), squeeze_ids(ids[at]), squeeze_block(block[:, at])) for k, at in runs(slot_of(ids, slots))]), names=names)
+
+    def deal_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, DEALT):
+            rep, to, source = (table.column(c).to_numpy() for c in ("rep", "match_id", "_from"))
+            yield pa.RecordBatch.from_arrays(packs([(k, len(at), squeeze_ids(rep[at], to[at], source[at]), b"") for k, at in runs(slot_of(source, slots))]), names=names)
+
+    def blobs(table: pa.Table):
+        return zip(*(table.column(c).to_pylist() for c in names[1:]))
+
+    def held(table: pa.Table):
+        """A slot's (y, base, x) and where each of some ids stands in it."""
+        ids = np.concatenate([expand_ids(i, 1, k)[0] for k, i, _ in blobs(table)])
+        block, at, order = np.empty((4 + d, len(ids))), 0, np.argsort(ids)
+        for k, _, v in blobs(table):
+            block[:, at:at + k] = expand_block(v, 4 + d, k)
+            at += k
+        return block, lambda some: order[np.searchsorted(ids, some, sorter=order)]
+
+    def send(_key, mine: pa.Table, wanted: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if mine.num_rows and wanted.num_rows:
+            block, places = held(mine)
+            rep, to, source = np.concatenate([expand_ids(i, 3, k) for k, i, _ in blobs(wanted)], 1)
+            place = places(source)
+            order = np.argsort(place, kind="stable")  # rows that stand together are alike
+            rep, to, place = rep[order], to[order], place[order]
+            found = [(k, len(at), squeeze_ids(rep[at], to[at]), squeeze_block(block[4:, place[at]])) for k, at in runs(slot_of(to, slots))]
+        return pa.Table.from_arrays(packs(found), names=names)
+
+    def score(_key, mine: pa.Table, moved: pa.Table) -> pa.Table:
         total: dict[tuple[int, str], np.ndarray] = {}
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            rep, y = (batch.column(i).to_numpy(zero_copy_only=False).astype(int) for i in (0, 1))
-            base, x, moved = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for i in (2, 3, 4))
-            change = moved - x
-            rows, reps = np.arange(n), [(int(r), rep == r) for r in np.unique(rep)]
-
-            def scored(z):
-                e = np.exp(z - z.max(-1, keepdims=True))
-                p = e / e.sum(-1, keepdims=True)
-                return -np.log(np.maximum(p[rows, ..., y], 1e-15)), p.argmax(-1)
-            loss0, guess0 = scored(base)
-            for first in range(0, len(groups), 16):
-                part = groups[first:first + 16]
-                if single:
-                    z = base[:, None, :] + change[:, [at[idx[0]] for _, idx in part], None] * coef[:, [idx[0] for _, idx in part]].T
-                else:
-                    z = np.stack([base + change[:, [at[i] for i in idx]] @ coef[:, idx].T for _, idx in part], 1)
-                loss, guess = scored(z)
-                rise = loss - loss0[:, None]
-                fall = (guess0 == y).astype(float)[:, None] - (guess == y[:, None])
-                for r, mine in reps:
-                    for g, (name, _) in enumerate(part):
-                        total[r, name] = total.get((r, name), np.zeros(3)) + [mine.sum(), rise[mine, g].sum(), fall[mine, g].sum()]
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.string()),
-                                              *[pa.array([float(v[i]) for v in total.values()]) for i in range(3)]], names=["rep", "feature", "n", "rise", "fall"])
-    return run
+        if mine.num_rows and moved.num_rows:
+            block, places = held(mine)
+            for k, i, v in blobs(moved):
+                (rep, to), values = expand_ids(i, 2, k), expand_block(v, d, k)
+                for at in range(0, k, 4096):
+                    some = slice(at, at + 4096)
+                    own = block[:, places(to[some])]
+                    add(total, rep[some], own[0].astype(int), own[1:4].T, own[4:].T, values[:, some].T)
+        return pa.table({"rep": pa.array([k[0] for k in total], pa.int32()), "feature": pa.array([k[1] for k in total], pa.string()),
+                         **{c: pa.array([float(v[i]) for v in total.values()], pa.float64()) for i, c in enumerate(("n", "rise", "fall"))}})
+    dealt = rows.mapInArrow(deal, kinds)
+    asked = pairs.select(F.col("rep").cast("long"), F.col("match_id").cast("long"), F.col("_from").cast("long")).mapInArrow(deal_pairs, kinds)
+    moved = dealt.groupBy("slot").cogroup(asked.groupBy("slot")).applyInArrow(send, kinds)
+    return dealt.groupBy("slot").cogroup(moved.groupBy("slot")).applyInArrow(score, "rep int, feature string, n double, rise double, fall double")
 
 
 def _linear_importance(model: Linear, df: DataFrame, groups: Mapping[str, Sequence[int]], repeats: int, block: Sequence[str], seed: int,
@@ -155,10 +265,8 @@ def _linear_importance(model: Linear, df: DataFrame, groups: Mapping[str, Sequen
         own = sorted({i for idx in part.values() for i in idx})
         values = F.col("x") if len(own) == len(model.cols) else F.array(*[F.col("x")[i] for i in own])
         pairs = shuffle_within(ids.select("match_id", "rep", *blocks), ["match_id"], ["rep", *blocks], F.lit(seed) + F.col("rep")).select("rep", "match_id", F.col("match_id_shuffled").alias("_from"))
-        moved = pairs.join(rows.select(F.col("match_id").alias("_from"), values.alias("v")), "_from").select("rep", "match_id", "v")
-        both = moved.join(rows.select("match_id", y, "base", values.alias("x")), "match_id")
-        run = _linear_sums(coef, own, [(k, list(v)) for k, v in part.items()])
-        sums.append(both.select("rep", y, "base", "x", "v").mapInArrow(run, "rep int, feature string, n double, rise double, fall double"))
+        add = _linear_sums(coef, own, [(k, list(v)) for k, v in part.items()])
+        sums.append(_met_sums(rows.select(F.col("match_id").cast("long"), y, "base", values.alias("x")), pairs, len(own), y, add))
     long = sums[0]
     for other in sums[1:]:
         long = long.unionByName(other)

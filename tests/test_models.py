@@ -304,6 +304,34 @@ def test_importance_writes_rows_once_and_permutes_ids_alone(data, monkeypatch):
     assert numbered == [["match_id", "rep", "division"]]
 
 
+def test_permuted_ids_travel_as_runs(spark, monkeypatch):
+    """Ids alone were numbered and joined row by row; runs of them give the same permutation, without rows of a null block."""
+    rows = [(i * 7919 + 3, ("E0", "E1", None)[i % 3], rep) for i in range(700) for rep in range(2)]
+    df = spark.createDataFrame(rows, "match_id long, division string, rep int").repartition(3)
+    seed = F.lit(42) + F.col("rep")
+    for block in (["rep", "division"], ["rep"], []):
+        ids = (df if block else df.where("rep = 1")).select("match_id", *block)
+        want = J.shuffle_within(ids.withColumn("u", F.col("match_id")), ["u"], block, seed if block else 42).select(*block, "match_id", "u_shuffled").collect()
+        with monkeypatch.context() as m:
+            m.setattr(J, "cell_rank", None)
+            m.setattr(J, "IDS_PER_CELL", 100)
+            m.setattr(J, "RANKS_PER_PART", 64)
+            got = J.shuffle_within(ids, ["match_id"], block, seed if block else 42).select(*block, "match_id", "match_id_shuffled").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_blocks_keep_every_bit():
+    from matchframe.plans import packed as P
+    rng = np.random.default_rng(3)
+    block = np.stack([rng.normal(size=3000), rng.integers(0, 9, 3000) / 7, np.full(3000, np.nan), np.where(rng.random(3000) < 0.5, -0.0, 0.0), rng.integers(0, 700, 3000) / 3])
+    for part in (block, block[:, :1], block[:, :0]):
+        again = P.expand_block(P.squeeze_block(part), 5, part.shape[1])
+        assert (again.view(np.int64) == np.ascontiguousarray(part).view(np.int64)).all()
+    assert len(P.squeeze_block(block[1:])) < 3000 * 5
+    ids = rng.integers(-5, 1 << 50, (2, 999))
+    assert (P.expand_ids(P.squeeze_ids(*ids), 2, 999) == ids).all()
+
+
 def test_importance_of_a_linear_model_is_that_of_scoring_permuted_rows(data):
     """Replaced margins give what scoring every permuted copy of the rows gives."""
     model, repeats = FM.fit_lr(data, ["a", "b"]), 2
